@@ -6,6 +6,8 @@ import importlib
 
 FAMILIES: list[str] = [
     "text",
+    "geometry",
+    "sources",
 ]
 
 

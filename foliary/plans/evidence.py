@@ -9,10 +9,11 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliary.core import strip_space
-from foliary.operators.numbering import global_page_index, page_in_source
+from foliary.operators.numbering import page_in_source
 
 # Footers start after a wide gap on every fourth page, so that running footers can be trimmed.
 FOOTER_GAP = 700
@@ -44,23 +45,43 @@ class Evidence:
             "text",
         )
 
+    @cached_property
+    def _counted(self) -> DataFrame:
+        """Sources with their page count and the run-global number of their first page."""
+        g = self.documents.groupBy("run_id", "source_id").agg(
+            F.first("pos").alias("pos"), F.count(F.lit(1)).cast("int").alias("page_count")
+        )
+        before = W.partitionBy("run_id").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+        return g.withColumn("first_page", F.coalesce(F.sum("page_count").over(before), F.lit(0)))
+
     @cached_property
     def sources(self) -> DataFrame:
-        return self.documents.groupBy("run_id", "source_id").agg(
-            F.first("pos").alias("pos"),
-            F.concat(F.lit("Berkas "), F.first("source_id"), F.lit(".pdf")).alias("name"),
-            F.count(F.lit(1)).cast("int").alias("page_count"),
-            (~F.first("source_id").like("%7")).alias("ai"),
+        return self._counted.select(
+            "run_id",
+            "source_id",
+            "pos",
+            F.concat(F.lit("Berkas "), F.col("source_id"), F.lit(".pdf")).alias("name"),
+            "page_count",
+            (~F.col("source_id").like("%7")).alias("ai"),
         )
 
     @cached_property
-    def pages(self) -> DataFrame:
-        """One page per document: keys, size, number of lines."""
+    def _numbered(self) -> DataFrame:
+        """Documents as pages, texts carried along; unused columns are pruned by the optimizer."""
+        base = self.documents.select("run_id", "source_id", "doc_id", "doc_type", "text")
         n_lines = (F.size(F.split("text", "\n")) + 2).cast("int")
-        base = self.documents.select(
-            "run_id", "source_id", "doc_id", "doc_type", n_lines.alias("n_lines")
+        ends = self._counted.select("run_id", "source_id", "page_count", "first_page")
+        return (
+            page_in_source(base, "doc_id")
+            .join(ends, ["run_id", "source_id"])
+            .withColumn("page_index", (F.col("first_page") + F.col("page_in_doc")).cast("int"))
+            .withColumn("n_lines", n_lines)
         )
-        return global_page_index(page_in_source(base, "doc_id"), self.sources).select(
+
+    @cached_property
+    def pages(self) -> DataFrame:
+        """One page per document: keys, size, number of lines."""
+        return self._numbered.select(
             "run_id",
             "page_index",
             "source_id",
@@ -74,8 +95,6 @@ class Evidence:
 
     @cached_property
     def lines(self) -> DataFrame:
-        n_in_source = self.sources.select("run_id", "source_id", "page_count")
-        texts = self.documents.select("doc_id", "text")
         footer = F.array(
             F.concat(
                 F.lit("Page "),
@@ -85,18 +104,14 @@ class Evidence:
             ),
             F.concat(F.lit("Ref "), F.col("source_id")),
         )
-        rows = (
-            self.pages.join(texts, "doc_id")
-            .join(n_in_source, ["run_id", "source_id"])
-            .select(
-                "run_id",
-                "page_index",
-                "source_id",
-                "page_in_doc",
-                "doc_id",
-                "n_lines",
-                F.posexplode(F.concat(F.split("text", "\n"), footer)).alias("i", "text"),
-            )
+        rows = self._numbered.select(
+            "run_id",
+            "page_index",
+            "source_id",
+            "page_in_doc",
+            "doc_id",
+            "n_lines",
+            F.posexplode(F.concat(F.split("text", "\n"), footer)).alias("i", "text"),
         )
         gap = F.when((F.col("i") >= F.col("n_lines") - 2) & (F.col("doc_id") % 4 == 0), FOOTER_GAP)
         return rows.select(
