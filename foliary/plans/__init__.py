@@ -8,6 +8,7 @@ FAMILIES: list[str] = [
     "text",
     "geometry",
     "sources",
+    "pools",
 ]
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliary.core import strip_space
+from foliary.core import key_bucket, number_rows, strip_space
 from foliary.operators.numbering import page_in_source
 
 # Footers start after a wide gap on every fourth page, so that running footers can be trimmed.
@@ -171,6 +171,80 @@ class Evidence:
         )
 
 
+    # ------------------------------------------------------------------ form and captures
+
+    @cached_property
+    def runs(self) -> DataFrame:
+        """Runs with the form they use."""
+        r = self.documents.select("run_id").distinct()
+        even = F.regexp_extract("run_id", "([0-9]+)$", 1).cast("int") % 2 == 0
+        return r.withColumn("form_id", F.when(even, "A").otherwise("B"))
+
+    @cached_property
+    def form_slots(self) -> DataFrame:
+        """Two forms of a slot per nation, in a section per region."""
+        n = self.table("nation").join(
+            self.table("region"), F.col("n_regionkey") == F.col("r_regionkey")
+        )
+        k = F.col("n_nationkey")
+        types = F.array(*[F.lit(t) for t in DOC_TYPES.values()])
+        return n.select(
+            F.explode(F.array(F.lit("A"), F.lit("B"))).alias("form_id"),
+            F.concat(F.lit("sec-"), F.col("n_regionkey").cast("string")).alias("section_id"),
+            F.col("r_name").alias("section_title"),
+            F.when(F.col("n_regionkey") == 0, "images").otherwise("table").alias("layout"),
+            F.concat(F.lit("slot-"), k.cast("string")).alias("slot_key"),
+            F.col("n_name").alias("label"),
+            (k % 6 != 5).alias("fillable"),
+            F.when(k % 7 != 6, F.element_at(types, (k % 4 + 1).cast("int"))).alias("doc_type"),
+            F.when(F.col("n_regionkey") == 0, F.floor(k / 5).cast("int")).alias("page_ordinal"),
+            (F.col("n_regionkey") * 100 + k).cast("int").alias("pos"),
+        )
+
+    @cached_property
+    def slots(self) -> DataFrame:
+        """The form's slots per run."""
+        return self.runs.join(self.form_slots, "form_id")
+
+    @cached_property
+    def captures(self) -> DataFrame:
+        """One capture per page; slots 25 and 26 are in no form, some zones name a lost page."""
+        d, n = F.col("doc_id"), F.col("n_lines")
+        slot = F.concat(F.lit("slot-"), (F.col("page_in_doc") % 27).cast("string"))
+        base = self.pages.withColumn("slot_key", slot)
+        numbered = number_rows(
+            base, ["run_id", "slot_key"], ["page_index"], key_bucket("page_index"), "ordinal", start=1
+        )
+        status = F.element_at(
+            F.array(*[F.lit(v) for v in STATUSES]), (d % len(STATUSES) + 1).cast("int")
+        )
+        zoned = (d % 7 != 3) & (d % 7 != 5)
+        frm = (d % n).cast("int")
+        to = F.least(n - 1, frm + d % 6).cast("int")
+        page = (F.col("page_index") + F.when(d % 29 == 0, 1_000_000).otherwise(0)).cast("int")
+        key = F.when(F.col("ordinal") <= 1, F.col("slot_key")).otherwise(
+            F.concat("slot_key", F.lit("#"), F.col("ordinal").cast("string"))
+        )
+        stamp = F.concat(page.cast("string"), F.lit(":"), frm.cast("string"), F.lit("-"), to.cast("string"))
+        return numbered.select(
+            "run_id",
+            key.alias("key"),
+            "slot_key",
+            "ordinal",
+            F.col("page_index").alias("pos"),
+            status.alias("status"),
+            F.when(zoned, page).alias("page_index"),
+            F.when(zoned, frm).alias("from_line"),
+            F.when(zoned, to).alias("to_line"),
+            F.when(d % 2 == 0, "llm").otherwise("human").alias("origin"),
+            F.when(zoned & (d % 3 == 0), stamp).when(d % 3 == 1, F.lit("0:0-0")).alias("checked_for"),
+        )
+
+
+# The capture states, in the order the evidence cycles through them.
+STATUSES = ["confirmed", "confirmed", "proposed", "outstanding", "confirmed", "pending", "unfilled"]
+
+
 # ---------------------------------------------------------------------------- oracle side
 
 DUCK: dict[str, str] = {
@@ -222,6 +296,25 @@ DUCK: dict[str, str] = {
              cast(case when doc_id % 19 = 0 then null when doc_id % 11 = 0 then doc_id % n_lines - 1
                        when doc_id % 17 = 0 then null else doc_id % n_lines + doc_id % 5 end as int) as to_line
       from pgs""",
+    "runs": """
+      select distinct run_id, case when cast(regexp_extract(run_id,'([0-9]+)$',1) as int) % 2 = 0 then 'A' else 'B' end as form_id from docs""",
+    "fsl": """
+      select form_id, 'sec-' || n_regionkey as section_id, r_name as section_title, case when n_regionkey = 0 then 'images' else 'table' end as layout,
+             'slot-' || n_nationkey as slot_key, n_name as label, n_nationkey % 6 <> 5 as fillable,
+             case when n_nationkey % 7 <> 6 then ['KB','SP','BAPermintaan','Email'][n_nationkey % 4 + 1] end as doc_type,
+             case when n_regionkey = 0 then n_nationkey // 5 end as page_ordinal, (n_regionkey*100 + n_nationkey)::int as pos
+      from nation join region on n_regionkey = r_regionkey, unnest(['A','B']) t(form_id)""",
+    "slots": "select * from runs join fsl using (form_id)",
+    "cap": """
+      select run_id, case when ordinal <= 1 then slot_key else slot_key || '#' || ordinal end as key, slot_key, ordinal, page_index as pos, status,
+             case when zoned then zp end as page_index, case when zoned then f end as from_line, case when zoned then t end as to_line,
+             case when doc_id % 2 = 0 then 'llm' else 'human' end as origin,
+             case when zoned and doc_id % 3 = 0 then zp || ':' || f || '-' || t when doc_id % 3 = 1 then '0:0-0' end as checked_for
+      from (select *, (row_number() over (partition by run_id, slot_key order by page_index))::int as ordinal,
+                   ['confirmed','confirmed','proposed','outstanding','confirmed','pending','unfilled'][doc_id % 7 + 1] as status,
+                   doc_id % 7 <> 3 and doc_id % 7 <> 5 as zoned, (page_index + case when doc_id % 29 = 0 then 1000000 else 0 end)::int as zp,
+                   (doc_id % n_lines)::int as f, least(n_lines - 1, doc_id % n_lines + doc_id % 6)::int as t
+            from (select *, 'slot-' || (page_in_doc % 27) as slot_key from pgs))""",
 }
 
 DEPS: dict[str, list[str]] = {
@@ -234,6 +327,10 @@ DEPS: dict[str, list[str]] = {
     "wds0": ["lns"],
     "wds": ["wds0"],
     "clm": ["pgs"],
+    "runs": ["docs"],
+    "fsl": [],
+    "slots": ["runs", "fsl"],
+    "cap": ["pgs"],
 }
 
 
