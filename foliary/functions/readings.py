@@ -14,10 +14,13 @@ from foliary.core import SPACE_CLASS, ColumnLike, col
 def furniture_tokens(c: ColumnLike) -> Column:
     """Distinct tokens with digit runs masked, so that numbered footers collapse together."""
     masked = F.regexp_replace(F.lower(col(c)), "[0-9]+", "#")
-    kept = F.trim(F.regexp_replace(masked, r"[^\p{L}\p{N}#]+", " "))
-    return F.when(kept == "", F.array().cast("array<string>")).otherwise(
-        F.array_distinct(F.split(kept, " "))
-    )
+    kept = F.regexp_replace(masked, r"[^\p{L}\p{N}#]+", " ")
+    return F.array_distinct(F.filter(F.split(kept, " "), lambda t: t != ""))
+
+
+def has_a_letter(c: ColumnLike) -> Column:
+    """Whether any token of the text would carry a letter; cheaper than looking at the tokens."""
+    return F.regexp_like(col(c), F.lit(r"\p{L}"))
 
 
 def carries_a_word(tokens: Column) -> Column:

@@ -14,12 +14,12 @@ pages of a document, and one document may hold a third of a corpus.  The same an
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliary.core import PAGE
-from foliary.functions.readings import carries_a_word, furniture_tokens, token_overlap
+from foliary.functions.readings import furniture_tokens, has_a_letter, token_overlap
 
 # Depth of a page's tail, overlap, page share, least pages, slack share.
 TAIL_LINES = 6
@@ -30,7 +30,7 @@ SLACK_SHARE = 0.25
 
 DOC = ["run_id", "source_id"]
 EPS = 1e-9
-# Tokens on fewer than this share of the needed pages are not looked up one by one; their
+# Tokens on fewer lines than this share of the needed pages are not looked up one by one; their
 # page-count is bounded by it instead.
 RARE = 0.1
 
@@ -50,12 +50,17 @@ def page_tails(lines: DataFrame) -> DataFrame:
 
 
 def _tail_sets(tails: DataFrame) -> DataFrame:
-    tokens = F.sort_array(furniture_tokens("text"))
-    t = tails.where(F.col("rank") <= TAIL_LINES).withColumn("tokens", tokens)
-    t = t.where((F.size("tokens") > 0) & carries_a_word(F.col("tokens")))
-    return t.select(
-        *DOC, "page_index", "i", "tokens", F.sha2(F.array_join("tokens", " "), 256).alias("sk")
+    """Tail lines with their token set, its key, and whether they are the set's first on the page.
+
+    Kept for reuse: three later steps read it and tokenising is the costly part.
+    """
+    t = tails.where((F.col("rank") <= TAIL_LINES) & has_a_letter("text")).select(
+        *DOC, "page_index", "i", F.sort_array(furniture_tokens("text")).alias("tokens")
     )
+    t = t.withColumn("sk", F.sha2(F.array_join("tokens", " "), 256))
+    again = W.partitionBy(*DOC, "page_index").orderBy("sk", "i")
+    first = F.lag("sk").over(again).eqNullSafe(F.col("sk"))
+    return t.withColumn("counts", F.when(first, 0).otherwise(1)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _prefix(tokens_by_rarity: Column) -> Column:
@@ -75,25 +80,21 @@ def _furniture_of(tails: DataFrame, pages: DataFrame) -> DataFrame:
         pages.groupBy(*DOC)
         .agg(F.count(F.lit(1)).alias("n_pages"))
         .where(F.col("n_pages") >= MIN_PAGES)
-        .select(*DOC, (F.col("n_pages") * PAGE_SHARE).alias("needed"))
+        .withColumn("needed", F.col("n_pages") * PAGE_SHARE)
     )
     tail = _tail_sets(tails)
-    on_page = tail.select(*DOC, "page_index", "sk").distinct()
-    sets = tail.groupBy(*DOC, "sk").agg(F.first("tokens").alias("tokens")).join(
-        on_page.groupBy(*DOC, "sk").agg(F.count(F.lit(1)).alias("set_pages")), [*DOC, "sk"]
+    sets = tail.groupBy(*DOC, "sk").agg(
+        F.first("tokens").alias("tokens"), F.sum("counts").alias("set_pages")
     )
 
-    # pages per token, kept only where the token is common enough to matter
-    page_tokens = tail.groupBy(*DOC, "page_index").agg(
-        F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens")
-    )
+    # lines per token bound pages per token; kept only where a token is common enough to matter
     common = (
-        page_tokens.select(*DOC, F.explode("tokens").alias("token"))
+        sets.select(*DOC, F.explode("tokens").alias("token"), "set_pages")
         .groupBy(*DOC, "token")
-        .agg(F.count(F.lit(1)).alias("token_pages"))
+        .agg(F.sum("set_pages").alias("token_lines"))
         .join(documents, DOC)
-        .where(F.col("token_pages") >= F.col("needed") * RARE)
-        .select(*DOC, "token", "token_pages")
+        .where(F.col("token_lines") >= F.col("needed") * RARE)
+        .select(*DOC, "token", F.least("token_lines", "n_pages").alias("token_pages"))
     )
 
     # tokens of each set from rare to common, and the bound on how many pages it can reach
@@ -144,6 +145,7 @@ def _furniture_of(tails: DataFrame, pages: DataFrame) -> DataFrame:
         .join(a, [*DOC, "sk_a"])
         .where(token_overlap(F.col("tokens_a"), F.col("tokens_b")) >= TOKEN_OVERLAP)
         .select(*DOC, "sk_a", "sk_b", "needed", "set_pages")
+        .persist(StorageLevel.MEMORY_AND_DISK)  # read by both ways of counting below
     )
     reach = alike.groupBy(*DOC, "sk_a").agg(
         F.first("needed").alias("needed"),
@@ -154,7 +156,10 @@ def _furniture_of(tails: DataFrame, pages: DataFrame) -> DataFrame:
     open_ = reach.where((F.col("most") < F.col("needed")) & (F.col("total") >= F.col("needed")))
     counted = (
         alike.join(open_.select(*DOC, "sk_a"), [*DOC, "sk_a"], "left_semi")
-        .join(on_page.withColumnRenamed("sk", "sk_b"), [*DOC, "sk_b"])
+        .join(
+            tail.where("counts = 1").select(*DOC, "page_index", F.col("sk").alias("sk_b")),
+            [*DOC, "sk_b"],
+        )
         .select(*DOC, "sk_a", "needed", "page_index")
         .distinct()
         .groupBy(*DOC, "sk_a")

@@ -9,6 +9,8 @@ FAMILIES: list[str] = [
     "geometry",
     "sources",
     "pools",
+    "ledger",
+    "reconcile",
 ]
 
 

@@ -199,6 +199,7 @@ class Evidence:
             F.when(k % 7 != 6, F.element_at(types, (k % 4 + 1).cast("int"))).alias("doc_type"),
             F.when(F.col("n_regionkey") == 0, F.floor(k / 5).cast("int")).alias("page_ordinal"),
             (F.col("n_regionkey") * 100 + k).cast("int").alias("pos"),
+            (F.col("n_regionkey") == 4).alias("added"),
         )
 
     @cached_property
@@ -302,7 +303,7 @@ DUCK: dict[str, str] = {
       select form_id, 'sec-' || n_regionkey as section_id, r_name as section_title, case when n_regionkey = 0 then 'images' else 'table' end as layout,
              'slot-' || n_nationkey as slot_key, n_name as label, n_nationkey % 6 <> 5 as fillable,
              case when n_nationkey % 7 <> 6 then ['KB','SP','BAPermintaan','Email'][n_nationkey % 4 + 1] end as doc_type,
-             case when n_regionkey = 0 then n_nationkey // 5 end as page_ordinal, (n_regionkey*100 + n_nationkey)::int as pos
+             case when n_regionkey = 0 then n_nationkey // 5 end as page_ordinal, (n_regionkey*100 + n_nationkey)::int as pos, n_regionkey = 4 as added
       from nation join region on n_regionkey = r_regionkey, unnest(['A','B']) t(form_id)""",
     "slots": "select * from runs join fsl using (form_id)",
     "cap": """

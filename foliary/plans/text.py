@@ -144,7 +144,7 @@ def entity_parts(src: str, columns: list[str]) -> str:
     u = " union ".join(f"select {c} as v from {src}" for c in columns)
     return (
         f"select v, {q_norm('v')} as n, {q_strip('v')} as s, {q_sig('v')} as sig, "
-        f"{q_letters('v')} as l, {q_expand('v')} as e from ({u})"
+        f"{q_letters('v')} as l, {q_expand('v')} as e from (select distinct v from ({u}))"
     )
 
 
