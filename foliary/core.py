@@ -130,7 +130,7 @@ def in_range(lines: Column, frm: Column, to: Column) -> Column:
 
 
 def union_of(lines: Column) -> Column:
-    """Covering box of an array of line structs (null for an empty array)."""
+    """Covering box of an array of line structs (null for an empty array); bind the array first."""
     x = F.array_min(F.transform(lines, lambda l: l["x"]))
     y = F.array_min(F.transform(lines, lambda l: l["y"]))
     r = F.array_max(F.transform(lines, lambda l: l["x"] + l["w"]))
@@ -156,13 +156,21 @@ def joined_text(lines: Column) -> Column:
     return F.array_join(F.transform(lines, lambda l: l["text"]), "\n")
 
 
+def bind(value: Column, body) -> Column:
+    """``let v = value in body(v)``: the value is computed once per row however often it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def median_of(values: Column) -> Column:
     """Exact median of a small array: mean of the two middle values."""
-    s = F.array_sort(values)
-    n = F.size(s)
-    hi = F.try_element_at(s, (F.floor(n / 2) + 1).cast("int"))
-    lo = F.try_element_at(s, F.greatest(F.floor(n / 2).cast("int"), F.lit(1)))
-    return F.when(n % 2 == 1, hi).otherwise((lo + hi) / 2)
+
+    def middle(s: Column) -> Column:
+        n = F.size(s)
+        hi = F.try_element_at(s, (F.floor(n / 2) + 1).cast("int"))
+        lo = F.try_element_at(s, F.greatest(F.floor(n / 2).cast("int"), F.lit(1)))
+        return F.when(n % 2 == 1, hi).otherwise((lo + hi) / 2)
+
+    return bind(F.array_sort(values), middle)
 
 
 def prefix_sums(

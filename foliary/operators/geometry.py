@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from foliary.core import (
     BOX,
     PAGE,
+    bind,
     col,
     in_range,
     joined_text,
@@ -175,11 +176,11 @@ def clamp_range(lines: Column, frm: Column, to: Column) -> Column:
 
 
 def _pitches(picked: Column) -> Column:
-    ys = F.transform(picked, lambda l: l["y"])
-    n = F.size(ys)
-    body = F.slice(ys, F.lit(2), F.greatest(n - 1, F.lit(0)))
-    head = F.slice(ys, F.lit(1), F.greatest(n - 1, F.lit(0)))
-    return F.zip_with(body, head, lambda b, a: b - a)
+    def steps(ys: Column) -> Column:
+        n = F.greatest(F.size(ys) - 1, F.lit(0))
+        return F.zip_with(F.slice(ys, F.lit(2), n), F.slice(ys, F.lit(1), n), lambda b, a: b - a)
+
+    return bind(F.transform(picked, lambda l: l["y"]), steps)
 
 
 def _last_wide_gap(pitches: Column, typical: Column) -> Column:
@@ -192,20 +193,29 @@ def _last_wide_gap(pitches: Column, typical: Column) -> Column:
 
 def trim_footer(lines: Column, frm: Column, to: Column) -> Column:
     """End of the range without a running footer; unchanged wherever the test declines."""
-    picked = in_range(lines, frm, to)
-    n = F.size(picked)
-    pitches = _pitches(picked)
-    typical = median_of(pitches)
-    cut = _last_wide_gap(pitches, typical)
-    kept = cut + 1
-    fires = (
-        (n >= MIN_LINES_FOR_TRIM)
-        & (typical > 0)
-        & (n - kept <= MAX_FOOTER_LINES)
-        & (kept >= MIN_LINES_FOR_TRIM)
-    )
-    last_kept = F.try_element_at(picked, kept.cast("int"))["i"]
-    return F.when(F.coalesce(fires, F.lit(False)), last_kept).otherwise(to)
+
+    def judge(picked: Column) -> Column:
+        n = F.size(picked)
+
+        def cut_at(pitches: Column) -> Column:
+            return bind(
+                median_of(pitches),
+                lambda typical: F.when(typical > 0, _last_wide_gap(pitches, typical)),
+            )
+
+        def end(cut: Column) -> Column:
+            kept = cut + 1
+            fires = (
+                (n >= MIN_LINES_FOR_TRIM)
+                & (n - kept <= MAX_FOOTER_LINES)
+                & (kept >= MIN_LINES_FOR_TRIM)
+            )
+            last_kept = F.try_element_at(picked, kept.cast("int"))["i"]
+            return F.when(F.coalesce(fires, F.lit(False)), last_kept).otherwise(to)
+
+        return bind(bind(_pitches(picked), cut_at), end)
+
+    return bind(F.transform(in_range(lines, frm, to), lambda l: F.struct(l["i"], l["y"])), judge)
 
 
 def range_error(lines: Column, frm: Column, to: Column) -> Column:
@@ -216,7 +226,9 @@ def range_error(lines: Column, frm: Column, to: Column) -> Column:
 
 def box_of_range(lines: Column, frm: Column, to: Column, pad: float, w: Column, h: Column) -> Column:
     """Padded union of the lines in the range."""
-    return padded(union_of(in_range(lines, frm, to)), pad, w, h)
+    return bind(
+        in_range(lines, frm, to), lambda picked: bind(union_of(picked), lambda b: padded(b, pad, w, h))
+    )
 
 
 def boxes_for_ranges(

@@ -11,6 +11,7 @@ FAMILIES: list[str] = [
     "pools",
     "ledger",
     "reconcile",
+    "citations",
 ]
 
 

@@ -14,12 +14,8 @@ _FENCE = r"(?s)```(?:json)?\s*(.*?)```"
 def extract_json(reply: ColumnLike) -> Column:
     """First fenced block if any, then first ``{`` to last ``}``; null when there is none."""
     r = col(reply)
-    fenced = F.regexp_like(r, F.lit(_FENCE))
-    body = F.when(fenced, F.regexp_extract(r, _FENCE, 1)).otherwise(r)
-    first = F.locate("{", body)
-    last = F.length(body) - F.locate("}", F.reverse(body)) + 1
-    ok = (first > 0) & F.contains(body, F.lit("}")) & (last >= first)
-    return F.when(ok, F.substring(body, first, last - first + 1))
+    body = F.when(F.regexp_like(r, F.lit(_FENCE)), F.regexp_extract(r, _FENCE, 1)).otherwise(r)
+    return F.nullif(F.regexp_extract(body, r"(?s)(\{.*\})", 1), F.lit(""))
 
 
 def parse_replies(replies: DataFrame, schema: str, reply: str = "reply") -> DataFrame:
