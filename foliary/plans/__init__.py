@@ -12,6 +12,7 @@ FAMILIES: list[str] = [
     "ledger",
     "reconcile",
     "citations",
+    "decisions",
 ]
 
 
