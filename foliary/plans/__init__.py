@@ -13,6 +13,8 @@ FAMILIES: list[str] = [
     "reconcile",
     "citations",
     "decisions",
+    "captures",
+    "compare",
 ]
 
 
