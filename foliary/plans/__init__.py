@@ -15,6 +15,7 @@ FAMILIES: list[str] = [
     "decisions",
     "captures",
     "compare",
+    "requests",
 ]
 
 
