@@ -43,5 +43,8 @@ def reply_entries(replies: DataFrame, list_field: str, reply: str = "reply") ->
 
 
 def repair_doubled_keys(reply: ColumnLike) -> Column:
-    """Drop a ``"label":`` that is followed by another quoted key."""
-    return F.regexp_replace(col(reply), r'"label"\s*:\s*(?="(?:[^"\\]|\\.)*"\s*:)', "")
+    """Drop a ``"label":`` that is followed by another quoted key.
+
+    The possessive loop keeps the match iterative: a reply may hold strings of any length.
+    """
+    return F.regexp_replace(col(reply), r'"label"\s*:\s*(?="(?:[^"\\]|\\.)*+"\s*:)', "")
