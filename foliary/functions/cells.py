@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foliary.core import ColumnLike, col, strip_space
+from foliary.core import ColumnLike, bind, col, strip_space
 
 # Address pattern, sheet limits and the last date serial.
 REF_PATTERN = "^([A-Z]{1,3})([0-9]{1,7})$"
@@ -67,28 +67,41 @@ def plain_number(raw: ColumnLike) -> Column:
 
     Text that is no finite number is only trimmed.
     """
-    t = strip_space(raw)
-    x = t.try_cast("double")
-    sci = F.format_string("%.14e", x)
-    neg = F.when(x < 0, "-").otherwise("")
-    digits = F.regexp_replace(F.regexp_extract(sci, r"^-?([0-9.]+)e", 1), "[.]", "")
-    exp = F.regexp_extract(sci, r"e([+-][0-9]+)$", 1).try_cast("int")
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exp - 1), digits)
-    large = F.rpad(digits, (exp + 1).cast("int"), "0")
-    inner = F.concat(
-        F.substring(digits, F.lit(1), exp + 1), F.lit("."), F.substring(digits, exp + 2, F.lit(15))
-    )
-    body = F.when(exp < 0, small).when(exp >= 14, large).otherwise(inner)
-    trimmed = F.when(
-        F.contains(body, F.lit(".")), F.regexp_replace(F.regexp_replace(body, "0+$", ""), "[.]$", "")
-    ).otherwise(body)
-    finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
-    whole = (x == F.floor(x)) & (F.abs(x) < 1e18)
-    return (
-        F.when(~finite, t)
-        .when(whole, x.cast("bigint").cast("string"))
-        .otherwise(F.concat(neg, trimmed))
-    )
+
+    def by_digits(v: Column) -> Column:
+        digits, exp = v["digits"], v["exp"]
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exp - 1), digits)
+        inner = F.concat(
+            F.substring(digits, F.lit(1), exp + 1), F.lit("."), F.substring(digits, exp + 2, F.lit(15))
+        )
+        body = F.when(exp < 0, small).when(exp >= 14, F.rpad(digits, exp + 1, "0")).otherwise(inner)
+        return F.when(exp >= 14, body).otherwise(
+            F.regexp_replace(F.regexp_replace(body, "0+$", ""), "[.]$", "")
+        )
+
+    def scientific(x: Column) -> Column:
+        """Fifteen digits and the exponent of a magnitude."""
+
+        def split(sci: Column) -> Column:
+            return F.struct(
+                F.translate(F.substring_index(sci, "e", 1), ".", "").alias("digits"),
+                F.substring_index(sci, "e", -1).try_cast("int").alias("exp"),
+            )
+
+        return bind(bind(F.format_string("%.14e", F.abs(x)), split), by_digits)
+
+    def number(v: Column) -> Column:
+        t, x = v["t"], v["x"]
+        finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+        whole = (x == F.floor(x)) & (F.abs(x) < 1e18)
+        return (
+            F.when(~finite, t)
+            .when(whole, x.cast("bigint").cast("string"))
+            .otherwise(F.concat(F.when(x < 0, "-").otherwise(""), scientific(x)))
+        )
+
+    trimmed = strip_space(raw)
+    return bind(bind(trimmed, lambda t: F.struct(t.alias("t"), t.try_cast("double").alias("x"))), number)
 
 
 def serial_to_date(serial: ColumnLike, date1904: ColumnLike) -> Column:

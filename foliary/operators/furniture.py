@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foliary.core import bind
 from foliary.functions.readings import furniture_tokens, has_a_letter, token_overlap
 
 # Depth of a page's tail, overlap, page share, least pages, slack share.
@@ -65,9 +66,12 @@ def _tail_sets(tails: DataFrame) -> DataFrame:
 
 def _prefix(tokens_by_rarity: Column) -> Column:
     """Rarest tokens of which two overlapping sets must share one."""
-    n = F.size(tokens_by_rarity)
-    keep = n - F.ceil(n * TOKEN_OVERLAP - EPS).cast("int") + 1
-    return F.slice(tokens_by_rarity, F.lit(1), keep)
+
+    def rarest(t: Column) -> Column:
+        n = F.size(t)
+        return F.slice(t, F.lit(1), n - F.ceil(n * TOKEN_OVERLAP - EPS).cast("int") + 1)
+
+    return bind(tokens_by_rarity, rarest)
 
 
 def running_furniture(lines: DataFrame, pages: DataFrame) -> DataFrame:

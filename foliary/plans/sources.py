@@ -198,7 +198,7 @@ add_duck(
 @query(
     "s5_lines_from_blocks_report",
     duck(
-        """select run_id, page_index, count(*) as entries, count(*) filter (where bad) as dropped,
+        """select run_id, page_index, count(*)::int as entries, (count(*) filter (where bad))::int as dropped,
                   count(*) filter (where bad) > greatest(3.0::double, count(*)*0.05::double) as refused from blk group by all""",
         "blk",
     ),

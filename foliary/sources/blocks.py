@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliary.core import PAGE, is_blank, js_round, strip_space
+from foliary.core import PAGE, bind, is_blank, js_round, strip_space
 from foliary.operators.geometry import group_words_into_lines
 from foliary.sources.replies import extract_json, repair_doubled_keys
 
@@ -20,39 +20,50 @@ _FOUR_NUMBERS = rf"^\[\s*{_NUMBER}(?:\s*,\s*{_NUMBER}){{3}}\s*\]$"
 
 def printed_segments(text: Column) -> Column:
     """Printed lines of a block, blank ones trimmed at both ends only."""
-    parts = F.split(text, r"\r?\n")
-    filled = F.filter(
-        F.transform(parts, lambda p, k: F.when(~is_blank(p), k).otherwise(F.lit(-1))), lambda k: k >= 0
-    )
-    first, last = F.array_min(filled), F.array_max(filled)
-    return F.when(F.size(filled) == 0, F.array().cast("array<string>")).otherwise(
-        F.slice(parts, first + 1, last - first + 1)
-    )
+
+    def inner(parts: Column) -> Column:
+        filled = F.filter(
+            F.transform(parts, lambda p, k: F.when(~is_blank(p), k).otherwise(F.lit(-1))), lambda k: k >= 0
+        )
+        ends = F.struct(F.array_min(filled).alias("a"), F.array_max(filled).alias("b"))
+        return bind(
+            ends,
+            lambda e: F.coalesce(
+                F.slice(parts, e["a"] + 1, e["b"] - e["a"] + 1), F.array().cast("array<string>")
+            ),
+        )
+
+    return bind(F.split(text, r"\r?\n"), inner)
 
 
 def convert_box(box_json: Column, width: Column, height: Column, segments: Column) -> Column:
     """Raw ``[ymin,xmin,ymax,xmax]`` text to a pixel box; null when it is unusable."""
-    raw = F.split(F.regexp_replace(box_json, r"[\[\]\s]", ""), ",")
-    v = [F.try_element_at(raw, F.lit(k)).try_cast("double") for k in (1, 2, 3, 4)]
-    scaled = lambda c, size: js_round(F.least(F.greatest(c / GRID * size, F.lit(0.0)), size.cast("double")))
-    left, right = scaled(v[1], width), scaled(v[3], width)
-    top, bottom = scaled(v[0], height), scaled(v[2], height)
-    ok = (
-        F.regexp_like(box_json, F.lit(_FOUR_NUMBERS))
-        & (v[3] > v[1])
-        & (v[2] > v[0])
-        & (right - left >= 1)
-        & (bottom - top >= segments)
-    )
-    return F.when(
-        F.coalesce(ok, F.lit(False)),
-        F.struct(
-            left.cast("double").alias("x"),
-            top.cast("double").alias("y"),
-            (right - left).cast("double").alias("w"),
-            (bottom - top).cast("double").alias("h"),
-        ),
+    numbers = F.when(
+        F.regexp_like(box_json, F.lit(_FOUR_NUMBERS)),
+        F.transform(F.split(F.translate(box_json, "[] \t\n", ""), ","), lambda v: v.try_cast("double")),
     )
+    scaled = lambda c, size: js_round(F.least(F.greatest(c / GRID * size, F.lit(0.0)), size.cast("double"))).cast("double")
+
+    def edges(v: Column) -> Column:
+        at = lambda k: F.try_element_at(v, F.lit(k))
+        return F.struct(
+            ((at(4) > at(2)) & (at(3) > at(1))).alias("forward"),
+            scaled(at(2), width).alias("l"),
+            scaled(at(4), width).alias("r"),
+            scaled(at(1), height).alias("t"),
+            scaled(at(3), height).alias("b"),
+        )
+
+    def box(e: Column) -> Column:
+        ok = e["forward"] & (e["r"] - e["l"] >= 1) & (e["b"] - e["t"] >= segments)
+        return F.when(
+            ok,
+            F.struct(
+                e["l"].alias("x"), e["t"].alias("y"), (e["r"] - e["l"]).alias("w"), (e["b"] - e["t"]).alias("h")
+            ),
+        )
+
+    return bind(bind(numbers, edges), box)
 
 
 def bands_for(box: Column, n: Column) -> Column:
@@ -71,36 +82,54 @@ def bands_for(box: Column, n: Column) -> Column:
     )
 
 
-def block_entries(replies: DataFrame, reply: str = "reply") -> DataFrame:
-    """One row per entry of a page's reply: segments, box or null, position.
+REPLY = "lines array<struct<box_2d: string, text: string, text_content: string, label: string>>"
+
 
-    ``replies`` carries run_id, page_index, width, height and the reply text.
+def page_blocks(replies: DataFrame, reply: str = "reply") -> DataFrame:
+    """Each page's entries as an array of (segments, n, box), with counts and the refusal.
+
+    ``replies`` carries run_id, page_index, width, height and the reply text.  A reply is one
+    page, so everything up to the bands happens in its row.
     """
-    schema = "lines array<struct<box_2d: string, text: string, text_content: string, label: string>>"
-    body = F.from_json(extract_json(repair_doubled_keys(reply)), schema)
-    e = replies.select(
-        *PAGE, "width", "height", F.posexplode(body["lines"]).alias("pos", "entry")
-    )
-    text = F.coalesce("entry.text", "entry.text_content", "entry.label", F.lit(""))
-    e = e.withColumn("segments", printed_segments(text)).withColumn("n", F.size("segments"))
-    return e.withColumn(
-        "box", convert_box(F.col("entry.box_2d"), F.col("width"), F.col("height"), F.col("n"))
-    ).drop("entry")
+    w, h = F.col("width"), F.col("height")
+
+    def split(e: Column) -> Column:
+        text = F.coalesce(e["text"], e["text_content"], e["label"], F.lit(""))
+        parts = printed_segments(text)
+        return F.struct(parts.alias("segments"), F.size(parts).alias("n"), e["box_2d"].alias("raw"))
+
+    def place(e: Column) -> Column:
+        return F.struct(
+            e["segments"].alias("segments"), e["n"].alias("n"), convert_box(e["raw"], w, h, e["n"]).alias("box")
+        )
+
+    body = F.from_json(extract_json(repair_doubled_keys(reply)), REPLY)["lines"]
+    p = replies.select(*PAGE, "width", "height", F.transform(F.transform(body, split), place).alias("blocks"))
+    bad = F.size(F.filter("blocks", lambda e: (e["n"] > 0) & e["box"].isNull()))
+    p = p.withColumn("entries", F.size("blocks")).withColumn("dropped", bad)
+    allowed = F.greatest(F.lit(float(MIN_DROPPED_ALLOWANCE)), F.col("entries") * MAX_DROPPED_SHARE)
+    return p.withColumn("refused", F.col("dropped") > allowed)
+
+
+def block_entries(replies: DataFrame, reply: str = "reply") -> DataFrame:
+    """One row per entry of a page's reply: segments, box or null, position."""
+    return page_blocks(replies, reply).select(
+        *PAGE, F.posexplode("blocks").alias("pos", "e")
+    ).select(*PAGE, "pos", "e.*")
 
 
 def block_report(replies: DataFrame, reply: str = "reply") -> DataFrame:
     """Per page: entries, dropped entries, and whether the whole page is refused."""
-    dropped = F.count_if((F.col("n") > 0) & F.col("box").isNull())
-    g = block_entries(replies, reply).groupBy(*PAGE).agg(
-        F.count(F.lit(1)).alias("entries"), dropped.alias("dropped")
-    )
-    allowed = F.greatest(F.lit(float(MIN_DROPPED_ALLOWANCE)), F.col("entries") * MAX_DROPPED_SHARE)
-    return g.withColumn("refused", F.col("dropped") > allowed)
+    return page_blocks(replies, reply).select(*PAGE, "entries", "dropped", "refused")
 
 
 def bands_from_replies(replies: DataFrame, reply: str = "reply") -> DataFrame:
-    """Every printed band of every usable block, marked when it was sliced."""
-    e = block_entries(replies, reply).where("n > 0 and box is not null")
+    """Every printed band of every usable block of the pages not refused, marked when sliced."""
+    # a refused page explodes to nothing; a filter would be pushed below and parse twice
+    kept = F.when(~F.col("refused"), F.col("blocks"))
+    e = page_blocks(replies, reply).select(*PAGE, F.posexplode(kept).alias("pos", "e"))
+    e = e.select(*PAGE, "pos", "e.*")
+    e = e.where("n > 0 and box is not null")
     zipped = F.arrays_zip(F.col("segments").alias("text"), bands_for(F.col("box"), F.col("n")).alias("band"))
     b = e.select(*PAGE, "pos", "n", F.posexplode(zipped).alias("k", "z"))
     return b.select(
@@ -117,6 +146,4 @@ def bands_from_replies(replies: DataFrame, reply: str = "reply") -> DataFrame:
 
 def lines_from_blocks(replies: DataFrame, reply: str = "reply") -> DataFrame:
     """Lines of every page whose reply was not refused."""
-    refused = block_report(replies, reply).where("refused").select(*PAGE)
-    bands = bands_from_replies(replies, reply).join(refused, PAGE, "left_anti")
-    return group_words_into_lines(bands)
+    return group_words_into_lines(bands_from_replies(replies, reply))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliary.core import first_by, is_blank, strip_space
+from foliary.core import first_by, strip_space
 from foliary.functions.cells import (
     format_class,
     number_to_col,
@@ -40,51 +40,55 @@ def type_cells(
         .join(strings, ["book_id", "_idx"], "left")
     )
     t = F.coalesce("t", F.lit("n"))
-    stored = strip_space(F.coalesce("v", F.lit("")))
-    blank = is_blank("v")
-    x = stored.try_cast("double")
+    c = c.withColumn("_stored", strip_space(F.coalesce("v", F.lit(""))))
+    stored, blank = F.col("_stored"), F.col("_stored") == ""
+    number = ~t.isin("s", "inlineStr", "str", "b", "e") & ~blank
+    # each step is a column of its own, so that the number text is worked out once
+    c = c.withColumn("_x", F.when(number, stored.try_cast("double")))
+    x = F.col("_x")
     finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
-    number = ~t.isin("s", "inlineStr", "str", "b", "e")
-    date = F.when(number & (F.col("format") == "date") & finite, serial_to_date(x, "date1904"))
-    percent = number & F.coalesce(F.col("format") == "percent", F.lit(False)) & finite
+    c = c.withColumn(
+        "_date", F.when(finite & (F.col("format") == "date"), serial_to_date(x, "date1904"))
+    )
+    c = c.withColumn("_percent", F.coalesce(finite & (F.col("format") == "percent"), F.lit(False)))
+    shown = F.when(F.col("_percent"), (x * 100).cast("string")).otherwise(stored)
+    c = c.withColumn("_plain", F.when(number & F.col("_date").isNull(), plain_number(shown)))
     text = (
         F.when(t == "s", F.when(~blank, F.col("_shared")))
         .when(t == "inlineStr", F.coalesce("inline", F.lit("")))
         .when(t.isin("str", "e"), F.coalesce("v", F.lit("")))
         .when(blank, F.lit(None).cast("string"))
         .when(t == "b", F.when(stored == "1", "TRUE").otherwise("FALSE"))
-        .when(date.isNotNull(), date)
-        .when(percent, F.concat(plain_number((x * 100).cast("string")), F.lit("%")))
-        .otherwise(plain_number("v"))
+        .when(F.col("_date").isNotNull(), F.col("_date"))
+        .when(F.col("_percent"), F.concat("_plain", F.lit("%")))
+        .otherwise(F.col("_plain"))
     )
     kind = (
         F.when(t.isin("s", "inlineStr", "e"), "text")
         .when(t == "str", "formula")
         .when(t == "b", "boolean")
-        .when(date.isNotNull(), "date")
+        .when(F.col("_date").isNotNull(), "date")
         .otherwise("number")
     )
-    c = c.withColumn("text", strip_space(text))
     raw = (
         F.when(t.isin("s", "inlineStr", "str", "e"), F.lit(None).cast("string"))
         .when(t == "b", F.when(stored == "1", "1").otherwise("0"))
-        .when(date.isNotNull() | percent, stored)
-        .when(plain_number("v") != stored, stored)
+        .when(F.col("_date").isNotNull() | F.col("_percent"), stored)
+        .when(F.col("_plain") != stored, stored)
     )
     at = parse_ref("ref")
-    return (
-        c.where("text is not null and text <> ''")
-        .select(
-            *SHEET,
-            "ref",
-            at["row"].alias("row"),
-            at["col"].cast("int").alias("col"),
-            "text",
-            raw.alias("raw"),
-            F.when(F.col("has_formula"), "formula").otherwise(kind).alias("kind"),
-            *[c for c in ("pos",) if c in cells_raw.columns],
-        )
+    extra = [k for k in ("pos",) if k in cells_raw.columns]
+    typed = c.select(
+        *SHEET,
+        "ref",
+        at["row"].alias("row"),
+        at["col"].cast("int").alias("col"),
+        strip_space(text).alias("text"),
+        raw.alias("raw"),
+        F.when(F.col("has_formula"), "formula").otherwise(kind).alias("kind"),
+        *extra,
     )
+    return typed.where("text <> ''")
 
 
 def sheet_extents(cells: DataFrame) -> DataFrame:
