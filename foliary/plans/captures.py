@@ -14,7 +14,10 @@ from foliary.plans.evidence import Evidence, add_duck, duck
 from foliary.plans.reconcile import added_pages, proposal_pages
 from foliary.plans.registry import query
 
-P = F.col("pos")
+
+def _place():
+    return F.col("pos")
+
 
 
 def _s(c):
@@ -37,10 +40,10 @@ def overlay_tables(ev: Evidence) -> dict[str, DataFrame]:
         "run_id", "section_id", F.when((n + run) % 4 == 0, F.concat("section_title", F.lit(" (baru)"))).alias("title"), F.when((n + run) % 4 == 1, F.lit(True)).alias("removed")
     )
     slots = s.where("pos % 3 = 0").select(
-        "run_id", "slot_key", F.when(P % 2 == 0, F.concat(F.lit("Renamed "), _s(P))).alias("label"), F.when(P % 9 == 3, F.lit(True)).alias("removed")
+        "run_id", "slot_key", F.when(_place() % 2 == 0, F.concat(F.lit("Renamed "), _s(_place()))).alias("label"), F.when(_place() % 9 == 3, F.lit(True)).alias("removed")
     )
     added = s.where("pos % 8 = 2").select(
-        "run_id", F.when(P % 16 == 10, F.lit("sec-1")).otherwise(F.concat(F.lit("u:"), "section_id")).alias("section_id"), F.concat(F.lit("Added "), "section_title").alias("section_title"),
+        "run_id", F.when(_place() % 16 == 10, F.lit("sec-1")).otherwise(F.concat(F.lit("u:"), "section_id")).alias("section_id"), F.concat(F.lit("Added "), "section_title").alias("section_title"),
         F.when(n % 2 == 0, "human").otherwise("llm").alias("origin"), "section_pos", F.concat(F.lit("u:"), "slot_key").alias("slot_key"), F.lit("Page").alias("label"), F.lit(0).alias("pos"),
     )
     order = one.where("section_pos >= 2").select("run_id", "section_id", (F.lit(9) - n).cast("int").alias("place"))
@@ -165,7 +168,7 @@ def d17_walk(ev: Evidence) -> DataFrame:
 
 @query("d17_sources_to_discover", duck("select run_id, source_id from srcs where ai and (pos % 2 <> 0 or pos % 3 = 0)", "srcs"))
 def d17_sources(ev: Evidence) -> DataFrame:
-    s = ev.sources.withColumn("sections_asked", F.when(P % 2 == 0, F.lit(True)))
+    s = ev.sources.withColumn("sections_asked", F.when(_place() % 2 == 0, F.lit(True)))
     return cap.sources_to_discover(s, ev.sources.where("pos % 3 = 0"))
 
 
@@ -174,10 +177,10 @@ def d17_sources(ev: Evidence) -> DataFrame:
 
 def answers(ev: Evidence) -> DataFrame:
     """An answer per capture: proposals, outstanding and out-of-scope keys."""
-    m = P % 5
+    m = _place() % 5
     o = F.when(m == 0, "out-of-scope").when(m <= 2, "proposal").otherwise("outstanding")
     return ev.captures.where("pos % 7 <> 0").select(
-        "run_id", "key", o.alias("outcome"), P.alias("page_index"), F.lit(0).alias("from_line"), F.lit(1).alias("to_line"), F.concat(F.lit("t"), _s(P)).alias("text")
+        "run_id", "key", o.alias("outcome"), _place().alias("page_index"), F.lit(0).alias("from_line"), F.lit(1).alias("to_line"), F.concat(F.lit("t"), _s(_place())).alias("text")
     )
 
 
@@ -203,10 +206,10 @@ def d13(ev: Evidence) -> DataFrame:
 def found_continuations(ev: Evidence) -> tuple[DataFrame, DataFrame]:
     """Two answers per second capture; some repeat a zone the slot holds."""
     c = ev.captures.where("pos % 2 = 0").select("run_id", F.col("key").alias("after"), "pos", F.explode(F.array(F.lit(0), F.lit(1))).alias("at"))
-    same = (P % 8 == 0) & (F.col("at") == 0)
+    same = (_place() % 8 == 0) & (F.col("at") == 0)
     found = c.select(
-        "run_id", "after", (P * 4 + F.col("at")).alias("seq"), (P + 1 + F.when(same, 0).otherwise(F.col("at"))).cast("int").alias("page_index"),
-        F.lit(0).alias("from_line"), F.lit(3).alias("to_line"), ((F.col("at") == 0) | (P % 3 == 0)).alias("checked"),
+        "run_id", "after", (_place() * 4 + F.col("at")).alias("seq"), (_place() + 1 + F.when(same, 0).otherwise(F.col("at"))).cast("int").alias("page_index"),
+        F.lit(0).alias("from_line"), F.lit(3).alias("to_line"), ((F.col("at") == 0) | (_place() % 3 == 0)).alias("checked"),
     )
     return found, ev.captures.where("pos % 2 = 0").select("run_id", "key")
 
@@ -420,7 +423,7 @@ def d18(ev: Evidence) -> DataFrame:
 @query("d19_usable_extractions", duck("select run_id from runs where run_id <> 'run-2'", "runs"))
 def d19(ev: Evidence) -> DataFrame:
     """Signatures taken before one source of run-2 was opened or fenced."""
-    moved = (F.col("run_id") == "run-2") & (P == 2)
+    moved = (F.col("run_id") == "run-2") & (_place() == 2)
     before = ev.sources.withColumn("ai", F.when(moved, ~F.col("ai")).otherwise(F.col("ai")))
     return cap.usable_extractions(cap.extraction_signature(before), ev.sources).select("run_id")
 
@@ -433,7 +436,7 @@ def d19(ev: Evidence) -> DataFrame:
     ),
 )
 def d20(ev: Evidence) -> DataFrame:
-    z = ev.captures.where("page_index is not null").select("run_id", "slot_key", (P % 3).cast("int").alias("round"), "pos", "page_index")
+    z = ev.captures.where("page_index is not null").select("run_id", "slot_key", (_place() % 3).cast("int").alias("round"), "pos", "page_index")
     return cap.merge_zones(z)
 
 
@@ -455,4 +458,4 @@ def d22(ev: Evidence) -> DataFrame:
 )
 def d23(ev: Evidence) -> DataFrame:
     created = ev.runs.select("run_id", (F.regexp_extract("run_id", "([0-9]+)$", 1).cast("int") * 1000).alias("created_at"))
-    return cap.list_runs(ev.sources.withColumn("digest", F.when(P % 4 != 1, F.sha2("name", 256))), created)
+    return cap.list_runs(ev.sources.withColumn("digest", F.when(_place() % 4 != 1, F.sha2("name", 256))), created)

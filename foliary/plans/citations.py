@@ -17,7 +17,10 @@ from foliary.plans.pools import WHOLE_SQL, open_pool, open_typed
 from foliary.plans.registry import query
 from foliary.plans.text import q_fold, q_reading_tokens
 
-CID = F.col("claim_id")
+
+def _claim():
+    return F.col("claim_id")
+
 
 # ------------------------------------------------------------------ V1 - V3
 
@@ -81,7 +84,7 @@ def v3(ev: Evidence) -> DataFrame:
 
 def field_replies(ev: Evidence) -> DataFrame:
     """A reply per claim: a wanted value, an unwanted key and a blank value."""
-    position = (CID * 7 % 400).cast("int")
+    position = (_claim() * 7 % 400).cast("int")
 
     def entry(key, value):
         return F.struct(
@@ -93,19 +96,19 @@ def field_replies(ev: Evidence) -> DataFrame:
         )
 
     values = F.array(
-        entry(F.concat(F.lit("field-"), (CID % 20).cast("string")), F.concat(F.lit("value "), (CID % 3).cast("string"))),
+        entry(F.concat(F.lit("field-"), (_claim() % 20).cast("string")), F.concat(F.lit("value "), (_claim() % 3).cast("string"))),
         entry(F.lit("unwanted"), F.lit("x")),
         entry(F.lit("field-1"), F.lit("  ")),
     )
     body = F.to_json(F.struct(values.alias("values")))
-    reply = F.when(CID % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(
-        CID % 41 == 1, "no idea"
+    reply = F.when(_claim() % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(
+        _claim() % 41 == 1, "no idea"
     ).otherwise(body)
     return ev.claims.select("run_id", F.lit("KB").alias("pool_id"), "claim_id", reply.alias("reply"))
 
 
 def wanted_keys(ev: Evidence) -> DataFrame:
-    return ev.claims.select("run_id", F.concat(F.lit("field-"), (CID % 20).cast("string")).alias("field_key")).distinct()
+    return ev.claims.select("run_id", F.concat(F.lit("field-"), (_claim() % 20).cast("string")).alias("field_key")).distinct()
 
 
 add_duck(
@@ -167,9 +170,9 @@ def slot_answers(ev: Evidence) -> DataFrame:
     """Answers for thirty slot keys, several to a slot, some beyond the pool."""
     return ev.claims.select(
         "run_id",
-        F.concat(F.lit("slot-"), (CID % 30).cast("string")).alias("slot_key"),
-        CID.alias("pos"),
-        F.when(F.col("page_index").isNotNull(), (CID * 7 % 600).cast("int")).alias("position"),
+        F.concat(F.lit("slot-"), (_claim() % 30).cast("string")).alias("slot_key"),
+        _claim().alias("pos"),
+        F.when(F.col("page_index").isNotNull(), (_claim() * 7 % 600).cast("int")).alias("position"),
         "from_line",
         "to_line",
         F.lit("high").alias("confidence"),
@@ -268,22 +271,22 @@ def v25(ev: Evidence) -> DataFrame:
 
 
 def second_readings(ev: Evidence) -> tuple[DataFrame, DataFrame]:
-    key = F.concat(F.lit("f-"), CID.cast("string"))
-    value = F.when(CID % 23 == 0, " ").when(CID % 29 == 0, "---").otherwise(
-        F.concat(F.lit("No. "), CID.cast("string"), F.lit(" / OIl-10"))
+    key = F.concat(F.lit("f-"), _claim().cast("string"))
+    value = F.when(_claim() % 23 == 0, " ").when(_claim() % 29 == 0, "---").otherwise(
+        F.concat(F.lit("No. "), _claim().cast("string"), F.lit(" / OIl-10"))
     )
     values = ev.claims.select(
         "run_id",
         key.alias("field_key"),
         value.alias("value"),
-        (CID % 9 == 0).alias("conflict"),
+        (_claim() % 9 == 0).alias("conflict"),
         "page_index",
         "from_line",
         "to_line",
     )
-    reading = F.when(CID % 7 == 0, F.lit(None).cast("string")).when(
-        CID % 5 == 0, F.concat(F.lit("no "), (CID + 2).cast("string"))
-    ).otherwise(F.concat(F.lit("Ref: NO "), CID.cast("string"), F.lit(" /  0i1 1o, lampiran")))
+    reading = F.when(_claim() % 7 == 0, F.lit(None).cast("string")).when(
+        _claim() % 5 == 0, F.concat(F.lit("no "), (_claim() + 2).cast("string"))
+    ).otherwise(F.concat(F.lit("Ref: NO "), _claim().cast("string"), F.lit(" /  0i1 1o, lampiran")))
     return values, ev.claims.select("run_id", key.alias("field_key"), reading.alias("reading"))
 
 

@@ -14,7 +14,10 @@ from foliary.plans.registry import query
 from foliary.plans.sources import s10
 from foliary.sources.transcripts import digests
 
-D = F.col("doc_id")
+
+def _doc():
+    return F.col("doc_id")
+
 
 
 def _s(c):
@@ -26,7 +29,7 @@ def _s(c):
 
 def drops(ev: Evidence) -> tuple[DataFrame, DataFrame]:
     """Even documents are held, odd ones arrive."""
-    d = digests(ev.documents.select("run_id", F.concat(F.lit("doc-"), _s(D)).alias("name"), D.alias("pos"), "text"), "text")
+    d = digests(ev.documents.select("run_id", F.concat(F.lit("doc-"), _s(_doc())).alias("name"), _doc().alias("pos"), "text"), "text")
     held = d.where("pos % 2 = 0").withColumn("digest", F.when(F.col("pos") % 10 != 4, F.col("digest")))
     return d.where("pos % 2 = 1"), held
 
@@ -73,12 +76,12 @@ def readings(ev: Evidence) -> tuple[DataFrame, DataFrame]:
     p = ev.table("documents").select("doc_id", "source", "n_chars")
     n = F.col("n_chars")
     row = lambda lines, chars, col: [
-        F.col("source").alias("pair_id"), _s(D).alias("page"), lines.alias("lines"), chars.alias("chars"), (D % 100 / 100.0).alias("cover"), (D % 90 / 100.0).alias("ink"),
-        (D % 7 / 10.0).alias("uncovered"), col.alias("collapsed"), (D % 5).alias("interpolated"),
+        F.col("source").alias("pair_id"), _s(_doc()).alias("page"), lines.alias("lines"), chars.alias("chars"), (_doc() % 100 / 100.0).alias("cover"), (_doc() % 90 / 100.0).alias("ink"),
+        (_doc() % 7 / 10.0).alias("uncovered"), col.alias("collapsed"), (_doc() % 5).alias("interpolated"),
     ]
-    base = p.where("doc_id % 19 <> 0").select(*row(D % 40 + 5, n, D % 3))
+    base = p.where("doc_id % 19 <> 0").select(*row(_doc() % 40 + 5, n, _doc() % 3))
     cand = p.where("doc_id % 23 <> 0").select(
-        *row(D % 40 + 5 - F.when(D % 7 == 0, 3).otherwise(0), n - F.when(D % 7 <= 1, F.floor(n / 4)).otherwise(0), D % 3 + F.when(D % 11 == 0, 4).otherwise(0))
+        *row(_doc() % 40 + 5 - F.when(_doc() % 7 == 0, 3).otherwise(0), n - F.when(_doc() % 7 <= 1, F.floor(n / 4)).otherwise(0), _doc() % 3 + F.when(_doc() % 11 == 0, 4).otherwise(0))
     )
     return base, cand
 
@@ -182,9 +185,9 @@ def u6(ev: Evidence) -> DataFrame:
 )
 def u7(ev: Evidence) -> DataFrame:
     p = ev.pages.select(
-        "run_id", F.when(D % 43 == 5, F.col("page_index") + 900000).otherwise(F.col("page_index")).cast("int").alias("page_index"), "source_id",
-        F.when(D % 31 == 3, F.col("page_in_doc") + 100000).when(D % 37 == 2, -1).otherwise(F.col("page_in_doc")).cast("int").alias("page_in_doc"),
-        F.when(D % 41 == 7, 0).otherwise(F.col("width")).alias("width"), "height",
+        "run_id", F.when(_doc() % 43 == 5, F.col("page_index") + 900000).otherwise(F.col("page_index")).cast("int").alias("page_index"), "source_id",
+        F.when(_doc() % 31 == 3, F.col("page_in_doc") + 100000).when(_doc() % 37 == 2, -1).otherwise(F.col("page_in_doc")).cast("int").alias("page_in_doc"),
+        F.when(_doc() % 41 == 7, 0).otherwise(F.col("width")).alias("width"), "height",
     )
     return cmp.page_violations(p, broken_lines(ev))
 
@@ -275,21 +278,21 @@ def u9_entries(ev: Evidence) -> DataFrame:
 def gold_rows(ev: Evidence) -> DataFrame:
     """A crop per page: two neighbouring printed lines of the page, misread on some pages."""
     n = F.col("n_lines")
-    first = (D % F.greatest(n - 2, F.lit(1))).cast("int")
+    first = (_doc() % F.greatest(n - 2, F.lit(1))).cast("int")
     return ev.pages.select(
-        "run_id", "page_index", "doc_id", "n_lines", first.alias("a"), F.least(first + D % 2, n - 1).cast("int").alias("b"), (D % 6 == 0).alias("whole_document")
+        "run_id", "page_index", "doc_id", "n_lines", first.alias("a"), F.least(first + _doc() % 2, n - 1).cast("int").alias("b"), (_doc() % 6 == 0).alias("whole_document")
     )
 
 
 def crop_lines(ev: Evidence) -> DataFrame:
     g = gold_rows(ev).select("run_id", "page_index", "doc_id", "a", "b")
     l = ev.lines.select(*PAGE, "i", "text").join(g, PAGE).where("i between a and b")
-    garbled = F.when(D % 9 == 0, F.regexp_replace("text", "[aeiou]", "zz")).when(D % 9 == 1, F.translate("text", "ae", "ea")).when(D % 9 == 2, "--").otherwise(F.col("text"))
-    return l.select(D.alias("crop_id"), "i", garbled.alias("text"))
+    garbled = F.when(_doc() % 9 == 0, F.regexp_replace("text", "[aeiou]", "zz")).when(_doc() % 9 == 1, F.translate("text", "ae", "ea")).when(_doc() % 9 == 2, "--").otherwise(F.col("text"))
+    return l.select(_doc().alias("crop_id"), "i", garbled.alias("text"))
 
 
 def crop_pairs(ev: Evidence) -> DataFrame:
-    return gold_rows(ev).select(D.alias("crop_id"), *PAGE)
+    return gold_rows(ev).select(_doc().alias("crop_id"), *PAGE)
 
 
 @query("v22_required_ranges")
@@ -304,9 +307,9 @@ def v29(ev: Evidence) -> DataFrame:
 
 def gate_rows(ev: Evidence) -> DataFrame:
     g = gold_rows(ev)
-    t = F.when(D % 5 == 0, F.col("n_lines") - 1).when(D % 5 == 1, F.col("b") + 1).otherwise(F.col("b"))
+    t = F.when(_doc() % 5 == 0, F.col("n_lines") - 1).when(_doc() % 5 == 1, F.col("b") + 1).otherwise(F.col("b"))
     z = g.select(
-        D.alias("claim_id"), "run_id", "page_index", F.when(D % 5 == 0, 0).when(D % 5 == 2, F.least(F.col("a") + 1, F.col("b"))).otherwise(F.col("a")).cast("int").alias("from_line"),
+        _doc().alias("claim_id"), "run_id", "page_index", F.when(_doc() % 5 == 0, 0).when(_doc() % 5 == 2, F.least(F.col("a") + 1, F.col("b"))).otherwise(F.col("a")).cast("int").alias("from_line"),
         F.least(t, F.col("n_lines") - 1).cast("int").alias("to_line"),
     )
     r = boxes_for_ranges(z, ev.lines, ev.pages)
@@ -314,7 +317,7 @@ def gate_rows(ev: Evidence) -> DataFrame:
     results = r.where("claim_id % 13 <> 0").select(
         d.alias("crop_id"), "run_id", F.when(d % 17 == 0, F.col("page_index") + 1).otherwise(F.col("page_index")).cast("int").alias("page_index"), "from_line", "to_line", "h"
     )
-    gold = g.select(D.alias("crop_id"), "run_id", F.array("page_index").alias("accepted"), "whole_document")
+    gold = g.select(_doc().alias("crop_id"), "run_id", F.array("page_index").alias("accepted"), "whole_document")
     return cmp.gate_evaluate(results, gold, crop_lines(ev), ev.lines, ev.pages)
 
 

@@ -13,7 +13,10 @@ from foliary.plans.evidence import Evidence, add_duck, duck
 from foliary.plans.registry import query
 from foliary.plans.text import value_pairs
 
-ID = F.col("id")
+
+def _num():
+    return F.col("id")
+
 
 
 def _s(c):
@@ -22,39 +25,43 @@ def _s(c):
 
 # ------------------------------------------------------------------ V10, V28
 
-K = F.col("p_partkey")
-ROW = _s(K + 2)
+
+def _part():
+    return F.col("p_partkey")
+
+def _row_text():
+    return _s(_part() + 2)
 
 
 def named_cells(ev: Evidence) -> DataFrame:
     """A label cell per part, and a value cell for every second one."""
     p = ev.table("part").select(
-        F.concat(F.lit("b"), _s(K % 4)).alias("book_id"), F.concat(F.lit("S"), _s(K % 2)).alias("sheet"), "p_partkey", "p_name", "p_brand"
+        F.concat(F.lit("b"), _s(_part() % 4)).alias("book_id"), F.concat(F.lit("S"), _s(_part() % 2)).alias("sheet"), "p_partkey", "p_name", "p_brand"
     )
-    label = F.struct(F.concat(F.lit("C"), ROW).alias("ref"), (K + 2).cast("int").alias("row"), F.lit(3).alias("col"), F.concat("p_name", F.lit("  :")).alias("text"))
-    value = F.struct(F.concat(F.lit("E"), ROW).alias("ref"), (K + 2).cast("int").alias("row"), F.lit(5).alias("col"), F.col("p_brand").alias("text"))
-    both = F.when(K % 3 == 0, F.array(label, value)).otherwise(F.array(label))
+    label = F.struct(F.concat(F.lit("C"), _row_text()).alias("ref"), (_part() + 2).cast("int").alias("row"), F.lit(3).alias("col"), F.concat("p_name", F.lit("  :")).alias("text"))
+    value = F.struct(F.concat(F.lit("E"), _row_text()).alias("ref"), (_part() + 2).cast("int").alias("row"), F.lit(5).alias("col"), F.col("p_brand").alias("text"))
+    both = F.when(_part() % 3 == 0, F.array(label, value)).otherwise(F.array(label))
     return p.select("book_id", "sheet", F.explode(both).alias("c")).select("book_id", "sheet", "c.*")
 
 
 def named_fields(ev: Evidence) -> DataFrame:
-    m = K % 13
-    ref = lambda letter, shift=0: F.concat(F.lit(letter), _s(K + 2 + shift))
+    m = _part() % 13
+    ref = lambda letter, shift=0: F.concat(F.lit(letter), _s(_part() + 2 + shift))
     return ev.table("part").select(
-        F.concat(F.lit("b"), _s(K % 4)).alias("book_id"),
-        F.concat(F.lit("S"), _s(K % 2)).alias("sheet"),
-        K.alias("pos"),
+        F.concat(F.lit("b"), _s(_part() % 4)).alias("book_id"),
+        F.concat(F.lit("S"), _s(_part() % 2)).alias("sheet"),
+        _part().alias("pos"),
         F.when(m == 7, "  ").when(m == 8, "not there").when(m == 12, "").otherwise(F.col("p_name")).alias("label"),
         F.when(m == 0, "c1").when(m == 2, "C999999").when(m == 3, ref("D")).otherwise(ref("C")).alias("label_ref"),
         F.when(m == 1, "E0").when(m == 4, "ZZ5").when(m == 5, ref("F")).when(m == 6, ref("C")).when(m == 9, ref("E", -12)).when(m == 11, ref("C", 12)).otherwise(ref("E")).alias("value_ref"),
-        F.when(K % 2 == 0, " row ").alias("group"),
+        F.when(_part() % 2 == 0, " row ").alias("group"),
     )
 
 
 def merged_ranges(ev: Evidence) -> DataFrame:
     return ev.table("part").where("p_partkey % 13 = 5").select(
-        F.concat(F.lit("b"), _s(K % 4)).alias("book_id"), F.concat(F.lit("S"), _s(K % 2)).alias("sheet"),
-        (K + 2).cast("int").alias("r1"), F.lit(5).alias("c1"), (K + 2).cast("int").alias("r2"), F.lit(6).alias("c2"),
+        F.concat(F.lit("b"), _s(_part() % 4)).alias("book_id"), F.concat(F.lit("S"), _s(_part() % 2)).alias("sheet"),
+        (_part() + 2).cast("int").alias("r1"), F.lit(5).alias("c1"), (_part() + 2).cast("int").alias("r2"), F.lit(6).alias("c2"),
     )
 
 
@@ -125,8 +132,8 @@ def v28(ev: Evidence) -> DataFrame:
 
 def compared_fields(ev: Evidence) -> DataFrame:
     return value_pairs(ev).select(
-        F.concat(F.lit("run-"), _s(ID % 4)).alias("run_id"), F.concat(F.lit("f"), _s(ID)).alias("field_id"),
-        F.when(ID % 17 == 0, " ").otherwise(F.col("a")).alias("excel_value"), F.col("a").alias("label"), ID.alias("pos"), "b",
+        F.concat(F.lit("run-"), _s(_num() % 4)).alias("run_id"), F.concat(F.lit("f"), _s(_num())).alias("field_id"),
+        F.when(_num() % 17 == 0, " ").otherwise(F.col("a")).alias("excel_value"), F.col("a").alias("label"), _num().alias("pos"), "b",
     )
 
 
@@ -255,13 +262,13 @@ def v27(ev: Evidence) -> DataFrame:
 
 def entries(ev: Evidence) -> DataFrame:
     """A compared entry per part in every verdict and decision."""
-    k5 = ID % 5
+    k5 = _num() % 5
     d = F.when(k5 == 1, "setuju").when(k5 == 2, "tolak").when(k5 == 3, "manual").otherwise("belum")
-    v = F.when(ID % 4 == 0, "cocok").when(ID % 4 == 2, "tidak-ditemukan").otherwise("beda")
+    v = F.when(_num() % 4 == 0, "cocok").when(_num() % 4 == 2, "tidak-ditemukan").otherwise("beda")
     return value_pairs(ev).select(
-        F.concat(F.lit("run-"), _s(ID % 4)).alias("run_id"), F.concat(F.lit("e"), _s(ID)).alias("entry_id"), F.concat(F.lit("Sheet"), _s(ID % 3)).alias("sheet"),
-        F.concat(F.lit("C"), _s(ID + 1)).alias("ref"), F.col("a").alias("excel_value"), F.when(ID % 7 != 0, F.col("b")).alias("document_value"), v.alias("verdict"), d.alias("decision"),
-        F.when(k5 == 3, F.when(ID % 10 == 3, "").otherwise(F.concat(F.lit("M"), _s(ID)))).alias("manual_value"), ID.alias("id"),
+        F.concat(F.lit("run-"), _s(_num() % 4)).alias("run_id"), F.concat(F.lit("e"), _s(_num())).alias("entry_id"), F.concat(F.lit("Sheet"), _s(_num() % 3)).alias("sheet"),
+        F.concat(F.lit("C"), _s(_num() + 1)).alias("ref"), F.col("a").alias("excel_value"), F.when(_num() % 7 != 0, F.col("b")).alias("document_value"), v.alias("verdict"), d.alias("decision"),
+        F.when(k5 == 3, F.when(_num() % 10 == 3, "").otherwise(F.concat(F.lit("M"), _s(_num())))).alias("manual_value"), _num().alias("id"),
     )
 
 
@@ -288,7 +295,7 @@ def d1_edits(ev: Evidence) -> DataFrame:
 def fresh_entries(ev: Evidence) -> DataFrame:
     """A second comparison: some entries new, some gone, nothing decided."""
     e = entries(ev).where("id % 6 <> 1")
-    return e.withColumn("entry_id", F.when(ID % 8 == 0, F.concat(F.lit("n"), _s(ID))).otherwise(F.col("entry_id"))).withColumn("verdict", F.lit("beda"))
+    return e.withColumn("entry_id", F.when(_num() % 8 == 0, F.concat(F.lit("n"), _s(_num()))).otherwise(F.col("entry_id"))).withColumn("verdict", F.lit("beda"))
 
 
 @query(
@@ -309,11 +316,11 @@ def d2(ev: Evidence) -> DataFrame:
 def decision_log(ev: Evidence) -> DataFrame:
     """Three decisions per entry, some unsound."""
     e = entries(ev).select("run_id", "entry_id", "id", F.explode(F.array(*[F.lit(k) for k in (0, 1, 2)])).alias("k"))
-    m = (ID + F.col("k")) % 5
+    m = (_num() + F.col("k")) % 5
     return e.select(
-        "run_id", F.when(ID % 50 == 7, "unknown").otherwise(F.col("entry_id")).alias("entry_id"), (ID * 3 + F.col("k")).alias("seq"),
+        "run_id", F.when(_num() % 50 == 7, "unknown").otherwise(F.col("entry_id")).alias("entry_id"), (_num() * 3 + F.col("k")).alias("seq"),
         F.when(m == 0, "setuju").when(m == 1, "manual").when(m == 2, "manual").when(m == 3, "maybe").otherwise("tolak").alias("decision"),
-        F.when(m == 1, F.concat(F.lit("t"), _s(ID))).when((m == 4) & (ID % 3 == 0), "stray").alias("manual_value"),
+        F.when(m == 1, F.concat(F.lit("t"), _s(_num()))).when((m == 4) & (_num() % 3 == 0), "stray").alias("manual_value"),
     )
 
 
@@ -362,8 +369,8 @@ def d3(ev: Evidence) -> DataFrame:
 )
 def d5(ev: Evidence) -> DataFrame:
     nxt = entries(ev).where("id % 10 <> 6")
-    nxt = nxt.withColumn("decision", F.when(ID % 9 == 0, "belum").otherwise(F.col("decision"))).withColumn(
-        "manual_value", F.when(ID % 15 != 3, F.col("manual_value"))
+    nxt = nxt.withColumn("decision", F.when(_num() % 9 == 0, "belum").otherwise(F.col("decision"))).withColumn(
+        "manual_value", F.when(_num() % 15 != 3, F.col("manual_value"))
     )
     return dec.discarded_decisions(entries(ev), nxt)
 
@@ -454,6 +461,6 @@ def a17(ev: Evidence) -> DataFrame:
 )
 def w3(ev: Evidence) -> DataFrame:
     e = entries(ev).select("run_id", "sheet", "ref", "id", "excel_value", dec.effective_value().alias("value")).where("value <> excel_value")
-    ref = F.when(ID % 11 == 0, F.concat(F.lit("c"), _s(ID))).when(ID % 13 == 0, F.concat(F.lit("XFE"), _s(ID))).when(ID % 19 == 0, "A1").otherwise(F.col("ref"))
-    value = F.when(ID % 17 == 0, F.concat(F.lit("x"), F.chr(F.lit(7)))).otherwise(F.col("value"))
+    ref = F.when(_num() % 11 == 0, F.concat(F.lit("c"), _s(_num()))).when(_num() % 13 == 0, F.concat(F.lit("XFE"), _s(_num()))).when(_num() % 19 == 0, "A1").otherwise(F.col("ref"))
+    value = F.when(_num() % 17 == 0, F.concat(F.lit("x"), F.chr(F.lit(7)))).otherwise(F.col("value"))
     return dec.edit_violations(e.select("run_id", "sheet", ref.alias("ref"), value.alias("value")))

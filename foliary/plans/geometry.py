@@ -11,7 +11,10 @@ from foliary.operators import quality as qual
 from foliary.plans.evidence import Evidence, add_duck, duck
 from foliary.plans.registry import query
 
-D = F.col("doc_id")
+
+def _doc():
+    return F.col("doc_id")
+
 
 # ------------------------------------------------------------------ inputs
 
@@ -20,10 +23,10 @@ def drags(ev: Evidence) -> DataFrame:
     return ev.pages.select(
         *PAGE,
         F.lit(30.0).alias("x"),
-        (F.lit(40.0) * (D % F.col("n_lines")) + D % 23).alias("y"),
-        F.when(D % 2 == 1, 3000.0).otherwise(200.0).alias("w"),
-        ((D % 7) * 30.0 + 20).alias("h"),
-        (D % 3 != 0).alias("snap"),
+        (F.lit(40.0) * (_doc() % F.col("n_lines")) + _doc() % 23).alias("y"),
+        F.when(_doc() % 2 == 1, 3000.0).otherwise(200.0).alias("w"),
+        ((_doc() % 7) * 30.0 + 20).alias("h"),
+        (_doc() % 3 != 0).alias("snap"),
     )
 
 
@@ -37,17 +40,17 @@ add_duck(
 
 
 def zone_boxes(ev: Evidence) -> DataFrame:
-    whole = D % 9 == 0
-    free = D % 5 == 0
+    whole = _doc() % 9 == 0
+    free = _doc() % 5 == 0
     n = F.col("n_lines")
     return ev.pages.select(
         *PAGE,
         F.when(whole, 0.0).otherwise(40.0).alias("x"),
         F.when(whole, 0.0).otherwise(100.0).alias("y"),
-        F.when(whole, F.col("width").cast("double")).otherwise(1000.0 + D % 977).alias("w"),
-        F.when(whole, F.col("height").cast("double")).otherwise((D % 37) * 100.0).alias("h"),
-        F.when(whole, 0).when(free, -1).otherwise(D % n).cast("int").alias("from_line"),
-        F.when(whole, n - 1).when(free, -1).otherwise(D % n + D % 4).cast("int").alias("to_line"),
+        F.when(whole, F.col("width").cast("double")).otherwise(1000.0 + _doc() % 977).alias("w"),
+        F.when(whole, F.col("height").cast("double")).otherwise((_doc() % 37) * 100.0).alias("h"),
+        F.when(whole, 0).when(free, -1).otherwise(_doc() % n).cast("int").alias("from_line"),
+        F.when(whole, n - 1).when(free, -1).otherwise(_doc() % n + _doc() % 4).cast("int").alias("to_line"),
     )
 
 
@@ -65,7 +68,7 @@ add_duck(
 
 
 def broken_lines(ev: Evidence) -> DataFrame:
-    k = D + F.col("i")
+    k = _doc() + F.col("i")
     return ev.lines.select(
         *PAGE,
         F.col("i").alias("pos"),
@@ -88,7 +91,7 @@ add_duck(
 
 
 def tall_lines(ev: Evidence) -> DataFrame:
-    k = D + F.col("i")
+    k = _doc() + F.col("i")
     return ev.lines.withColumn("h", F.when(k % 31 == 0, 60.0).otherwise(F.col("h"))).withColumn(
         "origin", F.when(k % 29 == 0, F.lit(None)).otherwise(F.col("origin"))
     )
@@ -110,7 +113,7 @@ def ink_rows(ev: Evidence) -> DataFrame:
     )
     extra = ev.pages.where("doc_id % 10 <= 1").select(
         *PAGE,
-        F.explode(F.sequence(F.lit(3000), F.when(D % 10 == 0, 3399).otherwise(3099))).alias("y"),
+        F.explode(F.sequence(F.lit(3000), F.when(_doc() % 10 == 0, 3399).otherwise(3099))).alias("y"),
     )
     return printed.unionByName(extra).distinct()
 
@@ -563,8 +566,8 @@ def q3(ev: Evidence) -> DataFrame:
         tries.select(
             *PAGE,
             "attempt",
-            ((D + F.col("attempt")) % 4 == 0).alias("complete"),
-            F.when((D * F.col("attempt")) % 7 == 3, "unreadable").alias("error"),
+            ((_doc() + F.col("attempt")) % 4 == 0).alias("complete"),
+            F.when((_doc() * F.col("attempt")) % 7 == 3, "unreadable").alias("error"),
         )
     )
 

@@ -27,7 +27,10 @@ from foliary.sources.transcripts import digests
 from foliary.sources.workbook import sheet_extents
 from foliary.streaming import arrivals as arr
 
-P = F.col("pos")
+
+def _place():
+    return F.col("pos")
+
 
 # ------------------------------------------------------------------ R1 - R6
 
@@ -62,7 +65,7 @@ def asked_slots(ev: Evidence) -> DataFrame:
     s = ev.slots.where("fillable and layout = 'table'")
     return s.select(
         "run_id", "slot_key", F.coalesce("doc_type", F.lit("(none)")).alias("pool_id"), "label",
-        F.when(P % 2 == 0, F.concat(F.lit("hint of "), "label")).alias("hint"), "pos",
+        F.when(_place() % 2 == 0, F.concat(F.lit("hint of "), "label")).alias("hint"), "pos",
     )
 
 
@@ -145,7 +148,7 @@ def r6(ev: Evidence) -> DataFrame:
     ),
 )
 def r7(ev: Evidence) -> DataFrame:
-    f = compared_fields(ev).withColumn("group", F.when(P % 2 == 0, F.concat(F.lit("g"), (P % 5).cast("string"))))
+    f = compared_fields(ev).withColumn("group", F.when(_place() % 2 == 0, F.concat(F.lit("g"), (_place() % 5).cast("string"))))
     return req.comparison_questions(f, retry=True)
 
 
