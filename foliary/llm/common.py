@@ -190,32 +190,61 @@ def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
 # ---------------------------------------------------------------- components
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def forest(a: list, b: list) -> dict:
+    """The smallest connected value of each end of the edges `a[i], b[i]`."""
+    root: dict = {}
+    for x, y in zip(a, b, strict=True):
+        for v in (x, y):
+            root.setdefault(v, v)
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        while root[y] != y:
+            root[y] = y = root[root[y]]
+        if x != y:
+            root[max(x, y)] = min(x, y)
+    for v in sorted(root):
+        root[v] = root[root[v]]
+    return root
+
+
+def components(edges: DataFrame, scratch: Scratch, per_task: int = 500_000) -> DataFrame:
     """`id, component` for every end of an edge (`a`, `b`); component is the smallest id reachable.
 
-    Each round joins every vertex to the neighbour of least priority, a hash of round and id, and contracts the
-    edges; vertices shrink by a constant factor in expectation, whatever the shape. Hot vertices meet only partial
-    aggregates and equi joins that the optimizer may split.
+    Tasks first reduce the edges they hold to trees of depth one. While more edges are left than one task may hold,
+    each vertex joins the neighbour of least priority, a hash of round and id, and the edges are contracted; vertices
+    shrink by a constant factor in expectation, whatever the shape. Hot vertices meet only partial aggregates and
+    equi joins that the optimizer may split.
     """
     order = lambda c, r: F.struct(F.xxhash64(F.lit(r), c).alias("h"), c.alias("v"))
-    e = scratch.table(
-        edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges"
-    )
-    steps, start, r = [], e, 0
-    while not e.isEmpty():
+
+    def shrink(batches):
+        t = [(x, y) for b in batches for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        root = forest(*map(list, zip(*t, strict=True))) if t else {}
+        yield pa.record_batch([pa.array(list(x), schema.field(0).type) for x in (root.keys(), root.values())], schema=schema)
+
+    e = edges.where(F.col("a") != F.col("b")).select("a", "b")
+    kind = e.dtypes[0][1]
+    schema = pa.schema([(x, pa.binary() if kind == "binary" else pa.int64()) for x in "ab"])
+    e, steps, n = scratch.table(e, "edges"), [], 0
+    while True:
+        n = e.count()
+        parts = max(1, -(-n // per_task))
+        e = scratch.table(e.coalesce(parts).mapInArrow(shrink, f"a {kind}, b {kind}"), "trees")
+        if parts == 1:
+            break
+        r = len(steps)
         both = e.select("a", "b").union(e.select(F.col("b"), F.col("a")))
         m = both.groupBy("a").agg(F.min(order(F.col("b"), r)).alias("o"))
-        m = scratch.table(m.select(F.col("a").alias("id"), F.least(order(F.col("a"), r), "o")["v"].alias("m")), f"step{r}")
+        m = scratch.table(m.select(F.col("a").alias("id"), F.least(order(F.col("a"), r), "o")["v"].alias("m")), "step")
         one, two = m.select(F.col("id").alias("a"), F.col("m").alias("x")), m.select(F.col("id").alias("b"), F.col("m").alias("y"))
         e = e.join(one, "a").join(two, "b").where(F.col("x") != F.col("y"))
-        e = scratch.table(e.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"edges{r}")
+        e = scratch.table(e.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
         steps.append(m)
-        r += 1
-    ids = start.select(F.col("a").alias("id")).union(start.select("b")).distinct()
+    last = e.select(F.col("a").alias("id"), F.col("b").alias("component"))
     if not steps:
-        return ids.select("id", F.col("id").alias("component"))
+        return last
     out = steps[0].select("id", F.col("m").alias("root"))
-    for m in steps[1:]:
+    for m in [*steps[1:], last.withColumnRenamed("component", "m")]:
         out = out.join(m.select(F.col("id").alias("root"), "m"), "root", "left").select("id", F.coalesce("m", "root").alias("root"))
     out = scratch.table(out, "roots")
     least = out.groupBy("root").agg(F.min("id").alias("component"))

@@ -50,6 +50,8 @@ def test_components_of_chains_stars_and_nothing(spark):
     for a, b in edges:
         a, b = sorted((find(a), find(b)))
         root[b] = a
-    got = dict(C.components(spark.createDataFrame(edges, "a long, b long"), C.Scratch(spark)).collect())
-    assert got == {x: find(x) for x in root if any(x in e and e[0] != e[1] for e in edges)}
+    e = spark.createDataFrame(edges, "a long, b long")
+    many = dict(C.components(e.repartition(5), C.Scratch(spark), per_task=40).collect())
+    got = dict(C.components(e, C.Scratch(spark)).collect())
+    assert many == got == {x: find(x) for x in root if any(x in e and e[0] != e[1] for e in edges)}
     assert C.components(spark.createDataFrame([], "a long, b long"), C.Scratch(spark)).count() == 0
