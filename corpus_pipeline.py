@@ -1,18 +1,50 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences.
+
+Each stage takes the documents that its predecessor kept; all but the last return the columns of `documents`.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliary.llm.common import Scratch, read
-from foliary.llm.set_join import one_of_each
+from foliary.llm import line_templates, packing, rule_ensemble, set_join, spaced_seeds
+from foliary.llm.common import Scratch, read, remainder
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble doesn't reject; learned from the labels that op7 doesn't hold out."""
+    labels = read(spark, sf_dir, "labels").where(remainder(4) != 2)
+    return rule_ensemble.accepted(docs, rule_ensemble.fit(docs, labels))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines of recurring templates; documents of nothing else go."""
+    return line_templates.without_boilerplate(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return one_of_each(docs)
+    """One document of each group of near duplicates."""
+    return set_join.one_of_each(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap with no benchmark item."""
+    return spaced_seeds.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 1024 tokens."""
+    return packing.pack(docs)
 
 
-STAGES = [("minhash near-dedup", near_duplicates)]
+STAGES = [
+    ("quality classifier", quality),
+    ("line dedup", lines),
+    ("minhash near-dedup", near_duplicates),
+    ("benchmark decontamination", benchmark),
+    ("best-fit packing", packed),
+]
+#: The stages are learned or need hashes and token ids that SQL doesn't have; tests compare them with brute force.
 ORACLE_SQL = None
 
 

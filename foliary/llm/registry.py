@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from foliary.llm import set_join
-from foliary.llm.common import read
+from foliary.llm import length_histogram, line_templates, packing, rule_ensemble, set_join, spaced_seeds
+from foliary.llm.common import read, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,3 +22,34 @@ def query(f):
 @query
 def op5_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return set_join.join_sets(read(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query
+def op3_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return spaced_seeds.contaminated(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+@query
+def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(read(spark, folder, "documents"))
+
+
+@query
+def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = read(spark, folder, "documents"), read(spark, folder, "labels")
+    model = rule_ensemble.fit(docs, labels.where(remainder(4) != 2))
+    scored = rule_ensemble.predicted(model.score(docs.select("doc_id", "text")))
+    return scored.select("doc_id", (remainder(4) == 2).alias("held_out"), "score", "predicted")
+
+
+@query
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its new text, the number of its lines and of those dropped."""
+    docs = read(spark, folder, "documents").select("doc_id", "text", F.size(F.split("text", "\n", -1)).alias("_n"))
+    gone = F.coalesce(F.size("_lines"), F.lit(0))
+    return line_templates.dropped(docs).select("doc_id", "text", F.when(F.col("_n") >= 0, F.col("_n")).otherwise(0).alias("n_lines"), F.greatest(gone, F.lit(0)).alias("n_dropped"))
+
+
+@query
+def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return length_histogram.context_report(read(spark, folder, "documents"))
