@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliary.llm import length_histogram, line_templates, packing, rule_ensemble, set_join, spaced_seeds
+from foliary.llm import language_filters, length_histogram, line_templates, packing, rule_ensemble, set_join, spaced_seeds, vector_dedup
 from foliary.llm.common import read, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,15 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return length_histogram.context_report(read(spark, folder, "documents"))
+
+
+@query
+def op1_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_dedup.link(read(spark, folder, "embeddings"))
+
+
+@query
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    model = language_filters.fit(docs.where(remainder(3) != 1).select("text", "lang"))
+    return model.predict(docs.select("doc_id", (remainder(3) == 1).alias("held_out"), "text"))
