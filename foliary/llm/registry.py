@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliary.llm import class_ngrams, language_filters, length_histogram, line_templates, packing, rule_ensemble, set_join, spaced_seeds, vector_dedup
+from foliary.llm import class_ngrams, disclosure, language_filters, length_histogram, line_templates, packing, rule_ensemble, set_join, spaced_seeds, vector_dedup
 from foliary.llm.common import read, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,8 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
 def op2_class_ngram_scoring(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
     return class_ngrams.score(docs.select("doc_id", "text", (remainder(5) == 1).alias("held_out")))
+
+
+@query
+def op4_disclosure_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return disclosure.report(read(spark, folder, "documents"))
