@@ -72,6 +72,11 @@ def row_key(*columns: str) -> Column:
     return F.xxhash64(*[F.col(c) for c in columns])
 
 
+def held(docs: DataFrame, *more: Column) -> DataFrame:
+    """All columns of `docs` as one, `all`, beside `row`, so that no name of theirs can clash with one of ours."""
+    return docs.select(F.struct("*").alias("all"), row_key("doc_id", "text").alias("row"), *more)
+
+
 def remainder(n: int, column: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo n; -1 for a null id."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % n, F.lit(-1))

@@ -166,10 +166,12 @@ def sanitised(docs: DataFrame, revealing: float = REVEALING, **how) -> DataFrame
     put = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(words, s["rank"]).alias("by"))
     term = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["degree"] >= revealing, "").otherwise(GENERAL["term"]).alias("by"))
     edits = F.array_sort(F.concat(F.transform("spans", put), F.transform("term_spans", term)))
-    found = found.select(F.col("row").alias("_row"), edits.alias("_edits"))
+    found = found.select("row", edits.alias("edits"))
+    part = lambda at, n: F.substring(F.col("text"), at.cast("int") + 1, n.cast("int"))
     step = lambda a, e: F.when(e["start"] < a["at"], F.struct(F.greatest(a["at"], e["end"]).alias("at"), a["out"].alias("out"))).otherwise(
-        F.struct(e["end"].alias("at"), F.concat(a["out"], F.substring(F.col("text"), a["at"].cast("int") + 1, (e["start"] - a["at"]).cast("int")), e["by"]).alias("out"))
+        F.struct(e["end"].alias("at"), F.concat(a["out"], part(a["at"], e["start"] - a["at"]), e["by"]).alias("out"))
     )
-    done = F.aggregate("_edits", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"].cast("int") + 1, F.length("text"))))
-    rows = docs.withColumn("_row", C.row_key("doc_id", "text")).join(found, "_row", "left")
-    return rows.withColumn("text", F.when(F.size("_edits") > 0, done).otherwise(F.col("text"))).select(*docs.columns)
+    done = F.aggregate("edits", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], part(a["at"], F.length("text"))))
+    rows = C.held(docs, F.col("text")).join(found, "row", "left")
+    text = F.when(F.size("edits") > 0, done).otherwise(F.col("text"))
+    return rows.select(F.col("all").withField("text", text).alias("all")).select("all.*")

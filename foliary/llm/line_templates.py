@@ -106,17 +106,18 @@ def boilerplate(docs: DataFrame, min_docs: int = MIN_DOCS, constant: float = CON
 
 
 def dropped(docs: DataFrame, **how) -> DataFrame:
-    """All columns of `docs` with the new text, then `_lines`, the numbers of the lines dropped (null: none)."""
-    drop = boilerplate(docs, **how).select(F.col("row").alias("_row"), F.col("lines").alias("_lines"))
-    out = docs.withColumn("_row", C.row_key("doc_id", "text")).join(drop, "_row", "left").drop("_row")
-    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_lines", i.cast("long")))
-    return out.withColumn("text", F.when(F.col("_lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+    """`all, text, lines`: the row of `docs`, its new text and the numbers of the lines dropped (null: none)."""
+    out = C.held(docs, F.col("text")).join(boilerplate(docs, **how), "row", "left")
+    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("lines", i.cast("long")))
+    return out.select("all", F.when(F.col("lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"), "lines")
 
 
 def without_boilerplate(docs: DataFrame, **how) -> DataFrame:
     """The columns of `docs` with new texts (and `n_chars` where there is such a column), without the documents that
     consisted of dropped lines alone."""
-    out = dropped(docs, **how).where("_lines IS NULL OR text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
+    out = dropped(docs, **how).where("lines IS NULL OR text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
+    new = F.col("all").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_lines").isNull(), F.col("n_chars")).otherwise(F.length("text")))
-    return out.select(*docs.columns)
+        n = F.when(F.col("lines").isNull(), F.col("all.n_chars")).otherwise(F.length("text"))
+        new = new.withField("n_chars", n.cast(docs.schema["n_chars"].dataType))
+    return out.select(new.alias("all")).select("all.*")

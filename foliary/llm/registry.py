@@ -38,16 +38,16 @@ def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = read(spark, folder, "documents"), read(spark, folder, "labels")
     model = rule_ensemble.fit(docs, labels.where(remainder(4) != 2))
-    scored = rule_ensemble.predicted(model.score(docs.select("doc_id", "text")))
-    return scored.select("doc_id", (remainder(4) == 2).alias("held_out"), "score", "predicted")
+    out = model.scored(docs.select("doc_id", "text")).select("all.doc_id", "score")
+    return out.select("doc_id", (remainder(4) == 2).alias("held_out"), "score", rule_ensemble.predicted(F.col("score")).alias("predicted"))
 
 
 @query
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its new text, the number of its lines and of those dropped."""
-    docs = read(spark, folder, "documents").select("doc_id", "text", F.size(F.split("text", "\n", -1)).alias("_n"))
-    gone = F.coalesce(F.size("_lines"), F.lit(0))
-    return line_templates.dropped(docs).select("doc_id", "text", F.when(F.col("_n") >= 0, F.col("_n")).otherwise(0).alias("n_lines"), F.greatest(gone, F.lit(0)).alias("n_dropped"))
+    out = line_templates.dropped(read(spark, folder, "documents").select("doc_id", "text"))
+    count = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+    return out.select("all.doc_id", "text", count(F.split("all.text", "\n", -1)).alias("n_lines"), count(F.col("lines")).alias("n_dropped"))
 
 
 @query

@@ -77,19 +77,13 @@ class RuleEnsemble:
     def __init__(self, rules: list, intercept: float):
         self.rules, self.intercept = rules, intercept
 
-    def score(self, docs: DataFrame, name: str = "score", text: str = "text") -> DataFrame:
-        """`docs` with a column of scores, 0 to 1."""
-        kept = docs.columns
-        seen = {f"_{x}": y for x, y in statistics(F.col(text)).items()}
-        rows = docs.select(*kept, *[y.alias(x) for x, y in seen.items()])
+    def scored(self, docs: DataFrame, text: str = "text") -> DataFrame:
+        """`all, score`: the row of `docs` and its score, 0 to 1."""
+        rows = docs.select(F.struct("*").alias("all"), *[y.alias(x) for x, y in statistics(F.col(text)).items()])
         total = F.lit(float(self.intercept))
         for rule, weight in self.rules:
-            test = F.lit(True)
-            for i, op, at in rule:
-                c = F.col(f"_{NAMES[i]}")
-                test = test & (c <= F.lit(at) if op == "<=" else c > F.lit(at))
-            total = total + F.when(test, F.lit(float(weight))).otherwise(F.lit(0.0))
-        return rows.select(*kept, (1 / (1 + F.exp(-total))).alias(name))
+            total = total + F.when(holds(rule), F.lit(float(weight))).otherwise(F.lit(0.0))
+        return rows.select("all", (1 / (1 + F.exp(-total))).alias("score"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> RuleEnsemble:
@@ -123,10 +117,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     return RuleEnsemble([(r, w) for r, w in zip(rules, lasso.coefficients.toArray().tolist(), strict=True) if w], lasso.intercept)
 
 
-def predicted(scored: DataFrame, at: float = REJECT_BELOW) -> DataFrame:
-    return scored.withColumn("predicted", (F.col("score") >= at).cast("int"))
+def predicted(score: Column, at: float = REJECT_BELOW) -> Column:
+    return (score >= at).cast("int")
 
 
 def accepted(docs: DataFrame, model: RuleEnsemble, at: float = REJECT_BELOW) -> DataFrame:
     """The rows of `docs` that the model doesn't reject."""
-    return model.score(docs, "_score").where(F.col("_score") >= at).select(*docs.columns)
+    return model.scored(docs).where(F.col("score") >= at).select("all.*")

@@ -235,10 +235,9 @@ def join_sets(docs: DataFrame, leaf: int = LEAF, levels: int = LEVELS) -> DataFr
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of `docs` without near duplicates: one of each group, and every document without words."""
-    rows = docs.withColumn("_row", C.row_key("doc_id", "text"))
     kept = join_sets(docs).where("kept")
-    keep = kept.groupBy("row").agg(F.count("*").alias("_times"), F.max(F.col("n_shingles") > 0).alias("_worded"))
-    out = rows.join(keep.withColumnRenamed("row", "_row"), "_row")
+    keep = kept.groupBy("row").agg(F.count("*").alias("times"), F.max(F.col("n_shingles") > 0).alias("worded"))
+    out = C.held(docs).join(keep, "row")
     # a row that stands there more than once is one document of its group
-    once = out.where("_times = 1 OR NOT _worded").select(*docs.columns)
-    return once.union(out.where("_times > 1 AND _worded").dropDuplicates(["_row"]).select(*docs.columns))
+    once = out.where("times = 1 OR NOT worded").select("all")
+    return once.union(out.where("times > 1 AND worded").groupBy("row").agg(F.first("all").alias("all")).select("all")).select("all.*")

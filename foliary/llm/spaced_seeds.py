@@ -105,5 +105,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` that overlap with no item."""
-    found = overlaps(docs, benchmark).select(F.col("row").alias("_row")).distinct()
-    return docs.withColumn("_row", C.row_key("doc_id", "text")).join(found, "_row", "left_anti").select(*docs.columns)
+    found = overlaps(docs, benchmark).select("row").distinct()
+    return C.held(docs).join(found, "row", "left_anti").select("all.*")
