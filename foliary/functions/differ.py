@@ -10,9 +10,7 @@ from foliary.core import SPACE_CLASS, ColumnLike, col, strip_space
 # The kinds, from the least to the most serious.
 KINDS = ["spasi", "huruf", "tanda-baca", "angka", "nilai"]
 
-# Fixed value: marks a reader may drop.  A point or comma between two digits is kept.
-DROPPABLE = ".,:;!?'\"‘’“”()[]{}-–—_/\\"
-
+# Fixed value: marks a reader may drop; points and commas are dropped too unless they stand between two digits.
 _MARKS_NOT_NUMERIC = r"[:;!?'\"‘’“”()\[\]{}\-–—_/\\]"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foliary.core import ColumnLike, col, js_round
+from foliary.core import ColumnLike, col
 
 # Separator of a capture's ordinal and the 32-bit hash parameters.
 CAPTURE_SEPARATOR = "#"
@@ -53,10 +53,17 @@ def fnv1a(c: ColumnLike) -> Column:
 
 
 def to_fixed(x: ColumnLike, digits: int) -> Column:
-    """Decimal text with a fixed number of digits and no grouping."""
-    if digits == 0:
-        return js_round(x).cast("bigint").cast("string")
-    return F.regexp_replace(F.format_number(col(x), digits), ",", "")
+    """Decimal text with a fixed number of digits and no grouping; of two equally near ones the one farther from zero.
+
+    Formatting rounds the double's exact value, but ties to even. A value is a tie just when it is an odd multiple of
+    2**-(digits + 1), which a product with a power of two shows exactly.
+    """
+    v = col(x).cast("double")
+    size = F.abs(v)
+    doubled = size * F.lit(float(2 ** (digits + 1)))
+    up = F.ceil(size * F.lit(float(10**digits))) / F.lit(float(10**digits))
+    text = F.format_number(F.when(doubled % 2 == 1, up).otherwise(size), digits)
+    return F.concat(F.when(v < 0, "-").otherwise(""), F.regexp_replace(text, ",", ""))
 
 
 def compact_tokens(n: ColumnLike) -> Column:

@@ -207,14 +207,17 @@ def _gap(frm: Column, to: Column, row: Column) -> Column:
     return F.when(frm == to, one).otherwise(many)
 
 
-def sheet_rows(cells: DataFrame, extents: DataFrame, max_cells: int = MAX_CELLS) -> DataFrame:
+def sheet_rows(cells: DataFrame, extents: DataFrame, max_cells: int | None = None) -> DataFrame:
     """One text line per sheet row with empty-gap markers.
 
-    Only the first ``max_cells`` cells in row-major order are listed -- the listing's own limit.
-    They are ranked in buckets of rows, so a sheet of millions of cells is never sorted in one task.
+    With ``max_cells``, only the first cells in row-major order are listed -- the limit of one listing.
+    They are ranked in buckets of rows, so a sheet of millions of cells is never sorted in one task; without
+    a limit nothing is ranked.
     """
-    bucket = F.floor(F.col("row") / 4096)
-    ranked = number_rows(cells, SHEET, ["row", "col"], bucket, "_at").where(F.col("_at") < max_cells)
+    ranked = cells
+    if max_cells is not None:
+        bucket = F.floor(F.col("row") / 4096)
+        ranked = number_rows(cells, SHEET, ["row", "col"], bucket, "_at").where(F.col("_at") < max_cells)
     prev = F.lag("col").over(W.partitionBy(*SHEET, "row").orderBy("col"))
     tag = F.when(F.col("kind") == "text", "").otherwise(F.concat(F.lit(" ("), "kind", F.lit(")")))
     item = F.concat("ref", F.lit(": "), cell_text("text"), tag)
@@ -227,8 +230,12 @@ def sheet_rows(cells: DataFrame, extents: DataFrame, max_cells: int = MAX_CELLS)
     tail = F.when(
         F.col("cols") > F.col("_last"), F.concat(F.lit(" | "), _gap(F.col("_last") + 1, F.col("cols"), F.col("row")))
     ).otherwise("")
-    above = F.lag("row").over(W.partitionBy(*SHEET).orderBy("row"))  # at most max_cells rows
-    r = r.withColumn("_above", above)
+    # the row above within its 4,096 rows, and for the first of those the last row of an earlier bucket
+    r = r.withColumn("_b", F.floor(F.col("row") / 4096))
+    above = F.lag("row").over(W.partitionBy(*SHEET, "_b").orderBy("row"))
+    before = F.max("_top").over(W.partitionBy(*SHEET).orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
+    tops = r.groupBy(*SHEET, "_b").agg(F.max("row").alias("_top")).select(*SHEET, "_b", before.alias("_before"))
+    r = r.withColumn("_above", above).join(tops, [*SHEET, "_b"]).withColumn("_above", F.coalesce("_above", "_before"))
     first, last = F.col("_above") + 1, F.col("row") - 1
     skip = F.when(first == last, F.concat(F.lit("<row "), first.cast("string"), F.lit(" empty>\n"))).otherwise(
         F.concat(F.lit("<rows "), first.cast("string"), F.lit("-"), last.cast("string"), F.lit(" empty>\n"))

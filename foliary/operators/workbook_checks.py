@@ -12,11 +12,9 @@ from foliary.operators.citations import whole_citations
 from foliary.sources.replies import reply_entries
 
 # Reply limits, how far a value cell may lie past the sheet, verdicts.
-MAX_FIELDS = 500
 MAX_LABEL = 200
 MAX_GROUP = 120
 BLANK_MARGIN = 8
-MAX_EXTRA = 40
 FIELDS_PER_CALL = 40
 VERDICTS = ["cocok", "beda", "tidak-ditemukan"]
 NOT_FOUND = "tidak-ditemukan"
@@ -217,26 +215,27 @@ def field_chunks(fields: DataFrame, size: int = FIELDS_PER_CALL) -> DataFrame:
 
 
 def fold_screens(
-    fields: DataFrame, answers: DataFrame, extras: DataFrame, captures: DataFrame, lines: DataFrame
+    fields: DataFrame, answers: DataFrame, extras: DataFrame, captures: DataFrame, lines: DataFrame, max_extra: int | None = None
 ) -> DataFrame:
     """One finding per field, then what the screens show that no field covers.
 
     ``captures``: run_id, page_index (the capture's position).  ``answers``: run_id, field_id, pos,
     verdict, value, page_index, from_line, to_line.  ``extras``: run_id, pos, label and the same.
-    A failed citation keeps its reason and the verdict stands.  A reply with more than forty extras
-    fails as a whole.
+    A failed citation keeps its reason and the verdict stands.  With
+    ``max_extra``, the extras of a run that has more are one row of reason ``too-many-extras``; its fields stay.
     """
     seen = captures.select("run_id").distinct().withColumn("_seen", F.lit(True))
-    too_many = (
-        extras.groupBy("run_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > MAX_EXTRA).select("run_id")
-    )
     asked = fields.select("run_id").distinct()
-    ok_fields = fields.join(too_many, "run_id", "left_anti")
+    too_many = None
+    if max_extra is not None:
+        sized = extras.join(asked, "run_id", "left_semi").groupBy("run_id").agg(F.count(F.lit(1)).alias("_n"))
+        too_many = sized.where(F.col("_n") > max_extra).select("run_id")
+        extras = extras.join(too_many, "run_id", "left_anti")
     first = first_by(answers, FIELD, ["pos"])
     claims = whole_citations(first, lines, captures).select(
         *FIELD, "verdict", "value", "page_index", "from_line", "to_line", "cited", F.col("reason").alias("cite_reason")
     )
-    f = ok_fields.join(seen, "run_id", "left").join(claims, FIELD, "left")
+    f = fields.join(seen, "run_id", "left").join(claims, FIELD, "left")
     value = strip_space(F.coalesce("value", F.lit("")))
     v = F.col("verdict")
     reason = (
@@ -259,7 +258,6 @@ def fold_screens(
     x = (
         extras.join(asked, "run_id", "left_semi")
         .join(seen, "run_id", "left_semi")
-        .join(too_many, "run_id", "left_anti")
         .withColumn("label", strip_space("label"))
         .withColumn("value", strip_space(F.coalesce("value", F.lit(""))))
         .withColumn("_fold", fold_label("label"))
@@ -278,4 +276,8 @@ def fold_screens(
         *[F.when(here, F.col(c)).alias(c) for c in ("page_index", "from_line", "to_line")],
         "reason",
     )
-    return found.unionByName(more)
+    out = found.unionByName(more)
+    if too_many is None:
+        return out
+    gone = too_many.withColumn("reason", F.lit("too-many-extras"))
+    return out.unionByName(gone, allowMissingColumns=True)

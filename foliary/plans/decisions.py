@@ -223,7 +223,7 @@ add_duck(
     ans as (select run_id, field_id, case id % 4 when 0 then 'cocok' when 1 then 'beda' else 'tidak-ditemukan' end as verdict, case when id % 4 = 1 then trim(b) else '' end as value,
                    (id % 300)::int as page_index, (id % 5)::int as fl, case when id % 7 <> 0 then id % 5 + id % 3 end::int as tl, 'f' as src, id as pos, label from fld where id % 4 <> 3),
     ext as (select run_id, null as field_id, 'tidak-ada-di-excel' as verdict, value, 0::int as page_index, 0::int as fl, (pos % 3 - 1)::int as tl, 'x' as src, pos, label from
-              (select run_id, pos, case when pos % 6 = 0 then 'Label f' || (pos % 4 + 4) || ' :' else 'Extra ' || (pos // 2) end as label, case when pos % 5 <> 0 then 'v' || pos else '' end as value from slots where run_id not in ('run-2','run-3'))
+              (select run_id, pos, case when pos % 6 = 0 then 'Label f' || (pos % 4 + 4) || ' :' else 'Extra ' || (pos // 2) end as label, case when pos % 5 <> 0 then 'v' || pos else '' end as value from slots where run_id <> 'run-3')
             where value <> '' and not exists (select 1 from fld where fld.run_id = 'z' ) qualify row_number() over (partition by run_id, lower(label) order by pos) = 1),
     c as (select a.*, case when tl is null then 'incomplete' when p.page_index is null then 'unknown-page' when fl > tl then 'reversed'
                  when (select count(*) from lns l where l.run_id = a.run_id and l.page_index = a.page_index and l.i between fl and tl) <> tl - fl + 1 then 'missing-line' end as cr
@@ -233,7 +233,6 @@ add_duck(
            case when r is null and cr is null then tl end as to_line, coalesce(r, cr) as reason
     from fld f left join (select * from c where src = 'f') c using (run_id, field_id)
     cross join lateral (select case when f.run_id = 'run-3' then 'no-captures' when c.verdict is null then 'model-silent' when verdict = 'beda' and value = '' then 'difference-without-value' when verdict = 'tidak-ditemukan' then 'on-no-capture' end as r) z
-    where f.run_id <> 'run-2'
     union all select run_id, null, label, verdict, value, case when cr is null then page_index end, case when cr is null then fl end, case when cr is null then tl end, cr from c where src = 'x'
        and not exists (select 1 from fld where fld.run_id = c.run_id and lower(fld.label) = trim(replace(lower(c.label), ' :', '')))""",
     ["vals", "pgs", "lns", "slots"],
@@ -253,7 +252,7 @@ def v12(ev: Evidence) -> DataFrame:
 def v27(ev: Evidence) -> DataFrame:
     fields, answers, extras, captures = screen_inputs(ev)
     none = captures.where("false")
-    found = wc.fold_screens(fields, answers, extras.where("run_id <> 'run-2'"), none, ev.lines)
+    found = wc.fold_screens(fields, answers, extras, none, ev.lines)
     return found.select("run_id", "field_id", "verdict", "reason")
 
 

@@ -181,10 +181,10 @@ for _v in ("cols", "last+1", "p+1", "col-1"):
     SHEET_ROWS = SHEET_ROWS.replace(f"cn({_v})", f"(case when {_v} > 26 then 'A' || chr((64 + {_v} - 26)::int) else chr((64 + {_v})::int) end)")
 
 
-@query("r9_sheet_rows", duck(SHEET_ROWS, c=CELLS_SQL))
+@query("r9_sheet_rows", duck(SHEET_ROWS.replace(" where at_ <= 600", ""), c=CELLS_SQL))
 def r9(ev: Evidence) -> DataFrame:
     cells = s10(ev)
-    return req.sheet_rows(cells, sheet_extents(cells), max_cells=600)
+    return req.sheet_rows(cells, sheet_extents(cells))
 
 
 @query(

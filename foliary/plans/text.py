@@ -654,12 +654,19 @@ def t24(ev: Evidence) -> DataFrame:
     return ev.table("part").select("p_partkey", keys.fnv1a("p_name").alias("hash"))
 
 
+def q_fixed(v: str, digits: int) -> str:
+    """SQL of `to_fixed`: ties away from zero, by the double's exact value."""
+    text = lambda x: f"printf('%.{digits}f', {x})"
+    up = f"ceil(abs({v}) * {10**digits}) / {10**digits}"
+    return f"(case when (abs({v}::double) * {2 ** (digits + 1)}) % 2 = 1 then case when {v} < 0 then '-' else '' end || {text(up)} else {text(v)} end)"
+
+
 @query(
     "t25_report_numbers",
-    """
-    select c_custkey, case when n >= 1000000 then printf('%.2f', n/1000000) || 'M' when n >= 1000 then printf('%.1f', n/1000) || 'k' else cast(n::bigint as varchar) end as tokens,
-           '$' || printf('%.4f', c_acctbal/7) as usd,
-           case when rel is null then 'n/a' when rel > 0 then '+' || printf('%.1f', rel) else printf('%.1f', rel) end as change
+    f"""
+    select c_custkey, case when n >= 1000000 then {q_fixed('(n/1000000)', 2)} || 'M' when n >= 1000 then {q_fixed('(n/1000)', 1)} || 'k' else cast(n::bigint as varchar) end as tokens,
+           '$' || {q_fixed('(c_acctbal/7)', 4)} as usd,
+           case when rel is null then 'n/a' when rel > 0 then '+' || {q_fixed('rel', 1)} else {q_fixed('rel', 1)} end as change
     from (select c_custkey, c_acctbal, floor(abs(c_acctbal) * (c_custkey % 900)) as n,
                  case when c_custkey % 9 = 0 then case when c_custkey % 2 = 0 then 0.0 end
                       else (c_acctbal - (c_custkey % 9)) / (c_custkey % 9) * 100 end as rel from customer)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliary.functions.keys import to_fixed  # noqa: F401  (re-exported for report writers)
 
 # Fixed value: one per-page row of the log, ten columns.
 ROW = (

@@ -20,8 +20,12 @@ from foliary.operators.ledger import COUNTERS
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared checkpoint folder; a local one only in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    """A new folder under the cluster's shared checkpoint folder; in local mode, where it is unset, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/foliary-{uuid.uuid4().hex}"
 
 

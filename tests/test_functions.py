@@ -131,3 +131,13 @@ def test_reading_fold(spark):
     assert column(spark, [(" No.  OIl-10 ",)], "t string", readings.normalize_reading("t")) == ["n0 01110"]
     assert column(spark, [("Hal 12 dari 300 dari",)], "t string", readings.furniture_tokens("t")) == [["hal", "#", "dari"]]
     assert column(spark, [(0.5, 12.5)], "a double, b double", F.concat(keys.to_fixed("a", 0), F.lit("/"), keys.to_fixed("b", 0))) == ["1/13"]
+
+
+def test_fixed_text_takes_the_larger_of_two_equally_near(spark):
+    import decimal
+
+    cases = [(1.25, 1), (1.35, 1), (2.125, 2), (-0.5, 0), (0.5, 0), (2.5, 0), (-2.5, 0), (1.45, 1), (1.005, 2), (0.49999999999999994, 0), (-0.04, 1), (1234567.875, 2), (-1.25, 1)]
+    for v, d in cases:
+        exact = decimal.Decimal(abs(v)).quantize(decimal.Decimal(1).scaleb(-d), decimal.ROUND_HALF_UP)
+        assert column(spark, [(v,)], "v double", keys.to_fixed("v", d)) == [f"{'-' if v < 0 else ''}{exact}"]
+    assert column(spark, [(1250,), (2_125_000,)], "v long", keys.compact_tokens("v")) == ["1.3k", "2.13M"]

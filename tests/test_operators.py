@@ -217,3 +217,16 @@ def test_remove_source_cuts_from_the_lowest_lost_capture(spark):
     gone = spark.createDataFrame([("r", "b")], "run_id string, source_id string")
     got = {r["key"]: (r["status"], r["page_index"], r["checked_for"]) for r in captures.remove_sources(spark.createDataFrame(rows, schema), pages, gone).collect()}
     assert got == {"s": ("confirmed", 1, None), "t": ("pending", None, None), "u": ("confirmed", 1, "1:0-0")}
+
+
+def test_many_extras_lose_nothing_and_a_limit_gives_a_refused_row(spark):
+    from foliary.operators import workbook_checks as wc
+
+    fields = spark.createDataFrame([("r", "f1", "One")], "run_id string, field_id string, label string")
+    answers = spark.createDataFrame([("r", "f1", 0, "cocok", "v", 0, 0, 0)], "run_id string, field_id string, pos bigint, verdict string, value string, page_index int, from_line int, to_line int")
+    extras = spark.createDataFrame([("r", i, f"Extra {i}", "v", 0, 0, 0) for i in range(41)], "run_id string, pos bigint, label string, value string, page_index int, from_line int, to_line int")
+    captures = spark.createDataFrame([("r", 0)], "run_id string, page_index int")
+    lines = spark.createDataFrame([("r", 0, 0, "text")], "run_id string, page_index int, i int, text string")
+    assert wc.fold_screens(fields, answers, extras, captures, lines).count() == 42
+    capped = wc.fold_screens(fields, answers, extras, captures, lines, max_extra=40).collect()
+    assert sorted(str(r.reason) for r in capped if r.field_id is None) == ["too-many-extras"] and len(capped) == 2
