@@ -226,7 +226,7 @@ def test_many_extras_lose_nothing_and_a_limit_gives_a_refused_row(spark):
     answers = spark.createDataFrame([("r", "f1", 0, "cocok", "v", 0, 0, 0)], "run_id string, field_id string, pos bigint, verdict string, value string, page_index int, from_line int, to_line int")
     extras = spark.createDataFrame([("r", i, f"Extra {i}", "v", 0, 0, 0) for i in range(41)], "run_id string, pos bigint, label string, value string, page_index int, from_line int, to_line int")
     captures = spark.createDataFrame([("r", 0)], "run_id string, page_index int")
-    lines = spark.createDataFrame([("r", 0, 0, "text", 0.0, 0.0, 1.0, 1.0)], "run_id string, page_index int, i int, text string, x double, y double, w double, h double")
+    lines = spark.createDataFrame([("r", 0, 0, "text", 0.0, 0.0, 1.0, 1.0, "t")], "run_id string, page_index int, i int, text string, x double, y double, w double, h double, origin string")
     assert wc.fold_screens(fields, answers, extras, captures, lines).count() == 42
     capped = wc.fold_screens(fields, answers, extras, captures, lines, max_extra=40).collect()
     assert sorted(str(r.reason) for r in capped if r.field_id is None) == ["too-many-extras"] and len(capped) == 2
