@@ -72,7 +72,8 @@ def context_report(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     `context_limit, docs, docs_from, tokens_from, total_docs, total_tokens, truncated_tokens, docs_within, quantile`; the
     length is the q-quantile of all lengths for q up to `quantile` and above that of the row before.
     """
-    s = suffix_sums(histogram(docs, tokenizer))
+    # sums read the histogram at three depths: texts are encoded once
+    s = suffix_sums(C.Scratch(docs.sparkSession).table(histogram(docs, tokenizer), "histogram"))
     within = F.col("total_docs") - F.col("docs_from") + F.col("docs")
     return s.select(
         F.col("length").alias("context_limit"), "docs", "docs_from", "tokens_from", "total_docs", "total_tokens",
