@@ -78,12 +78,17 @@ class RuleEnsemble:
         self.rules, self.intercept = rules, intercept
 
     def scored(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        """`all, score`: the row of `docs` and its score, 0 to 1."""
-        rows = docs.select(F.struct("*").alias("all"), *[y.alias(x) for x, y in statistics(F.col(text)).items()])
+        """`all, score, place`: the row of `docs`, its score, 0 to 1, and a number that is never negative.
+
+        A filter that reads `place` too stays above the statistics; any other would be pushed below them and work each
+        of them out anew for each rule that has it.
+        """
+        place = F.monotonically_increasing_id().alias("place")
+        rows = docs.select(F.struct("*").alias("all"), place, *[y.alias(x) for x, y in statistics(F.col(text)).items()])
         total = F.lit(float(self.intercept))
         for rule, weight in self.rules:
             total = total + F.when(holds(rule), F.lit(float(weight))).otherwise(F.lit(0.0))
-        return rows.select("all", (1 / (1 + F.exp(-total))).alias("score"))
+        return rows.select("all", (1 / (1 + F.exp(-total))).alias("score"), "place")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> RuleEnsemble:
@@ -123,4 +128,4 @@ def predicted(score: Column, at: float = REJECT_BELOW) -> Column:
 
 def accepted(docs: DataFrame, model: RuleEnsemble, at: float = REJECT_BELOW) -> DataFrame:
     """The rows of `docs` that the model doesn't reject."""
-    return model.scored(docs).where(F.col("score") >= at).select("all.*")
+    return model.scored(docs).where((F.col("score") >= at) & (F.col("place") >= 0)).select("all.*")
