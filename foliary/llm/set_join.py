@@ -8,8 +8,10 @@ five independent trees miss it with probability below 2e-5; in nodes that are sm
 
 Copies are one set from the start. Groups of near copies stay together however deep one branches, so each large node
 also compares its members with a pivot; a node whose members are already connected holds no further news and is
-closed. What is still large and not connected at the last level is compared in tiles, all against all, so no pair is
-left out for the size of a group. Every link is confirmed on the full sets.
+closed. After each level a member of a large node goes if too few of its shingles are in other components for any link
+out of its own, which is an exact bound. A node of sets so alike that branching would leave more pairs than it has, or
+that is still large at the last level, is compared in tiles, all against all, so no pair is left out for the size of a
+group. Every link is confirmed on the full sets.
 
 Defined cases: a null or empty text, or one of white space only, has an empty set and is linked with nothing. A text of
 fewer words than a shingle is one shingle. Null ids never name a component unless all ids of it are null. Rows that
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +36,10 @@ BRANCHES = 2
 LEVELS = 3
 #: Sets in a node that is compared exhaustively.
 LEAF = 24
+#: Sets, and shingles, in a tile of a node that stays large; shingles of one matrix.
+TILE = 512
+TILE_ITEMS = 100_000
+STRIP = 4096
 #: Share of equal minwise shingles from which a member of a large node is compared with its pivot early.
 EARLY = 0.6
 
@@ -103,14 +110,9 @@ def _alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _compare(table: pa.Table) -> pa.Table:
-    """Links between the sets of a group that its own earlier links don't already connect; `part` 1 is compared only with 0."""
-    seen, names, sets, parts = set(), [], [], []
-    for c, items, part in zip(*(table.column(x).to_pylist() for x in ("c", "items", "part")), strict=True):
-        if (c, part) not in seen:
-            seen.add((c, part))
-            names.append(c)
-            sets.append(np.frombuffer(items, np.uint64))
-            parts.append(part)
+    """Links between the sets of a group that its own earlier links don't already connect."""
+    sets = dict(zip(table.column("c").to_pylist(), table.column("items").to_pylist(), strict=True))
+    names, sets = list(sets), [np.frombuffer(x, np.uint64) for x in sets.values()]
     root = list(range(len(sets)))
 
     def find(x):
@@ -119,41 +121,85 @@ def _compare(table: pa.Table) -> pa.Table:
         return x
 
     a, b = [], []
-    one_sided = any(parts)
     for i in range(len(sets)):
         for j in range(i):
-            if one_sided and parts[i] == parts[j] or (x := find(i)) == (y := find(j)):
-                continue
-            if names[i] == names[j] or _alike(sets[i], sets[j]):
+            if (x := find(i)) != (y := find(j)) and _alike(sets[i], sets[j]):
                 root[x] = y
                 a.append(names[i])
                 b.append(names[j])
     return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
 
-def _tiles(open_rows: DataFrame, per: int = LEAF // 2) -> DataFrame:
-    """`gid, c, part` with each two members of a node that aren't connected together in some group.
-
-    Members of a component of some size have tiles of their own, which are not compared with each other.
+def _compare_tiles(table: pa.Table) -> pa.Table:
+    """Links between different components in one tile (all `part` 0) or between two, as trees; sizes of intersections are a product of
+    incidence matrices, built for some thousand shingles at a time."""
+    part = table.column("part").to_numpy()
+    names, comps = table.column("c").to_pylist(), np.unique(np.array([x.hex() for x in table.column("comp").to_pylist()]), return_inverse=True)[1]
+    sets = [np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()]
+    n = np.array([len(x) for x in sets])
+    one = np.flatnonzero(part == 0)
+    two = np.flatnonzero(part == 1) if part.any() else one
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), n)[times[at] > 1]
+    at = (np.cumsum(times > 1) - 1)[at[times[at] > 1]]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    both = np.zeros((len(one), len(two)), np.float32)
+    for low in range(0, int(at[-1]) + 1 if len(at) else 0, STRIP):
+        x, y = np.searchsorted(at, [low, low + STRIP])
+        m = np.zeros((len(sets), STRIP), np.float32)
+        m[row[x:y], at[x:y] - low] = 1
+        both += m[one] @ m[two].T
+    alike = (100 + PERCENT) * both.astype(np.int64) >= PERCENT * (n[one][:, None] + n[two][None, :])
+    i, j = np.nonzero(alike & (comps[one][:, None] != comps[two][None, :]))
+    root = C.forest([names[k] for k in one[i]], [names[k] for k in two[j]])
+    return pa.table({"a": pa.array(root.keys(), pa.binary()), "b": pa.array(root.values(), pa.binary())})
+
+
+def _tiles(open_rows: DataFrame) -> DataFrame:
+    """`gid, c, comp, part` with each two members (`node, comp, c, n`) of a node that aren't connected together in some group.
+
+    A tile holds about TILE sets and TILE_ITEMS shingles, or one set. Components of more members have tiles of their
+    own, which are not compared with each other.
     """
-    counts = open_rows.groupBy("node", "comp").agg(F.count("*").alias("n"))
-    home = F.when(F.col("n") >= per, F.col("comp"))
+    counts = open_rows.groupBy("node", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("items"))
+    home = F.when((F.col("k") >= TILE) | (F.col("items") >= TILE_ITEMS), F.col("comp"))
     counts = counts.withColumn("home", home)
-    width = counts.groupBy("node", "home").agg(F.ceil(F.sum("n") / per).cast("long").alias("width"))
+    width = F.greatest(F.ceil(F.sum("k") / TILE), F.ceil(F.sum("items") / TILE_ITEMS)).cast("long")
+    width = counts.groupBy("node", "home").agg(width.alias("width"))
     placed = open_rows.join(counts.select("node", "comp", "home"), ["node", "comp"])
     placed = placed.alias("p").join(width.alias("w"), (F.col("p.node") == F.col("w.node")) & F.col("p.home").eqNullSafe(F.col("w.home")))
-    placed = placed.select("p.node", "p.c", "p.home", F.expr("pmod(xxhash64(p.c), w.width)").alias("tile"))
+    placed = placed.select("p.node", "p.c", "p.comp", F.xxhash64("p.home", F.expr("pmod(xxhash64(p.c), w.width)")).alias("tile"), "p.home")
     tiles = placed.select("node", "home", "tile").distinct()
     x, y = tiles.alias("x"), tiles.alias("y")
-    key = lambda t: F.xxhash64(f"{t}.home", f"{t}.tile")
-    two = x.join(y, (F.col("x.node") == F.col("y.node")) & (key("x") <= key("y")))
+    two = x.join(y, (F.col("x.node") == F.col("y.node")) & (F.col("x.tile") <= F.col("y.tile")))
     two = two.where(F.col("x.home").isNull() | F.col("y.home").isNull() | (F.col("x.home") != F.col("y.home")))
-    two = two.select(F.col("x.node").alias("node"), F.struct("x.home", "x.tile").alias("s0"), F.struct("y.home", "y.tile").alias("s1"), F.xxhash64("x.node", "x.home", "x.tile", "y.home", "y.tile").alias("gid"))
-    sides = two.select("node", "gid", F.col("s0.home").alias("home"), F.col("s0.tile").alias("tile"), F.lit(0).alias("part"))
-    sides = sides.union(two.where(F.xxhash64("s0.home", "s0.tile") != F.xxhash64("s1.home", "s1.tile")).select("node", "gid", "s1.home", "s1.tile", F.lit(1)))
-    p, s = placed.alias("p"), sides.alias("s")
-    on = (F.col("p.node") == F.col("s.node")) & F.col("p.home").eqNullSafe(F.col("s.home")) & (F.col("p.tile") == F.col("s.tile"))
-    return p.join(s, on).select("s.gid", "p.c", "s.part")
+    two = two.select(F.col("x.node").alias("node"), F.col("x.tile").alias("one"), F.col("y.tile").alias("two"), F.xxhash64("x.node", "x.tile", "y.tile").alias("gid"))
+    sides = two.select("node", "gid", F.col("one").alias("tile"), F.lit(0).alias("part"))
+    sides = sides.union(two.where("one <> two").select("node", "gid", "two", F.lit(1)))
+    return placed.drop("home").join(sides, ["node", "tile"]).select("gid", "c", "comp", "part")
+
+
+def _hopeful(large: DataFrame, sets: DataFrame) -> DataFrame:
+    """`c` of the members of large nodes that may still have a link out of their component.
+
+    A link needs three quarters of the shingles of either end, so as many of them must be in members of other
+    components. This is exact: who fails has no such link, however many sets share a node with it.
+    """
+
+    def run(batches):
+        for b in batches:
+            sizes = pc.binary_length(b.column("items")).to_numpy() // 8
+            flat = np.frombuffer(b"".join(b.column("items").to_pylist()), np.int64)
+            at = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            yield pa.record_batch([b.column("c").take(at), b.column("h").take(at), pa.array(flat)], ["c", "h", "s"])
+
+    who = large.select("c", F.xxhash64("comp").alias("h")).distinct().join(sets, "c")
+    each = who.select("c", "h", "items").mapInArrow(run, "c binary, h long, s long")
+    across = each.groupBy("s").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("s")
+    shared = each.join(across, "s").groupBy("c").agg(F.count("*").alias("shared"))
+    sizes = sets.select("c", F.expr("octet_length(items) div 8").alias("n"))
+    return shared.join(sizes, "c").where(100 * F.col("shared") >= PERCENT * F.col("n")).select("c")
 
 
 def join_sets(docs: DataFrame, leaf: int = LEAF, levels: int = LEVELS) -> DataFrame:
@@ -168,18 +214,18 @@ def join_sets(docs: DataFrame, leaf: int = LEAF, levels: int = LEVELS) -> DataFr
     classes = scratch.table(classes, "classes")
 
     def branch(rows: DataFrame, level: int) -> DataFrame:
-        """Children of `node, tree, comp, c, sig`; at level 0 each tree is a node of all."""
+        """Children of `node, tree, comp, c, sig`, beside their `parent`; at level 0 each tree is a node of all."""
         at = level * TREES * BRANCHES
         token = lambda i: F.struct(F.lit(i).alias("f"), F.element_at("sig", i + 1).alias("token"))
         if level == 0:
             kids = rows.select("c", "comp", F.inline(F.array(*[token(i) for i in range(TREES * BRANCHES)])))
-            return kids.select(F.xxhash64("f", "token").alias("node"), F.expr(f"int(f / {BRANCHES})").alias("tree"), "comp", "c")
+            return kids.select(F.lit(0).alias("parent"), F.xxhash64("f", "token").alias("node"), F.expr(f"int(f / {BRANCHES})").alias("tree"), "comp", "c")
         pick = F.array(*[F.array(*[token(at + t * BRANCHES + i) for i in range(BRANCHES)]) for t in range(TREES)])
         kids = rows.select("node", "tree", "comp", "c", F.inline(F.get(pick, F.col("tree"))))
-        return kids.select(F.xxhash64("node", "f", "token").alias("node"), "tree", "comp", "c")
+        return kids.select(F.col("node").alias("parent"), F.xxhash64("node", "f", "token").alias("node"), "tree", "comp", "c")
 
     def verified(groups: DataFrame) -> DataFrame:
-        return groups.join(sets, "c").groupBy("gid").applyInArrow(lambda t: _compare(t.select(["c", "items", "part"])), "a binary, b binary")
+        return groups.join(sets, "c").groupBy("gid").applyInArrow(lambda t: _compare(t.select(["c", "items"])), "a binary, b binary")
 
     members = scratch.table(branch(classes.withColumn("comp", F.col("c")), 0), "nodes")
     shape = lambda m: m.groupBy("node").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("node", "size")
@@ -188,10 +234,11 @@ def join_sets(docs: DataFrame, leaf: int = LEAF, levels: int = LEVELS) -> DataFr
     sets = scratch.table(_sets(docs, scratch.table(wanted, "wanted")), "sets")
     links = None
     comps = None
+    rest = None
     for level in range(levels):
         sized = members.join(sizes, "node")
         groups = sized.where(F.col("size") <= leaf).groupBy("node").agg(F.array_sort(F.collect_list("c")).alias("all"))
-        groups = groups.groupBy("all").agg(F.min("node").alias("gid")).select("gid", F.explode("all").alias("c"), F.lit(0).alias("part"))
+        groups = groups.groupBy("all").agg(F.min("node").alias("gid")).select("gid", F.explode("all").alias("c"))
         large = sized.where(F.col("size") > leaf).join(classes.select("c", "sig"), "c")
         large = scratch.table(large, f"large{level}")
         grew = not large.isEmpty()
@@ -202,8 +249,8 @@ def join_sets(docs: DataFrame, leaf: int = LEAF, levels: int = LEVELS) -> DataFr
             stars = stars.select(F.col("p.c").alias("pivot"), "c").distinct()
             width = stars.groupBy("pivot").agg(F.ceil(F.count("*") / leaf).cast("long").alias("width"))
             stars = stars.join(width, "pivot").select("pivot", "c", F.expr("xxhash64(pivot, pmod(xxhash64(c), width))").alias("gid"))
-            heads = stars.select("gid", F.col("pivot").alias("c")).distinct().select("gid", "c", F.lit(0).alias("part"))
-            groups = groups.union(stars.select("gid", "c", F.lit(0))).union(heads)
+            heads = stars.select("gid", F.col("pivot").alias("c")).distinct().select("gid", "c")
+            groups = groups.union(stars.select("gid", "c")).union(heads)
         found = scratch.table(verified(groups), f"links{level}")
         links = found if links is None else links.union(found)
         if not grew:
@@ -212,17 +259,32 @@ def join_sets(docs: DataFrame, leaf: int = LEAF, levels: int = LEVELS) -> DataFr
         comps = C.components(links, scratch)
         large = large.drop("comp").join(comps.select(F.col("id").alias("c"), F.col("component").alias("comp")), "c", "left")
         large = large.withColumn("comp", F.coalesce("comp", "c")).drop("size")
-        large = large.join(shape(large).select("node"), "node", "left_semi")
+        news = lambda m: m.join(shape(m).select("node"), "node", "left_semi")
+        large = scratch.table(news(large), "connected")
+        large = scratch.table(news(large.join(_hopeful(large, sets), "c", "left_semi")), "hopeful")
         if level + 1 < levels:
             members = scratch.table(branch(large, level + 1), "nodes")
+            # where branching leaves more to compare than before, the node is compared as it is
+            before = large.groupBy("node").agg(F.count("*").alias("size"))
+            after = members.groupBy("parent", "node").agg(F.count("*").alias("size")).groupBy("parent").agg(F.sum(F.col("size") * F.col("size")).alias("work"))
+            dense = before.join(after, before.node == after.parent).where(F.col("work") >= before["size"] * before["size"]).select("parent")
+            dense = scratch.table(dense, "dense")
+            members = members.join(dense, "parent", "left_anti")
+            large = large.join(dense.withColumnRenamed("parent", "node"), "node", "left_semi")
+        large = large.select("node", "c")
+        rest = large if rest is None else rest.union(large)
+        if level + 1 < levels:
             sizes = scratch.table(shape(members), "sizes")
             if sizes.isEmpty():
                 break
-        else:
-            rest = scratch.table(large.select("node", "comp", "c"), "rest")
-            if not rest.isEmpty():
-                links = links.union(scratch.table(verified(_tiles(rest)), "tiled"))
-                comps = None
+    if rest is not None and not rest.isEmpty():
+        comps = C.components(links, scratch) if comps is None else comps
+        rest = rest.join(comps.select(F.col("id").alias("c"), F.col("component").alias("comp")), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+        rest = rest.join(sets.select("c", F.expr("octet_length(items) div 8").alias("n")), "c")
+        rest = scratch.table(rest.join(shape(rest).select("node"), "node", "left_semi").select("node", "comp", "c", "n"), "rest")
+        tiled = _tiles(rest).join(sets, "c").groupBy("gid").applyInArrow(lambda t: _compare_tiles(t.select(["c", "comp", "items", "part"])), "a binary, b binary")
+        links = links.union(scratch.table(tiled, "tiled"))
+        comps = None
     comps = C.components(links, scratch) if comps is None else comps
     classes = classes.select("c", "least").join(comps.select(F.col("id").alias("c"), "component"), "c", "left")
     classes = classes.withColumn("component", F.coalesce("component", "c"))

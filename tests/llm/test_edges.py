@@ -170,3 +170,29 @@ def test_pipeline_stages(spark, tmp_path, docs):
     spark.createDataFrame([(i, i % 2, 0) for i in range(8)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert re.match("doc_id,piece", ",".join(out.columns)) and out.count() >= 0
+
+
+def test_dense_groups_match_brute_force(spark):
+    """Members of a group all share most shingles, few are alike; all leaves and depths give the same components."""
+    import random
+
+    rnd = random.Random(5)
+    base = [f"w{i}" for i in range(80)]
+    texts = []
+    for i in range(150):
+        words = list(base)
+        for at in rnd.sample(range(80), rnd.randrange(1, 6)):
+            words[at] = f"x{rnd.randrange(40)}"
+        texts.append(" ".join(words))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(76)} for t in texts]
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 100 * len(a & b) >= 75 * len(a | b):
+                x, y = sorted((root[i], root[j]))
+                root = [x if r == y else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for leaf, levels in ((24, 3), (4, 1)):
+        got = {r.doc_id: r.component_id for r in set_join.join_sets(docs, leaf=leaf, levels=levels).collect()}
+        assert got == dict(enumerate(root))
+    assert 1 < len(set(root)) < 150
