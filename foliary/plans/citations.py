@@ -401,8 +401,8 @@ def v21_out(ev: Evidence) -> DataFrame:
 
 
 def discovery_lines(ev: Evidence) -> DataFrame:
-    """Lines as offered to discovery: every 37th document gave none."""
-    return ev.lines.where("doc_id % 37 <> 0")
+    """Lines as offered to discovery."""
+    return ev.lines
 
 
 def section_entries(ev: Evidence) -> DataFrame:
@@ -431,7 +431,7 @@ def section_entries(ev: Evidence) -> DataFrame:
     )
 
 
-add_duck("dln", "select * from lns where doc_id % 37 <> 0", ["lns"])
+add_duck("dln", "select * from lns", ["lns"])
 add_duck(
     "ent",
     """

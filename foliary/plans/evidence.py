@@ -67,15 +67,14 @@ class Evidence:
 
     @cached_property
     def _numbered(self) -> DataFrame:
-        """Documents as pages, texts carried along; unused columns are pruned by the optimizer."""
-        base = self.documents.select("run_id", "source_id", "doc_id", "doc_type", "text")
-        n_lines = (F.size(F.split("text", "\n")) + 2).cast("int")
+        """Documents as pages; only keys and counts are shuffled, `lines` takes the texts in once."""
+        n_lines = (F.size(F.split("text", "\n")) + 2).cast("int").alias("n_lines")
+        base = self.documents.select("run_id", "source_id", "doc_id", "doc_type", n_lines)
         ends = self._counted.select("run_id", "source_id", "page_count", "first_page")
         return (
             page_in_source(base, "doc_id")
             .join(ends, ["run_id", "source_id"])
             .withColumn("page_index", (F.col("first_page") + F.col("page_in_doc")).cast("int"))
-            .withColumn("n_lines", n_lines)
         )
 
     @cached_property
@@ -104,7 +103,8 @@ class Evidence:
             ),
             F.concat(F.lit("Ref "), F.col("source_id")),
         )
-        rows = self._numbered.select(
+        texts = self.documents.select("run_id", "source_id", "doc_id", "text")
+        rows = self._numbered.join(texts, ["run_id", "source_id", "doc_id"]).select(
             "run_id",
             "page_index",
             "source_id",

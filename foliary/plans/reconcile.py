@@ -291,13 +291,12 @@ STATE_SQL = """
   from slots s left join (select run_id, slot_key, count(*) as n, max(ordinal) as mo, count(page_index) as found,
        count(*) filter (where page_index is not null and checked_for is distinct from (page_index || ':' || from_line || '-' || to_line)) as unch,
        count(*) filter (where status = 'confirmed' and page_index is not null) as conf, count(*) filter (where status in ('pending','outstanding','proposed')) as op,
-       bool_or(status = 'proposed') as prop, bool_or(status = 'outstanding') as outs from cap where pos % 5 < 2 group by all) using (run_id, slot_key)"""
+       bool_or(status = 'proposed') as prop, bool_or(status = 'outstanding') as outs from cap group by all) using (run_id, slot_key)"""
 add_duck("sst", STATE_SQL, ["slots", "cap"])
 
 
 def slot_states(ev: Evidence) -> DataFrame:
-    """States over the captures of some pages, so that every status occurs."""
-    return st.slot_status(ev.slots, ev.captures.where("pos % 5 < 2"))
+    return st.slot_status(ev.slots, ev.captures)
 
 
 @query("a6_slot_status", duck("select * from sst", "sst"))
@@ -331,7 +330,7 @@ add_duck(
               case when not fillable then 'extra' when ships > 0 and ships = held then 'complete' when ships > 0 then 'partial' when unf then 'blank-by-choice'
                    when outs then 'blank-not-found' else 'blank-other' end as kind
        from slots s left join (select run_id, slot_key, count(*) as held, count(*) filter (where standing = 'ships') as ships, bool_and(standing = 'unfilled') as unf,
-              bool_and(standing = 'outstanding') as outs, max(ordinal) as mo from std where pos % 11 < 2 group by all) using (run_id, slot_key)""",
+              bool_and(standing = 'outstanding') as outs, max(ordinal) as mo from std group by all) using (run_id, slot_key)""",
     ["slots", "std"],
 )
 
@@ -341,7 +340,7 @@ def standings(ev: Evidence) -> DataFrame:
 
 
 def totals(ev: Evidence) -> DataFrame:
-    return st.slot_totals(ev.slots, standings(ev).where("pos % 11 < 2"))
+    return st.slot_totals(ev.slots, standings(ev))
 
 
 @query("a8_capture_standings", duck("select run_id, key, standing from std", "std"))
@@ -374,17 +373,17 @@ def a8(ev: Evidence) -> DataFrame:
     duck(
         """
         select c.run_id, standing as kind, section_title, label, ordinal, c.pos as capture_pos, s.pos as form_pos from std c join slots s using (run_id, slot_key)
-        where fillable and standing in ('proposed','pending','lost') and c.pos % 3 = 0
+        where fillable and standing in ('proposed','pending','lost')
         union all select s.run_id, 'pending', section_title, label, 1, -1, s.pos from slots s where fillable
-             and not exists (select 1 from std c where c.run_id = s.run_id and c.slot_key = s.slot_key and c.pos % 3 = 0)
-        union all select c.run_id, 'orphan', null, c.key, c.ordinal, -1, null from std c where page_index is not null and c.pos % 3 = 0
+             and not exists (select 1 from std c where c.run_id = s.run_id and c.slot_key = s.slot_key)
+        union all select c.run_id, 'orphan', null, c.key, c.ordinal, -1, null from std c where page_index is not null
              and not exists (select 1 from slots s where c.run_id = s.run_id and c.slot_key = s.slot_key)""",
         "slots",
         "std",
     ),
 )
 def a8_blocking(ev: Evidence) -> DataFrame:
-    return st.blocking_items(ev.slots, standings(ev).where("pos % 3 = 0"))
+    return st.blocking_items(ev.slots, standings(ev))
 
 
 @query(

@@ -105,14 +105,14 @@ def r4(ev: Evidence) -> DataFrame:
     duck(
         """select p.run_id, p.source_id, (p.page_in_doc // 200)::int as part, string_agg('page ' || p.page_in_doc || ':' || coalesce(body, ' (no text was recognised on this page)'), chr(10) order by p.page_in_doc) as text
            from pgs p left join (select run_id, page_index, string_agg(chr(10) || '  ' || i || ': ' || text, '' order by i) as body from
-              (select *, coalesce(sum(length(text)+1) over (partition by run_id, page_index order by i rows between unbounded preceding and 1 preceding), 0) as shown from lns where doc_id % 37 <> 0) where shown < 400 group by all) using (run_id, page_index)
+              (select *, coalesce(sum(length(text)+1) over (partition by run_id, page_index order by i rows between unbounded preceding and 1 preceding), 0) as shown from lns) where shown < 400 group by all) using (run_id, page_index)
            group by p.run_id, p.source_id, part""",
         "pgs",
         "lns",
     ),
 )
 def r5(ev: Evidence) -> DataFrame:
-    return req.sections_listing(ev.lines.where("doc_id % 37 <> 0"), ev.pages)
+    return req.sections_listing(ev.lines, ev.pages)
 
 
 @query(
@@ -156,13 +156,13 @@ def r7(ev: Evidence) -> DataFrame:
     "r8_screen_listing",
     duck(
         """select p.run_id, (p.page_index // 50)::int as part, string_agg('--- capture ' || p.page_index || ' ---' || chr(10) || coalesce(body, '(no text was recognised on this screen capture)'), chr(10) || chr(10) order by p.page_index) as text
-           from pgs p left join (select run_id, page_index, string_agg(i || ': ' || text, chr(10) order by i) as body from lns where doc_id % 37 <> 0 group by all) using (run_id, page_index) group by p.run_id, part""",
+           from pgs p left join (select run_id, page_index, string_agg(i || ': ' || text, chr(10) order by i) as body from lns group by all) using (run_id, page_index) group by p.run_id, part""",
         "pgs",
         "lns",
     ),
 )
 def r8(ev: Evidence) -> DataFrame:
-    return req.screen_listing(ev.pages, ev.lines.where("doc_id % 37 <> 0"), per_part=50)
+    return req.screen_listing(ev.pages, ev.lines, per_part=50)
 
 
 def merge_rows(ev: Evidence) -> DataFrame:
@@ -175,13 +175,13 @@ SHEET_ROWS = """
   from (select *, lag(row) over (partition by book_id, sheet order by row) as above from
     (select book_id, sheet, row, max(col) as last, string_agg(case when col > p + 1 then case when col = p + 2 then '<' || cn(p+1) || row || ' empty>' else '<' || cn(p+1) || row || ':' || cn(col-1) || row || ' empty>' end || ' | ' else '' end || item, ' | ' order by col) as body
      from (select *, lag(col) over (partition by book_id, sheet, row order by col) as p, ref || ': ' || case when length(text) <= 120 then text else substr(text,1,120) || '... (+' || (length(text)-120) || ' chars cut)' end || case when kind = 'text' then '' else ' (' || kind || ')' end as item
-           from (select *, row_number() over (partition by book_id, sheet order by row, col) as at_ from c where text is not null) where at_ <= 600) group by all)
+           from (select *, row_number() over (partition by book_id, sheet order by row, col) as at_ from c where text is not null) where at_ <= 4000) group by all)
     join (select book_id, sheet, max(col) as cols from c where text is not null group by all) using (book_id, sheet))"""
 for _v in ("cols", "last+1", "p+1", "col-1"):
     SHEET_ROWS = SHEET_ROWS.replace(f"cn({_v})", f"(case when {_v} > 26 then 'A' || chr((64 + {_v} - 26)::int) else chr((64 + {_v})::int) end)")
 
 
-@query("r9_sheet_rows", duck(SHEET_ROWS.replace(" where at_ <= 600", ""), c=CELLS_SQL))
+@query("r9_sheet_rows", duck(SHEET_ROWS.replace(" where at_ <= 4000", ""), c=CELLS_SQL))
 def r9(ev: Evidence) -> DataFrame:
     cells = s10(ev)
     return req.sheet_rows(cells, sheet_extents(cells))
@@ -192,18 +192,18 @@ def r9(ev: Evidence) -> DataFrame:
     duck(
         """
         select e.book_id, e.sheet, '--- sheet "' || e.sheet || '" ---' || chr(10) || 'dimension ' || dim || ' (' || rows || ' rows x ' || cols || ' columns), ' || n || ' non-empty cells' || chr(10) ||
-               case when coalesce(m,0) = 0 then 'merged: none' else 'merged: ' || ranges || case when m > 10 then ' (10 of ' || m || ' shown)' else '' end end || chr(10) || body as listing,
-               nullif(concat_ws(', and ', case when n > 600 then n || ' non-empty cells cut to the first 600' end, case when m > 10 then m || ' merged ranges cut to the first 10' end), '') as truncation
+               case when coalesce(m,0) = 0 then 'merged: none' else 'merged: ' || ranges || case when m > 200 then ' (200 of ' || m || ' shown)' else '' end end || chr(10) || body as listing,
+               nullif(concat_ws(', and ', case when n > 4000 then n || ' non-empty cells cut to the first 4000' end, case when m > 200 then m || ' merged ranges cut to the first 200' end), '') as truncation
         from (select book_id, sheet, max(row) as rows, max(col) as cols, count(*) as n, 'A1:' || case when max(col) > 26 then 'A' || chr(64 + max(col) - 26) else chr(64 + max(col)) end || max(row) as dim from c where text is not null group by all) e
         join (select book_id, sheet, string_agg(text, chr(10) order by row) as body from sr group by all) using (book_id, sheet)
-        left join (select book_id, sheet, count(*) as m, string_agg(ref || ':Z9', ', ' order by k) filter (where rn <= 10) as ranges from (select *, row_number() over (partition by book_id, sheet order by k) as rn from c where text is not null and k % 50 = 0) group by all) using (book_id, sheet)""",
+        left join (select book_id, sheet, count(*) as m, string_agg(ref || ':Z9', ', ' order by k) filter (where rn <= 200) as ranges from (select *, row_number() over (partition by book_id, sheet order by k) as rn from c where text is not null and k % 50 = 0) group by all) using (book_id, sheet)""",
         c=CELLS_SQL,
         sr=SHEET_ROWS,
     ),
 )
 def r11(ev: Evidence) -> DataFrame:
     cells = s10(ev)
-    return req.sheet_listings(cells, sheet_extents(cells), merge_rows(ev), max_cells=600, max_merges=10)
+    return req.sheet_listings(cells, sheet_extents(cells), merge_rows(ev))
 
 
 @query(
