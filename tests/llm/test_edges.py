@@ -196,3 +196,35 @@ def test_dense_groups_match_brute_force(spark):
         got = {r.doc_id: r.component_id for r in set_join.join_sets(docs, leaf=leaf, levels=levels).collect()}
         assert got == dict(enumerate(root))
     assert 1 < len(set(root)) < 150
+
+
+def test_masks_hit_every_pattern_within_the_bound():
+    assert [spaced_seeds.missed(n) for n in range(6, spaced_seeds.WINDOW + 1)] == [0] * 10
+
+
+def test_overlaps_match_brute_force(spark):
+    """Items of 6 to 20 words with any words exchanged within the bound and beyond it, in long and short documents."""
+    import random
+
+    rnd = random.Random(4)
+    items = [[f"i{n}w{k}" for k in range(n)] for n in range(6, 21)]
+    docs = []
+    for i in range(700):
+        item = rnd.choice(items)
+        words = list(item)
+        for at in rnd.sample(range(len(words)), rnd.randrange(0, len(words) // 5 + 2)):
+            words[at] = f"x{i}y{at}"
+        around = [[f"d{i}{side}{k}" for k in range(rnd.choice((0, 0, 1, 30)))] for side in "ab"]
+        docs.append(around[0] + words + around[1] if i % 3 else words[rnd.randrange(0, 8) : rnd.randrange(9, 21)])
+    want = set()
+    for i, d in enumerate(docs):
+        for j, item in enumerate(items):
+            w = min(15, len(item), len(d))
+            at = [(a, b) for a in range(len(d) - w + 1) for b in range(len(item) - w + 1)] if w > 5 else []
+            if any(sum(d[a + k] == item[b + k] for k in range(w)) >= 0.8 * w for a, b in at):
+                want.add((i, j))
+    got = spaced_seeds.contaminated(
+        spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string"),
+        spark.createDataFrame([(j, " ".join(x)) for j, x in enumerate(items)], "item_id long, text string"),
+    ).collect()
+    assert {(r.doc_id, j) for r in got for j in r.item_ids} == want and 300 < len(want) < 700
