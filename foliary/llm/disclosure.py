@@ -1,12 +1,13 @@
 """Personal data and the terms that give it away, by information theory.
 
 Emails, IP addresses, card and phone numbers are found by pattern and check; their values are the protected entities.
-A line is a context. Over all lines of the corpus, a term gives away an entity to the degree of their pointwise mutual
-information relative to the entity's information content, log2(N n_ct / (n_c n_t)) / log2(N / n_c): 1 if the term
-occurs with the entity only, 0 if they are independent. Lines of an entity that are equal are one piece of evidence
-(copies of a document prove nothing), and fewer than `support` of them are none. Terms at or over `disclosing` are spans
-of kind `term` in the lines of their entity; `sanitised` removes those at or over `revealing` and puts a general word for
-the rest.
+The contexts of an entity are the lines that hold it and the lines next to those, so that one seen once has contexts that
+can agree. Over all lines of the corpus, a term gives away an entity to the degree of their pointwise mutual information
+relative to the entity's information content, log2(N n_ct / (n_c n_t)) / log2(N / n_c): 1 if the term occurs with the
+entity only, 0 if they are independent. All four numbers count distinct lines (copies of a document prove nothing), and
+fewer than `support` contexts with a term are no evidence: in a single line every rare word would be a term. Terms at or
+over `disclosing` are spans of kind `term` in the contexts of their entity; `sanitised` removes those at or over
+`revealing` and puts a general word for the rest.
 
 Everything is DataFrame expressions. Patterns are written with possessive repeats and anchored at the start of a run,
 which finds the same matches as the plain ones but in time linear in the text and without deep recursion.
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from foliary.llm import common as C
 
-SUPPORT = 3
+SUPPORT = 2
 DISCLOSING = 0.9
 REVEALING = 0.98
 
@@ -84,52 +85,73 @@ def _typed(text: Column, kind: str) -> Column:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """`row, doc_id, spans, lines`: all base spans in order, and the lines that hold some with their own."""
+    """`row, doc_id, spans, lines`: all base spans in order, and the lines that hold some or are next to such a line, each
+    with where the lines before and after it begin and end."""
     t = F.coalesce("text", F.lit(""))
     rows = docs.select(C.row_key("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), t.alias("text"))
     rows = rows.select("*", *[_typed(F.col("text"), k).alias(f"s_{k}") for k in PATTERNS])
     rows = rows.select("row", "doc_id", "text", F.array_sort(F.concat(*[f"s_{k}" for k in PATTERNS])).alias("spans"))
-    none = F.array().cast("array<struct<start: bigint, line: string>>")
-    cut = F.aggregate(
-        F.split("text", "\n", -1),
-        F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")),
-        lambda a, x: F.struct((a["at"] + F.length(x) + 1).alias("at"), F.concat(a["out"], F.when(F.exists("spans", lambda s: s["start"].between(a["at"], a["at"] + F.length(x))), F.array(F.struct(a["at"].alias("start"), x.alias("line")))).otherwise(none)).alias("out")),
-        lambda a: a["out"],
-    )
+    none = F.array().cast("array<struct<start: bigint, line: string, lo: bigint, hi: bigint>>")
+    split = F.split("text", "\n", -1)
+    # each line with the length of the next one
+    pairs = F.zip_with(split, F.slice(split, 2, F.size(split)), lambda x, y: F.struct(x.alias("line"), F.coalesce(F.length(y) + 1, F.lit(0)).alias("after")))
+
+    def step(a, x):
+        end = a["at"] + F.length(x["line"])
+        line = F.struct(a["at"].alias("start"), x["line"].alias("line"), a["before"].alias("lo"), (end + x["after"]).cast("long").alias("hi"))
+        near = F.exists("spans", lambda s: s["start"].between(line["lo"], line["hi"]))
+        return F.struct((end + 1).alias("at"), a["at"].alias("before"), F.concat(a["out"], F.when(near, F.array(line)).otherwise(none)).alias("out"))
+
+    zero = F.lit(0).cast("long")
+    cut = F.aggregate(pairs, F.struct(zero.alias("at"), zero.alias("before"), none.alias("out")), step, lambda a: a["out"])
     return rows.select("row", "doc_id", "spans", F.when(F.size("spans") > 0, cut).otherwise(none).alias("lines"))
 
 
+def _near(found: DataFrame) -> DataFrame:
+    """`row, line_key, line, start, entities, context`: each context with the distinct entities of it and its neighbours,
+    and a key of line and entities."""
+    near = F.filter("spans", lambda s: s["start"].between(F.col("l.lo"), F.col("l.hi")))
+    value = lambda s: F.concat(s["rank"].cast("string"), F.when(s["rank"].isin(KINDS.index("card"), KINDS.index("phone")), _digits(s["word"])).otherwise(F.lower(s["word"])))
+    lines = found.select("row", "spans", F.explode("lines").alias("l"))
+    lines = lines.select("row", F.xxhash64("l.line").alias("line_key"), "l.line", "l.start", F.array_sort(F.array_distinct(F.transform(near, value))).alias("entities"))
+    return lines.withColumn("context", F.xxhash64("line", "entities"))
+
+
 def _terms(line: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(line), F.lit(TERM), F.lit(0)))
 
 
-def disclosures(docs: DataFrame, found: DataFrame, support: int = SUPPORT, disclosing: float = DISCLOSING) -> DataFrame:
-    """`line_key, terms`: for each line with entities the terms that give one of them away, with how much."""
-    lines = found.select("spans", F.explode("lines").alias("l")).select(F.xxhash64("l.line").alias("line_key"), "l.line", "l.start", "spans")
-    inside = F.filter("spans", lambda s: s["start"].between(F.col("start"), F.col("start") + F.length("line")))
-    value = lambda s: F.concat(s["rank"].cast("string"), F.when(s["rank"].isin(KINDS.index("card"), KINDS.index("phone")), _digits(s["word"])).otherwise(F.lower(s["word"])))
-    contexts = lines.select("line_key", "line", F.explode(F.array_distinct(F.transform(inside, value))).alias("entity")).dropDuplicates(["entity", "line_key"])
+def disclosures(docs: DataFrame, found: DataFrame, scratch: C.Scratch, support: int = SUPPORT, disclosing: float = DISCLOSING) -> DataFrame:
+    """`context, terms`: for each context the terms that give one of its entities away, with how much."""
+    every_context = _near(found).dropDuplicates(["context"])
+    contexts = every_context.select("context", "line_key", "line", F.explode("entities").alias("entity")).dropDuplicates(["entity", "line_key"])
     common = contexts.groupBy("entity").agg(F.count("*").alias("n_c")).where(F.col("n_c") >= support)
-    terms = contexts.join(common.select("entity"), "entity").select("entity", "line_key", F.explode(_terms(F.col("line"))).alias("term"))
-    joint = terms.groupBy("entity", "term").agg(F.count("*").alias("n_ct")).where(F.col("n_ct") >= support)
-    wanted = joint.select("term").distinct()
-    every = docs.select(F.explode(F.flatten(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), _terms))).alias("term"))
-    often = every.groupBy("term").agg(F.count("*").alias("n_t")).join(wanted, "term")
-    total = docs.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1))).alias("n")).first()["n"] or 1
+    terms = contexts.join(common.select("entity"), "entity").select("entity", F.explode(_terms(F.col("line"))).alias("term"))
+    joint = scratch.table(terms.groupBy("entity", "term").agg(F.count("*").alias("n_ct")).where(F.col("n_ct") >= support), "joint")
+    # the empty term stands for the line itself, so that one pass counts lines and terms
+    wanted = joint.select("term").union(docs.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+    every = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line")).distinct()
+    every = every.select(F.explode(F.array_append(_terms(F.col("line")), F.lit(""))).alias("term"))
+    often = scratch.table(every.groupBy("term").agg(F.count("*").alias("n_t")).join(wanted, "term"), "often")
+    line_count = often.where("term = ''").first()
+    total = line_count["n_t"] if line_count else 1
     ic, pmi = F.log2(F.lit(float(total)) / F.col("n_c")), F.log2(F.lit(float(total)) * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
     degree = F.when(ic > 0, pmi / ic).otherwise(0.0)
     told = joint.join(common, "entity").join(often, "term").withColumn("degree", degree).where(F.col("degree") >= disclosing)
-    by_line = terms.join(told.select("entity", "term", "degree"), ["entity", "term"]).groupBy("line_key", "term").agg(F.max("degree").alias("degree"))
-    return by_line.groupBy("line_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "degree"))).alias("terms"))
+    told = scratch.table(told.select("entity", "term", "degree"), "degrees")
+    here = every_context.select("context", "line", F.explode("entities").alias("entity")).join(told.select("entity").distinct(), "entity", "left_semi")
+    here = here.select("context", "entity", F.explode(_terms(F.col("line"))).alias("term")).join(told, ["entity", "term"])
+    by_context = here.groupBy("context", "term").agg(F.max("degree").alias("degree"))
+    return by_context.groupBy("context").agg(F.map_from_entries(F.collect_list(F.struct("term", "degree"))).alias("terms"))
 
 
 def spans(docs: DataFrame, **how) -> DataFrame:
     """`row, doc_id, spans, term_spans`; a term span has its `degree` too."""
     scratch = C.Scratch(docs.sparkSession)
     found = scratch.table(base_spans(docs), "base")
-    told = scratch.table(disclosures(docs, found, **how), "told")
-    lines = found.select("row", F.explode("lines").alias("l")).dropDuplicates(["row", "l"]).select("row", F.xxhash64("l.line").alias("line_key"), "l.line", "l.start")
-    at = lines.join(told, "line_key")
+    told = scratch.table(disclosures(docs, found, scratch, **how), "told")
+    lines = _near(found).select("row", "context", "line", "start").dropDuplicates(["row", "start"])
+    at = lines.join(told, "context")
     words = F.filter(matches(F.col("line"), TERM), lambda m: F.map_contains_key("terms", F.lower(m["word"])))
     span = lambda m: F.struct((m["start"] + F.col("start")).alias("start"), F.lit(KINDS.index("term")).alias("rank"), (m["end"] + F.col("start")).alias("end"), m["word"].alias("word"), F.element_at("terms", F.lower(m["word"])).alias("degree"))
     # terms inside an email are part of that span already

@@ -228,3 +228,59 @@ def test_overlaps_match_brute_force(spark):
         spark.createDataFrame([(j, " ".join(x)) for j, x in enumerate(items)], "item_id long, text string"),
     ).collect()
     assert {(r.doc_id, j) for r in got for j in r.item_ids} == want and 300 < len(want) < 700
+
+
+def _told(texts, entity):
+    """Term spans by the definition, for texts whose entities are whole words that `entity` matches."""
+    import math
+
+    word = lambda line: set(re.findall(r"[^\W\d_]{3,}", line.lower()))
+    every = {line for t in texts for line in t.split("\n")}
+    contexts, places = {}, []
+    for t in texts:
+        lines = t.split("\n")
+        for i, line in enumerate(lines):
+            near = {e.lower() for x in lines[max(0, i - 1) : i + 2] for e in re.findall(entity, x)}
+            places.append((t, sum(len(x) + 1 for x in lines[:i]), line, near))
+            for e in near:
+                contexts.setdefault(e, set()).add(line)
+    degree = {}
+    for e, held in contexts.items():
+        for w in {w for x in held for w in word(x)}:
+            n_c, n_t, n_ct = len(held), sum(w in word(x) for x in every), sum(w in word(x) for x in held)
+            if n_ct >= 2 and len(every) > n_c and math.log2(len(every) * n_ct / (n_c * n_t)) / math.log2(len(every) / n_c) >= 0.9:
+                degree[e, w] = True
+    out = {t: set() for t in texts}
+    for t, at, line, near in places:
+        taken = [m.span() for m in re.finditer(entity, line)]
+        for m in re.finditer(r"[^\W\d_]{3,}", line):
+            if any((e, m.group().lower()) in degree for e in near) and not any(a < m.end() and m.start() < b for a, b in taken):
+                out[t].add(f"term:{at + m.start()}:{at + m.end()}")
+    return out
+
+
+def test_terms_match_brute_force(spark):
+    import random
+
+    rnd = random.Random(8)
+    common = [a + b + c for a in ("ba", "do", "ki") for b in ("ren", "sol") for c in ("ta", "mu", "vi")]
+    texts = []
+    for i in range(300):
+        own, lines = f"zor{chr(97 + i % 26)}{chr(97 + i // 26)}", []
+        for k in range(rnd.randrange(1, 7)):
+            words = [rnd.choice(common) for _ in range(6)] + [own] * (rnd.random() < 0.6) + [f"u{i % 40}@host.example"] * (k == 1)
+            lines.append(" ".join(words))
+        texts.append("\n".join(lines))
+    want = _told(texts, r"[a-z0-9]+@host\.example")
+    got = disclosure.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: {s for s in r.spans.split(",") if s.startswith("term")} for r in got} == {i: want[t] for i, t in enumerate(texts)}
+    assert sum(r.n_term for r in got) > 200 and all(r.n_email == (texts[r.doc_id].count("\n") > 0) for r in got)
+
+
+def test_terms_of_copied_lines_and_rare_entities(spark):
+    # five lines of one entity, one of them in 2,000 copies; an entity seen once, whose neighbours share a word with it
+    lines = [f"Quillon {w} writes from one@host.example" for w in ("alpha", "bravo", "delta", "gamma", "omega")]
+    texts = lines + [lines[0]] * 2000 + ["the ward of Brannock\nask two@host.example for Brannock\nnothing else"] + [f"some writes from {'abcdefghij'[i % 10]}{i} alpha for the else" for i in range(3000)]
+    got = disclosure.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    by = {r.doc_id: r.spans for r in got}
+    assert all(by[i].startswith("term:0:7") for i in range(2005)) and "term:12:20" in by[2005] and by[2005].endswith("term:46:54")
