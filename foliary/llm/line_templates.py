@@ -1,14 +1,20 @@
 """Line dedup by a template tree of fixed depth.
 
 A line's words are parsed down a tree: words with a digit or `@` are variable fields; the first level is the number of
-words, the next ones are the leading words. In a leaf, a word at a position that fewer than `min_docs` lines carry there
-is a variable field too (no template of `min_docs` documents can hold it as a constant). What is left constant is the
-line's template. A template that recurs in `min_docs` documents, with at least `constant` of its words constant, is
-boilerplate: its lines are dropped from all documents but the first (least id) that has it.
+words, the next ones are the leading words. In a leaf, a word at a position that fewer lines than the least support carry
+there is a variable field too (no template can hold it as a constant). What is left constant is the line's template. A
+template that recurs in enough documents, with at least `constant` of its words constant, is boilerplate: its lines are
+dropped from all documents but the first (least id) that has it. So are identical lines (same words, digits included).
+
+How many documents are enough depends on what recurs, and grows with the number of documents, D, where chance can make it
+recur (`support`, `exact_support`). The least support is `min_docs` or D^(1/4), whichever is more. A template of f
+constant and v variable words needs D^((8 - f + 2 v) / 16), at least the least support. Identical lines of n words need as
+much as a template of n constants below 10 words; from there on 10 documents and less with each word, from 30 words on
+two, whatever D is.
 
 Leaves are never gathered: supports are counts by (leaf, position, word), templates order-free hashes of their
 constants, both summed before they are shuffled. Only hashes travel; lines of leaves that too few documents share, which
-are nearly all, are left out before their words are looked at.
+are nearly all, are left out before their words are looked at. Identical lines are counted by one hash of all words.
 
 Defined cases: null and empty texts have no lines and stay as they are; lines of fewer than three words are never
 dropped; a document whose id is null is never the first unless all are; rows with the same id and text are one document
@@ -17,9 +23,11 @@ and get the same text. An empty table gives an empty result. Other columns are k
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliary.llm import common as C
@@ -28,6 +36,7 @@ MIN_WORDS = 3
 MIN_DOCS = 10
 CONSTANT = 0.7
 LEADING = 2
+IDENTICAL = (10, 30)  # words from which identical lines need at most 10 documents, and two
 
 _FIELD = np.zeros(256, bool)
 _FIELD[48:58] = True
@@ -36,12 +45,14 @@ _VARIABLE = np.uint64(1)
 
 
 def _parsed(column: pa.Array):
-    """Word hashes with fields masked, and for each line with words: text, number in it, first word, word count, leaf."""
+    """Word hashes with fields masked, and for each line with words: text, number in it, first word, word count, leaf, and
+    hash of all words as they are."""
     words, off = C.word_hashes(column)
     data, byte_off = C.utf8(column)
     starts, _, _ = C.word_spans(data, byte_off)
     if not len(words):
-        return words, *(np.zeros(0, np.int64),) * 4, words
+        return words, *(np.zeros(0, np.int64),) * 4, words, words
+    plain = words
     words = np.where(np.add.reduceat(_FIELD[data] & ~C._SPACE[data], starts), _VARIABLE, words)
     text = np.repeat(np.arange(len(off) - 1), np.diff(off))
     breaks = np.cumsum(data == 10)
@@ -52,16 +63,19 @@ def _parsed(column: pa.Array):
     leaf = C.mix(n.astype(np.uint64))
     for j in range(LEADING):
         leaf = C.mix((leaf + words[np.minimum(first + np.minimum(j, n - 1), len(words) - 1)]) * C._STEP)
-    return words, text[first], line[first], first, n, leaf
+    place = (np.arange(len(plain)) - np.repeat(first, n)).astype(np.uint64)
+    whole = C.mix(np.add.reduceat(C.mix((plain + place) * C._STEP), first) + n.astype(np.uint64))
+    return words, text[first], line[first], first, n, leaf, whole
 
 
 def _lines(rows: DataFrame, table: np.ndarray | None = None) -> DataFrame:
-    """`row, doc_id, line, leaf` of all lines with enough words, or with a table those of leaves in it with their `words`."""
+    """`row, doc_id, line, leaf, n, whole` of all lines with enough words, or with a table `row, doc_id, line, leaf, words`
+    of those of leaves in it."""
 
     def run(batches):
         for batch in batches:
             for b in C.slices(batch):
-                words, text, line, first, n, leaf = _parsed(b.column("text"))
+                words, text, line, first, n, leaf, whole = _parsed(b.column("text"))
                 use = n >= MIN_WORDS
                 if table is not None and len(use):
                     use &= C.possible(table, leaf)
@@ -74,35 +88,60 @@ def _lines(rows: DataFrame, table: np.ndarray | None = None) -> DataFrame:
                     edges = np.concatenate([[0], np.cumsum(n[at])]).astype(np.int32)
                     cols.append(pa.ListArray.from_arrays(pa.array(edges), pa.array(flat.view(np.int64))))
                     names.append("words")
+                else:
+                    cols += [pa.array(n[at]), pa.array(whole[at].view(np.int64))]
+                    names += ["n", "whole"]
                 yield pa.record_batch(cols, names)
 
-    kind = "row long, doc_id long, line long, leaf long" + (", words array<long>" if table is not None else "")
+    kind = "row long, doc_id long, line long, leaf long" + (", words array<long>" if table is not None else ", n long, whole long")
     return rows.mapInArrow(run, kind)
 
 
+def support(constants: Column, variables: Column, total: int, min_docs: int = MIN_DOCS) -> Column:
+    """Documents that a template needs among `total`."""
+    share = F.least(F.greatest((8 - constants + 2 * variables) / 16, F.lit(0.25)), F.lit(1.0))
+    return F.greatest(F.ceil(F.pow(F.lit(float(max(total, 1))), share)), F.lit(min_docs))
+
+
+def exact_support(n: Column, total: int, min_docs: int = MIN_DOCS) -> Column:
+    """Documents that an identical line of `n` words needs among `total`."""
+    low, high = IDENTICAL
+    longer = F.greatest(F.ceil(min_docs - (min_docs - 2) * (n - low) / (high - low)), F.lit(2))
+    return F.when(n < low, support(n, F.lit(0), total, min_docs)).otherwise(longer)
+
+
+def _recurring(lines: DataFrame, key: list[str], needed: Column) -> DataFrame:
+    """`row, line` of lines (`row, doc_id, line` and the key) whose key is in enough documents, but for the first one."""
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    once = lines.select(*key, "row", "doc_id").distinct()
+    found = once.groupBy(*key).agg(F.count("*").alias("docs"), F.min(order)["row"].alias("keeper")).where((F.col("docs") > 1) & (F.col("docs") >= needed))
+    return lines.join(found, key).where(F.col("row") != F.col("keeper")).select("row", "line")
+
+
 def boilerplate(docs: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
     """`row, lines`: for each document that has some, the numbers of its lines to drop."""
     scratch = C.Scratch(docs.sparkSession)
     rows = docs.select(C.row_key("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    shared = _lines(rows).select("leaf", "row").distinct().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
+    every = scratch.table(_lines(rows), "every-line")
+    total = rows.select("row").distinct().count()
+    least = max(min_docs, math.ceil(total**0.25))
+    same = scratch.table(_recurring(every, ["whole", "n"], exact_support(F.col("n"), total, min_docs)), "identical")
+    shared = every.select("leaf", "row").distinct().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     shared = scratch.table(shared.select("leaf"), "leaves")
     lines = _lines(rows, C.membership(shared)).join(shared, "leaf").dropDuplicates(["row", "line"])
     lines = scratch.table(lines.withColumn("n", F.size("words")), "lines")
     placed = lines.select("row", "doc_id", "line", "leaf", "n", F.posexplode("words").alias("pos", "word"))
     often = placed.groupBy("leaf", "pos", "word").agg(F.count("*").alias("seen"))
-    often = often.where((F.col("seen") >= min_docs) & (F.col("word") != F.lit(int(_VARIABLE)))).drop("seen")
+    often = often.where((F.col("seen") >= least) & (F.col("word") != F.lit(int(_VARIABLE)))).drop("seen")
     marked = placed.join(often.withColumn("fixed", F.lit(1)), ["leaf", "pos", "word"], "left")
     ids = marked.groupBy("row", "line", "leaf", "n").agg(
         F.max("doc_id").alias("doc_id"),
         F.bit_xor(F.xxhash64("pos", F.when(F.col("fixed") == 1, F.col("word")))).alias("template"),
         F.count("fixed").alias("fixed"),
     )
-    ids = scratch.table(ids.where(F.col("fixed") >= constant * F.col("n")).drop("fixed"), "templates")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    once = ids.select("leaf", "template", "row", "doc_id").distinct()
-    found = once.groupBy("leaf", "template").agg(F.count("*").alias("docs"), F.min(order)["row"].alias("keeper")).where(F.col("docs") >= min_docs)
-    drop = ids.join(found, ["leaf", "template"]).where(F.col("row") != F.col("keeper"))
-    return scratch.table(drop.groupBy("row").agg(F.array_sort(F.collect_list("line")).alias("lines")), "drop")
+    ids = scratch.table(ids.where(F.col("fixed") >= constant * F.col("n")), "templates")
+    alike = _recurring(ids, ["leaf", "template", "n", "fixed"], support(F.col("fixed"), F.col("n") - F.col("fixed"), total, min_docs))
+    return scratch.table(same.union(alike).groupBy("row").agg(F.array_sort(F.collect_set("line")).alias("lines")), "drop")
 
 
 def dropped(docs: DataFrame, **how) -> DataFrame:

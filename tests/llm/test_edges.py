@@ -284,3 +284,23 @@ def test_terms_of_copied_lines_and_rare_entities(spark):
     got = disclosure.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     by = {r.doc_id: r.spans for r in got}
     assert all(by[i].startswith("term:0:7") for i in range(2005)) and "term:12:20" in by[2005] and by[2005].endswith("term:46:54")
+
+
+def test_identical_lines_and_loose_templates(spark):
+    # a line of 60 words in two documents, one of 25 words in three and in four, one of 3 words in 12, and clean short
+    # lines of 4 words that share the first three, in 12 of 2,000 documents
+    line = lambda c, n: " ".join(f"{c}{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}" for i in range(n))
+    letters = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    texts = [f"own {letters(i)} text\n" for i in range(2000)]
+    for i in (3, 9):
+        texts[i] += line("a", 60)
+    for i in (20, 21, 22, 23):
+        texts[i] += line("b", 25) + ("\n" + line("c", 25) if i < 23 else "") + f"\nchapter {i} of x"
+    for i in range(100, 112):
+        texts[i] += f"he went to {letters(i * 7)}\nsee also below"
+    for i in range(300, 320):
+        texts[i] += f"copyright {i} by {line('d', 8)}"
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["all"].doc_id: r.lines for r in line_templates.dropped(rows).collect() if r.lines}
+    want = {9: [1], **{i: [1] for i in (21, 22, 23)}, **{i: [2] for i in range(101, 112)}, **{i: [1] for i in range(301, 320)}}
+    assert got == want
