@@ -2,9 +2,13 @@
 
 Each pass hashes every vector to the signs of random projections, concatenated; vectors are put in the order of label and
 hash over all partitions, and each is compared with its neighbours in a bounded window, across the seams of blocks and
-partitions too. Links verified in any pass are united. A vector at cosine 0.98 shares a sign with probability 0.936, so
-with 5,000 vectors of a label a pass misses a pair with probability about 0.25, twelve passes with 1e-7; the number of
-passes is a parameter, and should grow with the logarithm of the rows of a label.
+partitions too. Links verified in any pass are united.
+
+What is hashed is the vector less the mean of its label's unit vectors, so that vectors which all point one way are told
+apart; cosines are verified on the originals. With m the length of the mean, two vectors at the least cosine c are at about
+1 - (1 - c) / (1 - m^2) after that, which gives the probability q that they share a sign. In a label of n vectors a window
+holds them with probability about (window / n)^log2(1 / q), and the label gets as many passes as make a miss in all of them
+less likely than `MISS` (`passes_for`), `passes` at least. The denser and larger a label, the more; others don't pay for it.
 
 Equal vectors are one from the start. The links of a vector are counted exactly afterwards: within each component tiles
 of bounded size are multiplied, every two of them once, and only counts leave a task.
@@ -25,6 +29,7 @@ from foliary.llm import common as C
 
 COSINE = 0.98
 PASSES = 12
+MISS = 1e-7
 BITS = 48
 WINDOW = 64
 BLOCK = 256
@@ -45,16 +50,56 @@ def _planes(which: int, length: int, bits: int) -> np.ndarray:
     return np.random.default_rng([which, length]).standard_normal((length, bits))
 
 
-def _keys(batch: pa.RecordBatch, passes: int, bits: int):
-    """The hash of each row for each pass."""
-    sizes = batch.column("size").to_numpy()
-    keys = np.zeros((passes, len(sizes)), np.int64)
+def passes_for(n: int, mean_square: float, cosine: float = COSINE, least: int = PASSES, window: int = WINDOW) -> int:
+    """Passes for a label of `n` vectors whose mean unit vector has that squared length."""
+    if n <= window:
+        return least
+    apart = max(-1.0, 1 - (1 - cosine) / max(1 - mean_square, 1e-9))
+    share = max(0.5, 1 - np.arccos(apart) / np.pi)
+    held = (window / n) ** np.log2(1 / share)
+    return max(least, int(np.ceil(np.log(MISS) / np.log1p(-min(held, 1 - MISS)))))
+
+
+def _keys(batch: pa.RecordBatch, bits: int):
+    """For each pass the rows that take part in it, and their hashes."""
+    sizes, passes = batch.column("size").to_numpy(), batch.column("passes").to_numpy()
     for n in np.unique(sizes):
         at = np.flatnonzero(sizes == n)
-        m = _matrix(batch.column("v").take(pa.array(at)))
-        for p in range(passes):
-            keys[p, at] = (m @ _planes(p, int(n), bits) > 0) @ (np.int64(1) << np.arange(bits - 1, -1, -1, dtype=np.int64))
-    return keys
+        take = pa.array(at)
+        centre = batch.column("centre").take(take).flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1)
+        m, own = _matrix(batch.column("v").take(take)) - centre, passes[at]
+        for p in range(int(own.max())):
+            use = own > p
+            yield p, at[use], (m[use] @ _planes(p, int(n), bits) > 0) @ (np.int64(1) << np.arange(bits - 1, -1, -1, dtype=np.int64))
+
+
+def _centres(classes: DataFrame, cosine: float, least: int, window: int) -> DataFrame:
+    """`size, label, rows, centre, passes` of each label and length of vectors; no vector leaves its task, only sums."""
+
+    def sums(batches):
+        for b in batches:
+            groups: dict = {}
+            for i, g in enumerate(zip(b.column("size").to_pylist(), b.column("label").to_pylist(), strict=True)):
+                groups.setdefault(g, []).append(i)
+            for (size, _), at in groups.items():
+                total = _matrix(b.column("v").take(pa.array(at))).sum(axis=0)
+                label = b.column("label").take(pa.array(at[:1]))
+                yield pa.record_batch([pa.array([size], pa.int32()), label, pa.array([len(at)]), pa.array([total.tolist()])], ["size", "label", "n", "total"])
+
+    kind = f"size int, label {dict(classes.dtypes)['label']}, n long, total array<double>"
+    some = classes.select("size", "label", "v").mapInArrow(sums, kind)
+    each = some.select("size", "label", "n", F.posexplode("total").alias("pos", "x")).groupBy("size", "label", "pos").agg(F.sum("n").alias("rows"), F.sum("x").alias("x"))
+    # rounded, so that the order of sums doesn't matter
+    mean = F.round(F.col("x") / F.col("rows"), 9)
+    each = each.groupBy("size", "label").agg(F.max("rows").alias("rows"), F.array_sort(F.collect_list(F.struct("pos", mean.alias("x"))))["x"].alias("centre"))
+
+    def chosen(batches):
+        for b in batches:
+            square = [float(np.square(x).sum()) for x in b.column("centre").to_pylist()]
+            n = [passes_for(r, x, cosine, least, window) for r, x in zip(b.column("rows").to_pylist(), square, strict=True)]
+            yield b.append_column("passes", pa.array(n, pa.int32()))
+
+    return each.mapInArrow(chosen, f"size int, label {dict(classes.dtypes)['label']}, rows long, centre array<double>, passes int")
 
 
 def _linked(m: np.ndarray, cosine: float, other: np.ndarray | None = None) -> np.ndarray:
@@ -74,15 +119,18 @@ def link(vectors: DataFrame, cosine: float = COSINE, passes: int = PASSES, bits:
 
     def spread(batches):
         for b in batches:
-            for p, keys in enumerate(_keys(b, passes, bits) if b.num_rows else ()):
-                yield pa.record_batch([pa.array(np.full(len(keys), p, np.int32)), b.column("size"), b.column("label"), pa.array(keys), b.column("c"), b.column("v")], ["pass", "size", "label", "key", "c", "v"])
+            for p, at, keys in _keys(b, bits) if b.num_rows else ():
+                x = b.take(pa.array(at))
+                yield pa.record_batch([pa.array(np.full(len(keys), p, np.int32)), x.column("size"), x.column("label"), pa.array(keys), x.column("c"), x.column("v")], ["pass", "size", "label", "key", "c", "v"])
 
     label_kind = dict(classes.dtypes)["label"]
     kind = f"pass int, size int, label {label_kind}, key long, c binary, v array<double>"
-    n = classes.count() * passes
+    centres = scratch.table(_centres(classes, cosine, passes, window), "centres")
+    n = centres.agg(F.sum(F.col("rows") * F.col("passes")).alias("n")).first()["n"] or 0
     parts = max(2, -(-n // 20_000))
     order = ["pass", "size", "label", "key", "c"]
-    sorted_rows = classes.select("size", "label", "c", "v").mapInArrow(spread, kind).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    centred = classes.join(centres, ["size", "label"]).select("size", "label", "c", "v", "centre", "passes")
+    sorted_rows = centred.mapInArrow(spread, kind).repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def placed(batches):
         """Number of each row in its partition, from the front; whether it is among the last ones."""

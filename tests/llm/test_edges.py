@@ -304,3 +304,18 @@ def test_identical_lines_and_loose_templates(spark):
     got = {r["all"].doc_id: r.lines for r in line_templates.dropped(rows).collect() if r.lines}
     want = {9: [1], **{i: [1] for i in (21, 22, 23)}, **{i: [2] for i in range(101, 112)}, **{i: [1] for i in range(301, 320)}}
     assert got == want
+
+
+def test_dense_label_matches_brute_force(spark):
+    """3,000 vectors of mean cosine 0.9 in one label, with pairs at about 0.982, in small windows."""
+    import numpy as np
+
+    rnd = np.random.default_rng(6)
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    v = unit(3 * unit(rnd.standard_normal((1, 64))) + unit(rnd.standard_normal((3000, 64))))
+    v[:400:2] = unit(v[1:401:2] + 0.19 * unit(rnd.standard_normal((200, 64))))
+    links = (v @ v.T >= 0.98).sum(axis=1) - 1
+    rows = [(i, x.tolist(), 1) for i, x in enumerate(v)] + [(5000 + i, x.tolist(), 2) for i, x in enumerate(np.eye(64)[:40])]
+    got = vector_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), window=8).collect()
+    assert links.sum() >= 300 and {r.vec_id: r.n_links for r in got} == {**dict(enumerate(links.tolist())), **{5000 + i: 0 for i in range(40)}}
+    assert vector_dedup.passes_for(3000, 0.9, window=8) > vector_dedup.passes_for(3000, 0.0, window=8) >= vector_dedup.PASSES
