@@ -47,10 +47,11 @@ class Scratch:
         self.root = f"{shared_folder(spark)}/foliary-{uuid.uuid4().hex}"
         self.made = 0
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, *by: str) -> DataFrame:
+        """The rows of `df`, written; in a folder for each value of `by`, if given."""
         self.made += 1
         path = f"{self.root}/{self.made:03d}-{name}"
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._foliary_path = path
         return out
@@ -77,6 +78,17 @@ def held(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select(F.struct("*").alias("all"), row_key("doc_id", "text").alias("row"), *more)
 
 
+PLACE_BITS = 33
+
+
+def placed(df: DataFrame, *order: Column) -> DataFrame:
+    """A range sort: `place` grows along the order, by 1 within the rows that one task sorts, in its upper bits the task.
+
+    Write the result before use; a task's rows are bounded as long as few rows tie.
+    """
+    return df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
+
+
 def remainder(n: int, column: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo n; -1 for a null id."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % n, F.lit(-1))

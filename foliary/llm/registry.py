@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliary.llm import class_ngrams, disclosure, language_filters, length_histogram, line_templates, packing, rule_ensemble, set_join, spaced_seeds, vector_dedup
+from foliary.llm import class_ngrams, disclosure, language_filters, length_histogram, line_templates, packing, rule_ensemble, set_join, source_mix, spaced_seeds, trie_variants, vector_dedup
 from foliary.llm.common import read, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,38 @@ def op2_class_ngram_scoring(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_disclosure_pii(spark: SparkSession, folder: str) -> DataFrame:
     return disclosure.report(read(spark, folder, "documents"))
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return trie_variants.variants(read(spark, folder, "documents"))
+
+
+@query
+def op13_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return source_mix.plan(read(spark, folder, "documents"))
+
+
+ORACLES["op13_source_mix"] = r"""
+with sizes as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+         md5(coalesce(doc_id::varchar, '') || ':' || coalesce(text, '')) as key
+  from documents),
+sources as (
+  select source, sum(size)::bigint as source_size, 1 + (row_number() over (order by source nulls last) - 1) % 3 as weight
+  from sizes group by source),
+shares as (
+  select *, (sum(source_size) over () - coalesce(sum(3 * source_size) over before, 0))::double
+            / (sum(weight) over () - coalesce(sum(weight) over before, 0))::double as share
+  from sources
+  window before as (order by 3 * source_size / weight, source nulls last rows between unbounded preceding and 1 preceding)),
+targets as (
+  select source, source_size, least(weight * max(case when share * weight <= 3 * source_size then share end) over (), 3 * source_size)::double as target
+  from shares),
+cuts as (
+  select doc_id, size, source_size, target, round(target)::bigint as budget,
+         coalesce(sum(size) over (partition by s.source order by key, doc_id, size rows between unbounded preceding and 1 preceding), 0) as start
+  from sizes s join targets t on s.source is not distinct from t.source)
+select doc_id, size::bigint as size, source_size, target,
+       (case when source_size > 0 then budget // source_size * size + greatest(0, least(size, budget % source_size - start)) else 0 end)::bigint as taken
+from cuts"""
