@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliary.llm import class_ngrams, disclosure, language_filters, length_histogram, line_templates, packing, rule_ensemble, set_join, source_mix, spaced_seeds, trie_variants, vector_dedup
+from foliary.llm import class_ngrams, dialogue_repair, disclosure, language_filters, length_histogram, line_templates, packing, rule_ensemble, set_join, source_mix, spaced_seeds, trie_variants, vector_dedup
 from foliary.llm.common import read, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +83,11 @@ def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return trie_variants.variants(read(spark, folder, "documents"))
 
 
+@query
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return dialogue_repair.Repair(dialogue_repair.damaged(read(spark, folder, "conversations"))).summary()
+
+
 @query
 def op13_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return source_mix.plan(read(spark, folder, "documents"))
