@@ -89,6 +89,38 @@ def _edit_rows(needle: str, haystack: str) -> tuple[np.ndarray, np.ndarray]:
     return cost, start
 
 
+def nearest_end(needle: str, haystack: str) -> tuple[int, int]:
+    """(distance, end) of the nearest window, least end on ties.
+
+    A column of the edit table is two bit vectors, of rows where it rises and where it falls by one, so a character of
+    the haystack costs a few operations on numbers of as many bits as the needle has characters.
+    """
+    at: dict[str, int] = {}
+    for i, ch in enumerate(needle):
+        at[ch] = at.get(ch, 0) | 1 << i
+    every = (1 << len(needle)) - 1
+    top = 1 << len(needle) - 1
+    rises, falls = every, 0
+    score = best = len(needle)
+    end = 0
+    for j, ch in enumerate(haystack, start=1):
+        same = at.get(ch, 0)
+        steady = same | falls
+        diagonal = (((same & rises) + rises) ^ rises) | same
+        up = falls | (~(diagonal | rises) & every)
+        down = rises & diagonal
+        if up & top:
+            score += 1
+        elif down & top:
+            score -= 1
+            if score < best:
+                best, end = score, j
+        up <<= 1
+        rises = (down << 1 | ~(steady | up)) & every
+        falls = up & steady & every
+    return best, end
+
+
 def best_window(needle: str, haystack: str) -> tuple[int, int, int]:
     """(distance, start, end) of the haystack window nearest to the needle, least end on ties."""
     if not needle:
@@ -98,9 +130,10 @@ def best_window(needle: str, haystack: str) -> tuple[int, int, int]:
     hit = haystack.find(needle)
     if hit >= 0:
         return 0, hit, hit + len(needle)
-    cost, start = _edit_rows(needle, haystack)
-    end = int(cost.argmin())
-    return int(cost[end]), int(start[end]), end
+    distance, end = nearest_end(needle, haystack)
+    # a window is no longer than needle and distance together, so its start needs this part of the table only
+    lead = max(0, end - len(needle) - distance)
+    return distance, lead + int(_edit_rows(needle, haystack[lead:end])[1][-1]), end
 
 
 WINDOW_TYPE = T.StructType(
@@ -120,19 +153,59 @@ def best_window_udf(needle: pd.Series, haystack: pd.Series) -> pd.DataFrame:
     )
 
 
-def best_substring_match(needle: ColumnLike, haystack: ColumnLike) -> Column:
-    """Nearest window struct.  Exact hits stay in the JVM (``instr``); only misses reach Python."""
-    n, h = col(needle), col(haystack)
+def _exact_hit(n: Column, h: Column) -> tuple[Column, Column]:
+    """Whether the needle occurs as it is, and the window struct of its first occurrence."""
     at = F.call_function("instr", h, n)
-    exact = F.struct(
+    window = F.struct(
         F.lit(0).alias("distance"),
         (at - 1).cast("int").alias("start"),
         (at - 1 + F.length(n)).cast("int").alias("end"),
     )
+    return at > 0, window
+
+
+def best_substring_match(needle: ColumnLike, haystack: ColumnLike) -> Column:
+    """Nearest window struct.  Exact hits stay in the JVM (``instr``); only misses reach Python."""
+    n, h = col(needle), col(haystack)
+    hit, exact = _exact_hit(n, h)
     # nulls cost nothing in the UDF: the pair is blanked out where an exact hit exists
-    miss = at == 0
-    found = best_window_udf(F.when(miss, n), F.when(miss, h))
-    return F.when(~miss, exact).otherwise(found)
+    found = best_window_udf(F.when(~hit, n), F.when(~hit, h))
+    return F.when(hit, exact).otherwise(found)
+
+
+GRAMS = (2, 3)
+
+
+def may_match(needle: ColumnLike, haystack: ColumnLike, tolerance: Column) -> Column:
+    """False only if no window of the haystack is within the tolerance.
+
+    An edit spoils q of the needle's q-grams at most, so a window within k edits has all of them but k * q.
+    """
+    n, h = col(needle), col(haystack)
+
+    def enough(q: int) -> Column:
+        least = F.length(n) - (q - 1) - tolerance * q
+        grams = F.transform(F.sequence(F.lit(1), F.length(n) - (q - 1)), lambda i: F.substr(n, i, F.lit(q)))
+        return F.when(least <= 0, True).otherwise(F.size(F.filter(grams, lambda g: F.contains(h, g))) >= least)
+
+    return enough(GRAMS[0]) & enough(GRAMS[1])
+
+
+def window_within(needle: ColumnLike, haystack: ColumnLike, tolerance: Column) -> Column:
+    """Nearest window struct if it is within the tolerance, else null.
+
+    Pairs that share too few q-grams are told apart in the JVM and never reach the edit table.
+    """
+    n, h = col(needle), col(haystack)
+    hit, exact = _exact_hit(n, h)
+    open_ = ~hit & may_match(n, h, tolerance)
+    found = best_window_udf(F.when(open_, n), F.when(open_, h))
+    return F.when(hit, exact).when(open_ & (found["distance"] <= tolerance), found)
+
+
+def agrees_within(value: ColumnLike, reading: ColumnLike, tolerance: Column) -> Column:
+    """Some part of the folded reading is within the tolerance of the folded value."""
+    return window_within(normalize_reading(value), normalize_reading(reading), tolerance).isNotNull()
 
 
 def agrees_exactly(value: ColumnLike, reading: ColumnLike) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from foliary.core import PAGE, first_by, js_round, pack_lines
 from foliary.functions.cells import format_ref, is_cell_ref, parse_ref
 from foliary.functions.keys import relative, to_fixed
-from foliary.functions.readings import best_substring_match, line_signature
+from foliary.functions.readings import best_substring_match, line_signature, window_within
 from foliary.operators.geometry import box_of_range, line_violations, CROP_PADDING
 from foliary.operators.quality import page_geometry
 from foliary.operators.signatures import LEAST_TOLERANCE, TOLERANCE_SHARE, page_signature_spans
@@ -321,11 +321,12 @@ def crop_signatures(crops: DataFrame) -> DataFrame:
     )
 
 
-def required_ranges(pairs: DataFrame, crops: DataFrame, lines: DataFrame) -> DataFrame:
+def required_ranges(pairs: DataFrame, crops: DataFrame, lines: DataFrame, explain: bool = True) -> DataFrame:
     """Lines of a page a crop's text comes from, or why there are none.
 
     ``pairs``: crop_id, run_id, page_index.  Exact hits stay in the JVM; only near misses reach the
-    Arrow edit-distance function, one pair per row.
+    Arrow edit-distance function, one pair per row.  Without ``explain`` the distance of a pair that
+    doesn't match is null, and pairs with too few common q-grams never reach that function.
     """
     spans = page_signature_spans(lines)
     ordered = F.array_sort(F.collect_list(F.struct("i", "start", "end", "sig")))
@@ -339,10 +340,11 @@ def required_ranges(pairs: DataFrame, crops: DataFrame, lines: DataFrame) -> Dat
         .withColumn("page_sig", F.coalesce("page_sig", F.lit("")))
     )
     both = (F.col("crop_sig") != "") & (F.col("page_sig") != "")
-    p = p.withColumn("_m", best_substring_match("crop_sig", "page_sig"))
     tolerance = F.greatest(
         F.lit(LEAST_TOLERANCE), js_round(F.length("crop_sig") * TOLERANCE_SHARE)
     ).cast("int")
+    nearest = best_substring_match("crop_sig", "page_sig") if explain else window_within("crop_sig", "page_sig", tolerance)
+    p = p.withColumn("_m", nearest)
     hit = F.filter(
         "spans", lambda s: (s["start"] < F.col("_m.end")) & (s["end"] > F.col("_m.start"))
     )
@@ -350,7 +352,7 @@ def required_ranges(pairs: DataFrame, crops: DataFrame, lines: DataFrame) -> Dat
     cause = (
         F.when(F.col("crop_sig") == "", "empty-crop")
         .when(F.col("page_sig") == "", "empty-page")
-        .when(F.col("_m.distance") > F.col("tolerance"), "no-match")
+        .when(F.coalesce(F.col("_m.distance") > F.col("tolerance"), F.lit(True)), "no-match")
         .when(F.size("_hit") == 0, "no-lines-covered")
     )
     p = p.withColumn("cause", cause)
@@ -396,7 +398,7 @@ def gate_evaluate(
     r = gold.join(results, ["crop_id", "run_id"], "left")
     on_page = F.coalesce(F.array_contains("accepted", F.col("page_index")), F.lit(False))
     r = r.withColumn("page_ok", on_page)
-    need = required_ranges(r.where("page_ok").select("crop_id", *PAGE), crops, lines).select(
+    need = required_ranges(r.where("page_ok").select("crop_id", *PAGE), crops, lines, explain=False).select(
         "crop_id", *PAGE, "cause", "min_line", "max_line"
     )
     r = (

@@ -281,46 +281,77 @@ def w2(ev: Evidence) -> DataFrame:
 # ------------------------------------------------------------------ X1 - X3
 
 
-def arriving(ev: Evidence, table: str) -> DataFrame:
-    """One table's files as a stream, one file to a batch."""
-    schema = ev.table(table).schema
-    return (
-        ev.spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{table}.parquet")
-        .option("maxFilesPerTrigger", 1)
-        .parquet(ev.folder)
-    )
+DROPS = 3
 
 
-@query("x1_accept_documents", "select source as run_id, sha256(text) as digest, 'doc-' || min(doc_id) as name, min(doc_id) as pos from documents group by source, sha256(text)")
-def x1(ev: Evidence) -> DataFrame:
+def in_drops(ev: Evidence, rows: DataFrame, run) -> None:
+    """Lands all rows in three drops, by `drop`, and calls ``run(stream)`` after each: a stream that stops and restarts.
+
+    The rows are cut into drops once; each drop is a batch of many files.
+    """
     folder = arr.work_folder(ev.spark)
-    d = arriving(ev, "documents").select(
-        F.col("source").alias("run_id"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name"), F.col("doc_id").alias("pos"), "text"
+    rows.write.partitionBy("drop").parquet(f"{folder}/drops")
+    schema = rows.drop("drop").schema
+    for k in range(DROPS):
+        drop = ev.spark.read.schema(rows.schema).parquet(f"{folder}/drops").where(F.col("drop") == k).drop("drop")
+        drop.write.mode("append").parquet(f"{folder}/landed")
+        run(ev.spark.readStream.schema(schema).parquet(f"{folder}/landed"), folder)
+
+
+def _drop(c: str):
+    return (F.col(c) % DROPS).cast("int").alias("drop")
+
+
+@query(
+    "x1_accept_documents",
+    """select run_id, digest, name, pos, r = 1 as accepted, case when r > 1 then held end as held_as, case when r > 1 then drop_no = held_drop end as in_same_drop
+       from (select *, row_number() over w as r, first_value(name) over w as held, first_value(drop_no) over w as held_drop
+             from (select source as run_id, sha256(text) as digest, 'doc-' || doc_id as name, doc_id as pos, doc_id % 3 as drop_no from documents)
+             window w as (partition by run_id, digest order by drop_no, pos))""",
+)
+def x1(ev: Evidence) -> DataFrame:
+    d = ev.table("documents").select(
+        F.col("source").alias("run_id"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name"), F.col("doc_id").alias("pos"), "text", _drop("doc_id")
     )
-    arr.run_available(digests(d, "text"), arr.accept_documents(f"{folder}/out"), f"{folder}/checkpoint")
-    return arr.stored(ev.spark, f"{folder}/out", arr.ACCEPTED).drop("batch")
+    out = []
+
+    def run(stream: DataFrame, folder: str) -> None:
+        arr.append_available(arr.accept_documents(stream), f"{folder}/out", f"{folder}/checkpoint")
+        out.append(f"{folder}/out")
+
+    in_drops(ev, digests(d, "text").select("run_id", "digest", "name", "pos", "drop"), run)
+    return arr.stored(ev.spark, out[-1], arr.ANSWERS)
 
 
 @query(
     "x2_fill_slots",
-    """select run_id, slot_key, round, pos, page_index from (select 'run-' || (doc_id % 5) as run_id, 'slot-' || (n_chars % 40) as slot_key, (doc_id % 3)::int as round, doc_id as pos, (doc_id % 100)::int as page_index,
-          row_number() over (partition by doc_id % 5, n_chars % 40 order by doc_id % 3, doc_id) as r from documents) where r = 1""",
+    """select run_id, slot_key, round, pos, page_index from (select *, row_number() over (partition by run_id, slot_key order by drop_no, round, pos) as r
+         from (select 'run-' || (doc_id % 5) as run_id, 'slot-' || (n_chars % 40) as slot_key, (doc_id % 4)::int as round, doc_id as pos, (doc_id % 100)::int as page_index, doc_id % 3 as drop_no from documents)) where r = 1""",
 )
 def x2(ev: Evidence) -> DataFrame:
-    folder = arr.work_folder(ev.spark)
+    """Rounds come out of order: a drop holds rows of all rounds."""
     d = F.col("doc_id")
-    z = arriving(ev, "documents").select(
+    z = ev.table("documents").select(
         F.concat(F.lit("run-"), (d % 5).cast("string")).alias("run_id"), F.concat(F.lit("slot-"), (F.col("n_chars") % 40).cast("string")).alias("slot_key"),
-        (d % 3).cast("int").alias("round"), d.alias("pos"), (d % 100).cast("int").alias("page_index"),
+        (d % 4).cast("int").alias("round"), d.alias("pos"), (d % 100).cast("int").alias("page_index"), _drop("doc_id"),
     )
-    arr.run_available(z, arr.fill_slots(f"{folder}/out"), f"{folder}/checkpoint")
-    return arr.stored(ev.spark, f"{folder}/out", arr.ZONES).drop("batch")
+    out = []
+
+    def run(stream: DataFrame, folder: str) -> None:
+        arr.append_available(arr.fill_slots(stream), f"{folder}/out", f"{folder}/checkpoint")
+        out.append(f"{folder}/out")
+
+    in_drops(ev, z, run)
+    return arr.stored(ev.spark, out[-1], arr.ZONES)
 
 
 @query("x3_running_tallies", duck("select run_id, stage, calls, input, output, thoughts, cached_input, pages, model_id from tly", "tly"))
 def x3(ev: Evidence) -> DataFrame:
-    folder = arr.work_folder(ev.spark)
-    totals = arr.running_tallies(usage_rows(arriving(ev, "events")))
-    arr.run_available(totals, arr.snapshots(f"{folder}/out"), f"{folder}/checkpoint", mode="complete")
-    return arr.latest_snapshot(ev.spark, f"{folder}/out")
+    tables = []
+
+    def run(stream: DataFrame, folder: str) -> None:
+        tables.append(arr.ChangedRows(ev.spark, f"{folder}/out", arr.STAGE, every=2))
+        arr.merge_available(arr.running_tallies(stream), tables[-1], f"{folder}/checkpoint")
+
+    in_drops(ev, usage_rows(ev.table("events")).withColumn("drop", _drop("seq")), run)
+    return tables[-1].table()

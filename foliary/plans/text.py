@@ -344,7 +344,47 @@ def t11(ev: Evidence) -> DataFrame:
     return value_pairs(ev).select("id", readings.agrees_exactly("a", "b").alias("agree"))
 
 
-@query("t12_best_substring_match")
+def q_nearest(pairs: str) -> dict[str, str]:
+    """The edit table of each of `pairs` (id, needle, hay; none empty), a row of it at a time.
+
+    Along a row, insertions carry the least of cost - column on; among equal costs a diagonal step goes before a deletion
+    and both before an insertion. Only the last row is used.
+    """
+    return {
+        "table_rows": f"""
+            select p.id, 0 as i, j, 0 as cost, j as start from {pairs} p, unnest(range(0, length(hay) + 1)) u(j)
+            union all
+            select id, i, j, (least_shift + j)::int, coalesce(last_value(case when fresh then base_start end ignore nulls) over (partition by id order by j), 0)
+            from (select *, j = 0 or shift <= lag(least_shift) over (partition by id order by j) as fresh
+                  from (select *, base - j as shift, min(base - j) over (partition by id order by j) as least_shift
+                        from (select d.id, d.i + 1 as i, d.j,
+                                     case when d.j = 0 then d.i + 1 else least(lag(cost) over w + (substr(hay, d.j::int, 1) <> substr(needle, d.i::int + 1, 1))::int, cost + 1) end as base,
+                                     case when d.j > 0 and lag(cost) over w + (substr(hay, d.j::int, 1) <> substr(needle, d.i::int + 1, 1))::int <= cost + 1 then lag(start) over w else start end as base_start
+                              from table_rows d join {pairs} p on p.id = d.id where d.i < length(needle)
+                              window w as (partition by d.id order by d.j))))""",
+        "nearest": f"""
+            select id, arg_min(cost, (cost, j))::int as distance, arg_min(start, (cost, j))::int as start, arg_min(j, (cost, j))::int as "end"
+            from table_rows join {pairs} p using (id) where i = length(needle) group by id""",
+    }
+
+
+FOLDED = f"select id, array_to_string({q_reading_tokens('a', 1)}, ' ') as needle, array_to_string({q_reading_tokens('b', 1)}, ' ') as hay from vals"
+
+
+@query(
+    "t12_best_substring_match",
+    duck(
+        """
+        select id, needle, hay, case when needle = '' then 0 when hay = '' then length(needle)::int when strpos(hay, needle) > 0 then 0 else n.distance end as distance,
+               case when needle = '' or hay = '' then 0 when strpos(hay, needle) > 0 then strpos(hay, needle)::int - 1 else n.start end as start,
+               case when needle = '' or hay = '' then 0 when strpos(hay, needle) > 0 then (strpos(hay, needle) - 1 + length(needle))::int else n."end" end as "end"
+        from f left join nearest n using (id)""",
+        "vals",
+        f=FOLDED,
+        misses="select * from f where needle <> '' and hay <> '' and strpos(hay, needle) = 0",
+        **q_nearest("misses"),
+    ),
+)
 def t12(ev: Evidence) -> DataFrame:
     folded = value_pairs(ev).select(
         "id", readings.normalize_reading("a").alias("needle"), readings.normalize_reading("b").alias("hay")
@@ -353,6 +393,24 @@ def t12(ev: Evidence) -> DataFrame:
     return folded.withColumn("m", m).select("id", "needle", "hay", "m.distance", "m.start", "m.end")
 
 
+@query(
+    "t11_agrees_within",
+    duck(
+        """
+        select id, length(needle) <= tol or strpos(hay, needle) > 0 or coalesce((select min(levenshtein(needle, substr(hay, s, e))) <= tol
+                    from unnest(range(1, length(hay)+1)) t(s), unnest(range(1, length(hay)+1)) u(e)
+                    where s + e - 1 <= length(hay)), false) as agree
+        from (select *, greatest(1, length(needle) // 5) as tol from f)""",
+        "vals",
+        f=FOLDED,
+    ),
+)
+def t11_within(ev: Evidence) -> DataFrame:
+    a = readings.normalize_reading("a")
+    tolerance = F.greatest(F.lit(1), F.floor(F.length(a) / 5)).cast("int")
+    return value_pairs(ev).select("id", readings.agrees_within("a", "b", tolerance).alias("agree"))
+
+
 @query(
     "t11_bounded_distance",
     duck(
