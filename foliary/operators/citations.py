@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from foliary.core import PAGE, first_by, in_range, is_blank, joined_text, pack_lines, strip_space
 from foliary.functions.readings import best_substring_match, normalize_reading
 from foliary.operators.geometry import range_error, resolve_ranges
-from foliary.operators.pools import remap_positions
+from foliary.operators.pools import RankedPools
 from foliary.sources.replies import parse_replies
 
 SLOT = ["run_id", "slot_key"]
@@ -104,13 +104,13 @@ def field_claims(replies: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def pooled_values(
-    claims: DataFrame, pool: DataFrame, lines: DataFrame, pages: DataFrame, sources: DataFrame
+    claims: DataFrame, pool: RankedPools, lines: DataFrame, pages: DataFrame, sources: DataFrame
 ) -> DataFrame:
     """V5: positions mapped to run pages, checked, with source name and page in document.
 
     The result is the input of ``reconcile`` (A1).
     """
-    mapped = remap_positions(claims, pool)
+    mapped = pool.remap(claims)
     beyond = F.col("position").isNotNull() & F.col("page_index").isNull()
     page = F.when(beyond, F.lit(-1)).otherwise(F.col("page_index")).cast("int")
     judged = citation_outcomes(mapped.withColumn("page_index", page), lines, pages)
@@ -130,7 +130,7 @@ def pooled_values(
 
 
 def locate_outcomes(
-    slots: DataFrame, answers: DataFrame, pool: DataFrame, lines: DataFrame, pages: DataFrame
+    slots: DataFrame, answers: DataFrame, pool: RankedPools, lines: DataFrame, pages: DataFrame
 ) -> DataFrame:
     """V6: per searched slot the first answer resolved; a bad answer affects its own slot only.
 
@@ -138,7 +138,7 @@ def locate_outcomes(
     from_line, to_line, confidence.
     """
     first = first_by(answers, SLOT, ["pos"]).join(slots, SLOT)
-    at = remap_positions(first, pool)
+    at = pool.remap(first)
     beyond = F.col("position").isNotNull() & F.col("page_index").isNull()
     at = at.withColumn("page_index", F.when(beyond, F.lit(-1)).otherwise(F.col("page_index")).cast("int"))
     resolved = resolve_ranges(at.drop("pos", "position", "pool_id"), lines, pages)

@@ -6,12 +6,9 @@ lines pack them once per page and work in the row.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from foliary.core import (
     BOX,
@@ -59,67 +56,88 @@ def pad_boxes(boxes: DataFrame, pad: float) -> DataFrame:
 # ------------------------------------------------------------------ words -> lines
 
 
-def _first_fit(tops: np.ndarray, heights: np.ndarray, tolerance: float) -> np.ndarray:
-    """Row number of each word: the first open row whose growing extent overlaps enough.
+def grown(v: Column, group: Column | None = None) -> Column:
+    """A group (top, bottom, members) with a member more, or one of its own."""
+    top, bottom = v["y"], v["y"] + v["h"]
+    if group is None:
+        return F.struct(top.alias("top"), bottom.alias("bottom"), F.array(v).alias("members"))
+    return F.struct(
+        F.least(group["top"], top).alias("top"),
+        F.greatest(group["bottom"], bottom).alias("bottom"),
+        F.concat(group["members"], F.array(v)).alias("members"),
+    )
+
+
+def fold_groups(df: DataFrame, order: list[str], starts: Column, member: Column, step) -> DataFrame:
+    """An order-dependent fold of a page's rows into numbered groups, without Python.
 
-    Words come top to bottom, so a row whose bottom lies above the word can never open again.
+    ``starts`` marks rows (in ``order``) that cannot belong to a group before them.  Between two marks the
+    rows are packed and folded by ``step(groups, member)``; the runs between marks are short, as they hold what
+    touches on a page, so a page of any length is a window and a sum over its runs.  Gives ``PAGE``, ``number`` and the
+    group's ``members``.
     """
-    row_of = np.empty(len(tops), dtype=np.int32)
-    open_rows: list[list[float]] = []  # [row, top, bottom], in order of creation
-    rows = 0
-    for k, (top, height) in enumerate(zip(tops, heights)):
-        bottom = top + height
-        open_rows = [r for r in open_rows if r[2] >= top]
-        for r in open_rows:
-            if min(bottom, r[2]) - max(top, r[1]) >= tolerance * height:
-                r[1], r[2] = min(r[1], top), max(r[2], bottom)
-                row_of[k] = r[0]
-                break
-        else:
-            row_of[k] = rows
-            open_rows.append([rows, top, bottom])
-            rows += 1
-    return row_of
-
-
-def row_numbers(tolerance: float):
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def rows(tops: pd.Series, heights: pd.Series) -> pd.Series:
-        return pd.Series([_first_fit(t, h, tolerance) for t, h in zip(tops, heights)])
-
-    return rows
+    w = W.partitionBy(*PAGE).orderBy(*order)
+    marked = df.withColumn("_starts", F.coalesce(starts, F.lit(True)).cast("int"))
+    marked = marked.withColumn("_run", F.sum("_starts").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    runs = marked.groupBy(*PAGE, "_run").agg(F.array_sort(F.collect_list(member)).alias("_ms"))
+    kind = runs.schema["_ms"].dataType.elementType.simpleString()
+    none = F.array().cast(f"array<struct<top:double,bottom:double,members:array<{kind}>>>")
+    groups = F.aggregate("_ms", none, step)
+    folded = runs.select(*PAGE, "_run", groups.alias("_gs"))
+    before = W.partitionBy(*PAGE).orderBy("_run").rowsBetween(W.unboundedPreceding, -1)
+    folded = folded.withColumn("_before", F.coalesce(F.sum(F.size("_gs")).over(before), F.lit(0)))
+    each = folded.select(*PAGE, "_before", F.posexplode("_gs").alias("_k", "_g"))
+    return each.select(*PAGE, (F.col("_before") + F.col("_k")).cast("int").alias("number"), F.col("_g.members").alias("members"))
+
+
+def member_box(members: Column) -> list[Column]:
+    """Union box of a group's members."""
+    least = lambda f: F.array_min(F.transform(members, f))
+    most = lambda f: F.array_max(F.transform(members, f))
+    x, y = least(lambda v: v["x"]), least(lambda v: v["y"])
+    return [
+        x.alias("x"),
+        y.alias("y"),
+        (most(lambda v: v["x"] + v["w"]) - x).alias("w"),
+        (most(lambda v: v["y"] + v["h"]) - y).alias("h"),
+    ]
+
+
+def _first_fit(tolerance: float):
+    """The first row whose growing extent the word overlaps enough takes it; else it opens a row."""
+
+    def step(rows: Column, v: Column) -> Column:
+        top, bottom = v["y"], v["y"] + v["h"]
+        fits = F.transform(rows, lambda r: F.least(bottom, r["bottom"]) - F.greatest(top, r["top"]) >= v["h"] * tolerance)
+        return bind(
+            F.array_position(fits, True),
+            lambda at: F.when(at == 0, F.concat(rows, F.array(grown(v)))).otherwise(
+                F.transform(rows, lambda r, k: F.when(k + 1 == at, grown(v, r)).otherwise(r))
+            ),
+        )
+
+    return step
 
 
 def group_words_into_lines(words: DataFrame, tolerance: float = ROW_TOLERANCE) -> DataFrame:
     """Greedy first-fit of words into rows, then rows numbered in order of creation.
 
-    Words of a page are packed once; only two numeric arrays travel to Python.  The regrouping by
-    (page, row) reuses the page partitioning, so there is one shuffle.
+    A word below every word before it opens a row in any case, so a page falls into short runs; one shuffle, by page.
     """
     extra = [c for c in words.columns if c in ("interpolated",)]
-    word = F.struct("y", "seq", "x", "w", "h", "text", *extra)
-    packed = words.groupBy(*PAGE).agg(F.array_sort(F.collect_list(word)).alias("ws"))
-    placed = packed.withColumn(
-        "rows",
-        row_numbers(tolerance)(
-            F.transform("ws", lambda v: v["y"]), F.transform("ws", lambda v: v["h"])
-        ),
+    deepest = F.max(F.col("y") + F.col("h")).over(W.partitionBy(*PAGE).orderBy("y", "seq").rowsBetween(W.unboundedPreceding, -1))
+    member = F.struct("y", "seq", "x", "w", "h", "text", *extra)
+    rows = fold_groups(words, ["y", "seq"], F.col("y") > deepest, member, _first_fit(tolerance))
+    by_x = F.array_sort(F.transform("members", lambda v, k: F.struct(v["x"].alias("x"), k.alias("k"), v["text"].alias("text"))))
+    out = rows.select(
+        *PAGE,
+        F.col("number").alias("i"),
+        F.array_join(F.transform(by_x, lambda t: t["text"]), " ").alias("text"),
+        *member_box(F.col("members")),
+        F.size("members").alias("n_words"),
+        *[F.when(F.exists("members", lambda v: v["interpolated"]), "interpolated").otherwise("measured").alias("origin") for _ in extra],
     )
-    each = placed.select(
-        *PAGE, F.posexplode(F.arrays_zip("ws", "rows")).alias("at", "z")
-    ).select(*PAGE, "at", F.col("z.rows").alias("i"), "z.ws.*")
-    token = F.struct("x", "at", "text")
-    ordered = F.array_sort(F.collect_list(token))
-    aggs = [
-        F.array_join(F.transform(ordered, lambda t: t["text"]), " ").alias("text"),
-        *union_box_aggs(),
-        F.count(F.lit(1)).cast("int").alias("n_words"),
-    ]
-    if extra:
-        aggs.append(
-            F.when(F.bool_or("interpolated"), "interpolated").otherwise("measured").alias("origin")
-        )
-    return each.groupBy(*PAGE, "i").agg(*aggs)
+    return out
 
 
 # ------------------------------------------------------------------ checks on lines

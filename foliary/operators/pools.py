@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliary.core import PAGE, joined_text, key_bucket, number_rows, pack_lines
+from foliary.core import PAGE, joined_text, key_bucket, number_rows, pack_lines, prefix_sums
+from foliary.session import kept
 
 # How much of a page's opening is shown.
 HEAD_LINES = 12
@@ -88,32 +89,58 @@ def pool_for_types(typed_pages: DataFrame, wanted: DataFrame) -> DataFrame:
     )
 
 
-def ranked_pool(pages: DataFrame, typed_pages: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Every open page of a run once per pool, preferred types first, with its position.
+class RankedPools:
+    """The open pages of each run as every pool ranks them, preferred types first, each in page order.
 
-    ``wanted``: run_id, pool_id, doc_type (a null type ranks nothing first).  ``pages`` is already
-    fenced.  Positions come from bucketed numbering, so a huge run is not sorted in one task.
+    ``wanted``: run_id, pool_id, doc_type (a null type ranks nothing first).  ``pages`` is already fenced.  Pages are
+    numbered once a run and the preferred ones once a pool; where another page stands follows by arithmetic, so no row
+    is made for a page and pool unless the whole ranking is asked for.
     """
-    pools = wanted.select("run_id", "pool_id").distinct()
-    preferred = pool_for_types(typed_pages, wanted).withColumn("preferred", F.lit(True))
-    ranked = (
-        pages.select(*PAGE)
-        .join(pools, "run_id")
-        .join(preferred, ["run_id", "pool_id", "page_index"], "left")
-        .withColumn("preferred", F.coalesce("preferred", F.lit(False)))
-    )
-    after = F.when(F.col("preferred"), F.lit(0)).otherwise(F.lit(1))
-    bucket = after.cast("long") * (1 << 40) + key_bucket("page_index")
-    return number_rows(ranked, ["run_id", "pool_id"], [after, "page_index"], bucket, "position")
-
-
-def remap_positions(citations: DataFrame, pool: DataFrame) -> DataFrame:
-    """Pool position to run page; null where the pool holds no such position."""
-    return citations.join(
-        pool.select("run_id", "pool_id", "position", "page_index"),
-        ["run_id", "pool_id", "position"],
-        "left",
-    )
+
+    def __init__(self, pages: DataFrame, typed_pages: DataFrame, wanted: DataFrame):
+        self.pools = wanted.select("run_id", "pool_id").distinct()
+        self.pages = kept(number_rows(pages.select(*PAGE), ["run_id"], ["page_index"], key_bucket("page_index"), "ordinal"))
+        preferred = pool_for_types(typed_pages, wanted).join(self.pages, PAGE)
+        self.preferred = kept(number_rows(preferred, ["run_id", "pool_id"], ["ordinal"], key_bucket("ordinal"), "rank"))
+
+    def rows(self) -> DataFrame:
+        """run_id, page_index, pool_id, preferred, position of every page of every pool."""
+        ranks = self.preferred.select(*PAGE, "pool_id", F.lit(True).alias("preferred"))
+        ranked = (
+            self.pages.select(*PAGE)
+            .join(self.pools, "run_id")
+            .join(ranks, [*PAGE, "pool_id"], "left")
+            .withColumn("preferred", F.coalesce("preferred", F.lit(False)))
+        )
+        after = F.when(F.col("preferred"), F.lit(0)).otherwise(F.lit(1))
+        bucket = after.cast("long") * (1 << 40) + key_bucket("page_index")
+        return number_rows(ranked, ["run_id", "pool_id"], [after, "page_index"], bucket, "position").select(
+            "run_id", "page_index", "pool_id", "preferred", "position"
+        )
+
+    def remap(self, citations: DataFrame) -> DataFrame:
+        """A pool position to a run page; null where the pool holds no such position.
+
+        Position k of a pool with a preferred pages is the k-th of them, or else the (k - a)-th other page; that page's
+        ordinal is k - a and as many preferred pages as have no more than k - a others before them.
+        """
+        place = ["run_id", "pool_id", "position"]
+        counts = self.preferred.groupBy("run_id", "pool_id").agg(F.count(F.lit(1)).alias("_a"))
+        asked = citations.select(*place).where("position is not null").distinct().join(self.pools, ["run_id", "pool_id"])
+        asked = asked.join(counts, ["run_id", "pool_id"], "left")
+        asked = asked.withColumn("others", (F.col("position") - F.coalesce("_a", F.lit(0))).cast("long"))
+        early = asked.where("others < 0").join(
+            self.preferred.select("run_id", "pool_id", F.col("rank").alias("position"), "page_index"), place
+        )
+        steps = self.preferred.groupBy("run_id", "pool_id", (F.col("ordinal") - F.col("rank")).cast("long").alias("others"))
+        marks = steps.agg(F.count(F.lit(1)).alias("_n")).withColumn("position", F.lit(None).cast("int"))
+        marks = marks.unionByName(asked.where("others >= 0").select(*place, "others", F.lit(0).cast("long").alias("_n")))
+        # a pool's preferred pages that follow each other are one mark, so a bucket of marks is bounded
+        order = F.struct("others", F.col("position").isNotNull(), "position")
+        passed = prefix_sums(marks, ["run_id", "pool_id"], order, "_n", key_bucket("others"), "_passed").where("position is not null")
+        late = passed.withColumn("ordinal", (F.col("others") + F.col("_passed")).cast("int")).join(self.pages, ["run_id", "ordinal"])
+        found = early.select(*place, "page_index").unionByName(late.select(*place, "page_index"))
+        return citations.join(found, place, "left")
 
 
 def default_types(slots: DataFrame) -> DataFrame:

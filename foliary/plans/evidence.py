@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from foliary.core import key_bucket, number_rows, strip_space
 from foliary.operators.numbering import page_in_source
+from foliary.session import kept
 
 # Footers start after a wide gap on every fourth page, so that running footers can be trimmed.
 FOOTER_GAP = 700
@@ -67,11 +68,11 @@ class Evidence:
 
     @cached_property
     def _numbered(self) -> DataFrame:
-        """Documents as pages; only keys and counts are shuffled, `lines` takes the texts in once."""
+        """Documents as pages: keys and counts, written once, as most plans read them in several branches."""
         n_lines = (F.size(F.split("text", "\n")) + 2).cast("int").alias("n_lines")
         base = self.documents.select("run_id", "source_id", "doc_id", "doc_type", n_lines)
         ends = self._counted.select("run_id", "source_id", "page_count", "first_page")
-        return (
+        return kept(
             page_in_source(base, "doc_id")
             .join(ends, ["run_id", "source_id"])
             .withColumn("page_index", (F.col("first_page") + F.col("page_in_doc")).cast("int"))

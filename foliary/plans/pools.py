@@ -193,8 +193,8 @@ add_duck(
 )
 
 
-def open_pool(ev: Evidence) -> DataFrame:
-    return pool.ranked_pool(pool.open_pages(ev.pages, ev.sources), h3(ev), wanted_pools(ev))
+def open_pool(ev: Evidence) -> pool.RankedPools:
+    return pool.RankedPools(pool.open_pages(ev.pages, ev.sources), h3(ev), wanted_pools(ev))
 
 
 @query(
@@ -207,7 +207,7 @@ def p1(ev: Evidence) -> DataFrame:
 
 @query("p2_ranked_pool", duck("select * from rpl", "rpl"))
 def p2(ev: Evidence) -> DataFrame:
-    return open_pool(ev)
+    return open_pool(ev).rows()
 
 
 @query(
@@ -223,7 +223,7 @@ def p3(ev: Evidence) -> DataFrame:
     c = ev.claims.select(
         "run_id", "claim_id", F.lit("KB").alias("pool_id"), (F.col("claim_id") * 7 % 400).cast("int").alias("position")
     )
-    return pool.remap_positions(c, open_pool(ev))
+    return open_pool(ev).remap(c)
 
 
 def form_rows(ev: Evidence) -> DataFrame:

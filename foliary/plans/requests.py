@@ -58,7 +58,7 @@ def r1(ev: Evidence) -> DataFrame:
     ),
 )
 def r2(ev: Evidence) -> DataFrame:
-    return req.pool_listing(open_pool(ev), ev.lines, pages_per_part=20)
+    return req.pool_listing(open_pool(ev).rows(), ev.lines, pages_per_part=20)
 
 
 def asked_slots(ev: Evidence) -> DataFrame:

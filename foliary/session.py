@@ -6,7 +6,10 @@ listed here.  Nothing is sized from the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -17,6 +20,23 @@ SETTINGS = {
 }
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new folder under the cluster's shared checkpoint folder; in local mode, where it is unset, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/foliary-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The rows written once to shared storage, for tables that several branches of a plan read."""
+    path = work_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_session(master: str = "local[8]", partitions: int = 8, **extra: str) -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     b = (

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from foliary.core import PAGE, is_blank
-from foliary.operators.geometry import group_words_into_lines
+from foliary.operators.geometry import fold_groups, group_words_into_lines, grown, member_box
 from foliary.operators.quality import page_geometry
 
 BREAK = "property struct<detectedBreak: struct<type: string>>"
@@ -59,58 +57,33 @@ def annotation_words(annotations: DataFrame, column: str = "annotation") -> Data
     )
 
 
-def _glue_groups(block: np.ndarray, top: np.ndarray, bottom: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Token number of each word: joined to the growing token before it when nothing separates them."""
-    out = np.empty(len(top), dtype=np.int32)
-    group, g_top, g_bottom = -1, 0.0, 0.0
-    for k in range(len(top)):
-        joins = (
-            k > 0
-            and not ends[k - 1]
-            and block[k - 1] == block[k]
-            and g_top < bottom[k]
-            and top[k] < g_bottom
-        )
-        if joins:
-            g_top, g_bottom = min(g_top, top[k]), max(g_bottom, bottom[k])
-        else:
-            group, g_top, g_bottom = group + 1, top[k], bottom[k]
-        out[k] = group
-    return out
-
-
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def glue_groups(block: pd.Series, top: pd.Series, bottom: pd.Series, ends: pd.Series) -> pd.Series:
-    return pd.Series([_glue_groups(*row) for row in zip(block, top, bottom, ends)])
+def _glued(tokens: Column, v: Column) -> Column:
+    """A word joins the growing token before it while both share some height."""
+    last = F.try_element_at(tokens, F.lit(-1))
+    joins = (last["top"] < v["y"] + v["h"]) & (v["y"] < last["bottom"])
+    return F.when(
+        F.coalesce(joins, F.lit(False)), F.concat(F.slice(tokens, F.lit(1), F.size(tokens) - 1), F.array(grown(v, last)))
+    ).otherwise(F.concat(tokens, F.array(grown(v))))
 
 
 def words_from_annotations(annotations: DataFrame, column: str = "annotation") -> DataFrame:
-    """Usable words with the unbroken ones glued, numbered in reading order per page."""
+    """Usable words with the unbroken ones glued, numbered in reading order per page.
+
+    A word after a break or in another block starts a token in any case; what stands between is folded in order.
+    """
     usable = annotation_words(annotations, column).where(
         ~is_blank("text") & F.col("box").isNotNull()
-    )
-    word = F.struct("block_index", "p", "k", "text", "box", "ends")
-    packed = usable.groupBy(*PAGE).agg(F.array_sort(F.collect_list(word)).alias("ws"))
-    grouped = packed.withColumn(
-        "g",
-        glue_groups(
-            F.transform("ws", lambda v: v["block_index"]),
-            F.transform("ws", lambda v: v["box"]["y"]),
-            F.transform("ws", lambda v: v["box"]["y"] + v["box"]["h"]),
-            F.transform("ws", lambda v: v["ends"]),
-        ),
-    )
-    each = grouped.select(*PAGE, F.posexplode(F.arrays_zip("ws", "g")).alias("at", "z")).select(
-        *PAGE, "at", F.col("z.g").alias("seq"), "z.ws.block_index", "z.ws.text", "z.ws.box.*"
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("at", "text")))
-    return each.groupBy(*PAGE, "seq").agg(
-        F.array_join(F.transform(ordered, lambda t: t["text"]), "").alias("text"),
-        F.min("block_index").alias("block_index"),
-        F.min("x").alias("x"),
-        F.min("y").alias("y"),
-        (F.max(F.col("x") + F.col("w")) - F.min("x")).alias("w"),
-        (F.max(F.col("y") + F.col("h")) - F.min("y")).alias("h"),
+    ).select(*PAGE, "block_index", "p", "k", "text", "box.*", "ends")
+    order = ["block_index", "p", "k"]
+    w = W.partitionBy(*PAGE).orderBy(*order)
+    starts = F.lag("ends").over(w) | (F.lag("block_index").over(w) != F.col("block_index"))
+    tokens = fold_groups(usable, order, starts, F.struct(*order, "text", "x", "y", "w", "h"), _glued)
+    return tokens.select(
+        *PAGE,
+        F.col("number").alias("seq"),
+        F.array_join(F.transform("members", lambda v: v["text"]), "").alias("text"),
+        F.array_min(F.transform("members", lambda v: v["block_index"])).alias("block_index"),
+        *member_box(F.col("members")),
     )
 
 

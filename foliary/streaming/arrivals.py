@@ -7,8 +7,6 @@ a replayed batch count once; running tallies are changed rows by batch, merged b
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -17,6 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from foliary.operators.ledger import COUNTERS
+from foliary.session import work_folder  # noqa: F401
 
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -24,16 +23,6 @@ STATE_STORE = {
 }
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared checkpoint folder; in local mode, where it is unset, a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/foliary-{uuid.uuid4().hex}"
-
-
 def stored(spark: SparkSession, folder: str, schema: StructType | str) -> DataFrame:
     """All rows that a stream has appended to a folder; none if it has not begun."""
     try:
