@@ -68,26 +68,30 @@ def grown(v: Column, group: Column | None = None) -> Column:
     )
 
 
-def fold_groups(df: DataFrame, order: list[str], starts: Column, member: Column, step) -> DataFrame:
+def fold_groups(df: DataFrame, order: list[str], starts: Column, follows: Column, member: Column, step) -> DataFrame:
     """An order-dependent fold of a page's rows into numbered groups, without Python.
 
     ``starts`` marks rows (in ``order``) that cannot belong to a group before them.  Between two marks the
-    rows are packed and folded by ``step(groups, member)``; the runs between marks are short, as they hold what
-    touches on a page, so a page of any length is a window and a sum over its runs.  Gives ``PAGE``, ``number`` and the
-    group's ``members``.
+    rows are packed; a run whose rows all ``follows`` is one group, any other is folded by ``step(groups, member)``.
+    Runs hold what touches on a page, so a page of any length is a window and a sum over its runs.  Gives ``PAGE``,
+    ``number`` and the group's ``members``.
     """
     w = W.partitionBy(*PAGE).orderBy(*order)
     marked = df.withColumn("_starts", F.coalesce(starts, F.lit(True)).cast("int"))
     marked = marked.withColumn("_run", F.sum("_starts").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    runs = marked.groupBy(*PAGE, "_run").agg(F.array_sort(F.collect_list(member)).alias("_ms"))
+    marked = marked.withColumn("_follows", (F.col("_starts") == 1) | F.coalesce(follows, F.lit(False)))
+    runs = marked.groupBy(*PAGE, "_run").agg(
+        F.array_sort(F.collect_list(member)).alias("_ms"), F.bool_and("_follows").alias("_one")
+    )
     kind = runs.schema["_ms"].dataType.elementType.simpleString()
     none = F.array().cast(f"array<struct<top:double,bottom:double,members:array<{kind}>>>")
-    groups = F.aggregate("_ms", none, step)
+    folds = F.transform(F.aggregate("_ms", none, step), lambda g: g["members"])
+    groups = F.when(F.col("_one"), F.array("_ms")).otherwise(folds)
     folded = runs.select(*PAGE, "_run", groups.alias("_gs"))
     before = W.partitionBy(*PAGE).orderBy("_run").rowsBetween(W.unboundedPreceding, -1)
     folded = folded.withColumn("_before", F.coalesce(F.sum(F.size("_gs")).over(before), F.lit(0)))
-    each = folded.select(*PAGE, "_before", F.posexplode("_gs").alias("_k", "_g"))
-    return each.select(*PAGE, (F.col("_before") + F.col("_k")).cast("int").alias("number"), F.col("_g.members").alias("members"))
+    each = folded.select(*PAGE, "_before", F.posexplode("_gs").alias("_k", "members"))
+    return each.select(*PAGE, (F.col("_before") + F.col("_k")).cast("int").alias("number"), "members")
 
 
 def member_box(members: Column) -> list[Column]:
@@ -123,11 +127,13 @@ def group_words_into_lines(words: DataFrame, tolerance: float = ROW_TOLERANCE) -
     """Greedy first-fit of words into rows, then rows numbered in order of creation.
 
     A word below every word before it opens a row in any case, so a page falls into short runs; one shuffle, by page.
+    Words come by their tops, so as long as a run has one row, its extent is from the first top to the deepest bottom.
     """
     extra = [c for c in words.columns if c in ("interpolated",)]
     deepest = F.max(F.col("y") + F.col("h")).over(W.partitionBy(*PAGE).orderBy("y", "seq").rowsBetween(W.unboundedPreceding, -1))
     member = F.struct("y", "seq", "x", "w", "h", "text", *extra)
-    rows = fold_groups(words, ["y", "seq"], F.col("y") > deepest, member, _first_fit(tolerance))
+    overlap = F.least(F.col("y") + F.col("h"), deepest) - F.col("y")
+    rows = fold_groups(words, ["y", "seq"], F.col("y") > deepest, overlap >= F.col("h") * tolerance, member, _first_fit(tolerance))
     by_x = F.array_sort(F.transform("members", lambda v, k: F.struct(v["x"].alias("x"), k.alias("k"), v["text"].alias("text"))))
     out = rows.select(
         *PAGE,

@@ -105,7 +105,8 @@ class Evidence:
             F.concat(F.lit("Ref "), F.col("source_id")),
         )
         texts = self.documents.select("run_id", "source_id", "doc_id", "text")
-        rows = self._numbered.join(texts, ["run_id", "source_id", "doc_id"]).select(
+        # whole texts are dealt by page before they are cut: lines and words of a page never move again
+        rows = self._numbered.join(texts, ["run_id", "source_id", "doc_id"]).repartition("run_id", "page_index").select(
             "run_id",
             "page_index",
             "source_id",

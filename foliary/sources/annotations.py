@@ -77,7 +77,7 @@ def words_from_annotations(annotations: DataFrame, column: str = "annotation") -
     order = ["block_index", "p", "k"]
     w = W.partitionBy(*PAGE).orderBy(*order)
     starts = F.lag("ends").over(w) | (F.lag("block_index").over(w) != F.col("block_index"))
-    tokens = fold_groups(usable, order, starts, F.struct(*order, "text", "x", "y", "w", "h"), _glued)
+    tokens = fold_groups(usable, order, starts, F.lit(False), F.struct(*order, "text", "x", "y", "w", "h"), _glued)
     return tokens.select(
         *PAGE,
         F.col("number").alias("seq"),
