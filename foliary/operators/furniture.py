@@ -10,17 +10,19 @@ pages of a document, and one document may hold a third of a corpus.  The same an
 3. a prefix-filtered join of the surviving sets with all sets of the document (two sets that
    overlap enough share one of their rarest tokens);
 4. page counting only for sets the set sizes cannot already decide.
+
+What several steps read (tails, token sets, alike pairs) is written once to shared storage.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliary.core import bind
 from foliary.functions.readings import furniture_tokens, has_a_letter, token_overlap
+from foliary.session import kept
 
 # Depth of a page's tail, overlap, page share, least pages, slack share.
 TAIL_LINES = 6
@@ -34,34 +36,30 @@ EPS = 1e-9
 # Tokens on fewer lines than this share of the needed pages are not looked up one by one; their
 # page-count is bounded by it instead.
 RARE = 0.1
+# A token on more lines of a document than this is cut: its sets are dealt to as many parts, what looks them up is copied.
+HEAVY_TOKEN = 20_000
 
 
 def page_tails(lines: DataFrame) -> DataFrame:
-    """The last lines of every page, one more than the tail, ranked from the bottom.
+    """The last lines of every page, one more than the tail, ranked from the bottom, with the page's number of lines.
 
-    The rank filter is pushed below the shuffle by Spark (window group limit), so only a few
-    lines per page and task travel.
+    The lines are read once; only a few a page are kept.
     """
-    up = W.partitionBy(*DOC, "page_index").orderBy(F.col("i").desc())
-    return (
-        lines.select(*DOC, "page_index", "i", "text")
-        .withColumn("rank", F.row_number().over(up))
-        .where(F.col("rank") <= TAIL_LINES + 1)
-    )
+    page = W.partitionBy(*DOC, "page_index")
+    rows = lines.select(*DOC, "page_index", "i", "text").withColumn("n_lines", F.count(F.lit(1)).over(page).cast("int"))
+    up = page.orderBy(F.col("i").desc())
+    return kept(rows.withColumn("rank", F.row_number().over(up)).where(F.col("rank") <= TAIL_LINES + 1))
 
 
 def _tail_sets(tails: DataFrame) -> DataFrame:
-    """Tail lines with their token set, its key, and whether they are the set's first on the page.
-
-    Kept for reuse: three later steps read it and tokenising is the costly part.
-    """
+    """Tail lines with their token set, its key, and whether they are the set's first on the page."""
     t = tails.where((F.col("rank") <= TAIL_LINES) & has_a_letter("text")).select(
         *DOC, "page_index", "i", F.sort_array(furniture_tokens("text")).alias("tokens")
     )
     t = t.withColumn("sk", F.sha2(F.array_join("tokens", " "), 256))
     again = W.partitionBy(*DOC, "page_index").orderBy("sk", "i")
     first = F.lag("sk").over(again).eqNullSafe(F.col("sk"))
-    return t.withColumn("counts", F.when(first, 0).otherwise(1)).persist(StorageLevel.MEMORY_AND_DISK)
+    return kept(t.withColumn("counts", F.when(first, 0).otherwise(1)))
 
 
 def _prefix(tokens_by_rarity: Column) -> Column:
@@ -98,7 +96,12 @@ def _furniture_of(tails: DataFrame, pages: DataFrame) -> DataFrame:
         .agg(F.sum("set_pages").alias("token_lines"))
         .join(documents, DOC)
         .where(F.col("token_lines") >= F.col("needed") * RARE)
-        .select(*DOC, "token", F.least("token_lines", "n_pages").alias("token_pages"))
+        .select(
+            *DOC,
+            "token",
+            F.least("token_lines", "n_pages").alias("token_pages"),
+            (1 + F.floor(F.col("token_lines") / HEAVY_TOKEN)).cast("int").alias("parts"),
+        )
     )
 
     # tokens of each set from rare to common, and the bound on how many pages it can reach
@@ -109,9 +112,11 @@ def _furniture_of(tails: DataFrame, pages: DataFrame) -> DataFrame:
         .agg(
             F.transform(
                 F.array_sort(
-                    F.collect_list(F.struct(F.coalesce("token_pages", F.lit(0)).alias("p"), "token"))
+                    F.collect_list(
+                        F.struct(F.coalesce("token_pages", F.lit(0)).alias("p"), "token", F.coalesce("parts", F.lit(1)).alias("parts"))
+                    )
                 ),
-                lambda z: z["token"],
+                lambda z: F.struct(z["token"].alias("token"), z["parts"].alias("parts")),
             ).alias("by_rarity"),
             F.sum("token_pages").alias("common_mass"),
             F.count_if(F.col("token_pages").isNull()).alias("rare_tokens"),
@@ -120,36 +125,39 @@ def _furniture_of(tails: DataFrame, pages: DataFrame) -> DataFrame:
     )
     mass = F.coalesce("common_mass", F.lit(0)) + F.col("rare_tokens") * F.col("needed") * RARE
     likely = mass >= F.size("by_rarity") * F.col("needed") * (TOKEN_OVERLAP - EPS)
-    left = ranked.where(likely).select(
+    ranked = kept(ranked.withColumn("likely", likely))
+    left = ranked.where("likely").select(
         *DOC,
         F.col("sk").alias("sk_a"),
         "needed",
         F.size("by_rarity").alias("size_a"),
-        F.explode(_prefix(F.col("by_rarity"))).alias("token"),
+        F.explode(_prefix(F.col("by_rarity"))).alias("t"),
     )
+    left = left.select("*", F.col("t.token").alias("token"), F.explode(F.sequence(F.lit(0), F.col("t.parts") - 1)).alias("part"))
     right = ranked.select(
         *DOC,
         F.col("sk").alias("sk_b"),
         F.size("by_rarity").alias("size_b"),
-        F.explode(_prefix(F.col("by_rarity"))).alias("token"),
+        F.explode(_prefix(F.col("by_rarity"))).alias("t"),
     )
+    part = F.pmod(F.xxhash64("sk_b"), F.col("t.parts")).cast("int")
+    right = right.select("*", F.col("t.token").alias("token"), part.alias("part"))
     near_size = (F.col("size_b") >= F.col("size_a") * (TOKEN_OVERLAP - EPS)) & (
         F.col("size_a") >= F.col("size_b") * (TOKEN_OVERLAP - EPS)
     )
     pairs = (
-        left.join(right, [*DOC, "token"])
+        left.join(right, [*DOC, "token", "part"])
         .where(near_size)
         .select(*DOC, "sk_a", "sk_b", "needed")
         .distinct()
     )
     a = sets.select(*DOC, F.col("sk").alias("sk_a"), F.col("tokens").alias("tokens_a"))
     b = sets.select(*DOC, F.col("sk").alias("sk_b"), F.col("tokens").alias("tokens_b"), "set_pages")
-    alike = (
+    alike = kept(
         pairs.join(b, [*DOC, "sk_b"])
         .join(a, [*DOC, "sk_a"])
         .where(token_overlap(F.col("tokens_a"), F.col("tokens_b")) >= TOKEN_OVERLAP)
         .select(*DOC, "sk_a", "sk_b", "needed", "set_pages")
-        .persist(StorageLevel.MEMORY_AND_DISK)  # read by both ways of counting below
     )
     reach = alike.groupBy(*DOC, "sk_a").agg(
         F.first("needed").alias("needed"),
@@ -183,18 +191,17 @@ def page_bottoms(lines: DataFrame, pages: DataFrame) -> DataFrame:
     furniture = _furniture_of(tails, pages)
     f = furniture.withColumn("is_furniture", F.lit(True))
     keys = [*DOC, "page_index"]
-    marked = tails.select(*keys, "i").join(f, [*keys, "i"], "left")
+    marked = tails.select(*keys, "i", "n_lines").join(f, [*keys, "i"], "left")
     content = F.when(F.col("is_furniture").isNull(), F.col("i"))
     bottom = marked.groupBy(*keys).agg(
         F.max(content).alias("last_content"),
         F.count("is_furniture").cast("int").alias("furniture_lines"),
         F.max("i").alias("last_line"),
+        F.max("n_lines").alias("n_lines"),
     )
-    counts = lines.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("n_lines"))
     per_page = (
         pages.select(*keys)
         .join(bottom, keys, "left")
-        .join(counts, keys, "left")
         .withColumn("n_lines", F.coalesce("n_lines", F.lit(0)))
         .withColumn("furniture_lines", F.coalesce("furniture_lines", F.lit(0)))
     )
