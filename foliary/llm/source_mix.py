@@ -68,7 +68,8 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_epochs: int =
     scratch = C.Scratch(docs.sparkSession)
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
     # texts are read once: what follows is a few short columns
-    sizes = scratch.table(docs.select("doc_id", "source", size.alias("size"), _key().alias("key"), *carry), "sizes")
+    carried = [F.struct(*carry).alias("carried")] if carry else []
+    sizes = scratch.table(docs.select("doc_id", "source", size.alias("size"), _key().alias("key"), *carried), "sizes")
     sources = scratch.table(_sources(sizes, weights, most_epochs, scratch), "targets").withColumnRenamed("source", "of")
     place = F.conv(F.substring("key", 1, DIGITS), 16, 10).cast("double") / 16**DIGITS
     rows = sizes.join(sources, F.col("source").eqNullSafe(F.col("of"))).withColumn("part", F.floor(place * F.col("parts")))
@@ -81,7 +82,7 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_epochs: int =
     epochs = F.when(of > 0, F.floor(budget / of)).otherwise(0)
     left = budget - epochs * of - F.col("start") - F.col("inner")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least("size", left))
-    return at.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *carry)
+    return at.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *(["carried.*"] if carry else []))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_epochs: int = MOST_EPOCHS) -> DataFrame:
