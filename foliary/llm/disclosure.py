@@ -62,16 +62,34 @@ def _valid(kind: str, c: Column) -> Column:
     return n.between(9, 15) if kind == "phone" else F.lit(True)
 
 
+def _let(value: Column, body) -> Column:
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column) -> Column:
+    """Sums of the values before each, in blocks of about the square root of their number, as arrays grow by copying."""
+
+    def sums(xs: Column, n) -> Column:
+        zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(xs, zero, lambda a, x: F.struct((a["at"] + n(x)).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))
+
+    size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(values))).cast("int"))
+    blocks = _let(size, lambda k: F.transform(F.sequence(F.lit(0), k - 1), lambda b: sums(F.slice(values, b * k + 1, k), lambda x: x)))
+    add = lambda x, o: F.transform(x["out"], lambda v: v + o)
+    return _let(blocks, lambda bs: F.flatten(F.zip_with(bs, sums(bs, lambda x: x["at"])["out"], add)))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Leftmost matches that don't overlap: array of (start, end, word), in code points."""
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda w, gap: F.struct(w.alias("word"), F.length(gap).cast("long").alias("gap")))
-    none = F.array().cast("array<struct<start: bigint, end: bigint, word: string>>")
-    step = lambda a, x: F.struct(
-        (a["at"] + x["gap"] + F.length(x["word"])).alias("at"),
-        F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + F.length(x["word"])).alias("end"), x["word"].alias("word")))).alias("out"),
-    )
-    return F.aggregate(pairs, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), step, lambda a: a["out"])
+    pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda w, gap: F.struct(w.alias("word"), F.length(w).cast("long").alias("n"), F.length(gap).cast("long").alias("gap")))
+
+    def placed(ps: Column) -> Column:
+        start = lambda p, at: at + p["gap"]
+        span = lambda p, at: F.struct(start(p, at).alias("start"), (start(p, at) + p["n"]).alias("end"), p["word"].alias("word"))
+        return F.zip_with(ps, running(F.transform(ps, lambda p: p["gap"] + p["n"])), span)
+
+    return _let(pairs, placed)
 
 
 _SPAN = "array<struct<start: bigint, rank: int, end: bigint, word: string>>"
@@ -85,35 +103,33 @@ def _typed(text: Column, kind: str) -> Column:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """`row, doc_id, spans, lines`: all base spans in order, and the lines that hold some or are next to such a line, each
-    with where the lines before and after it begin and end."""
+    """`row, doc_id, spans, lines`: all base spans in order, and the lines (`start, line, near`) that hold some or are next to
+    such a line, with the spans of the three.
+
+    No match crosses the end of a line, so each line is searched by itself, and a text of any number of spans is a pass.
+    """
     t = F.coalesce("text", F.lit(""))
     rows = docs.select(C.row_key("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), t.alias("text"))
-    rows = rows.select("*", *[_typed(F.col("text"), k).alias(f"s_{k}") for k in PATTERNS])
-    rows = rows.select("row", "doc_id", "text", F.array_sort(F.concat(*[f"s_{k}" for k in PATTERNS])).alias("spans"))
-    none = F.array().cast("array<struct<start: bigint, line: string, lo: bigint, hi: bigint>>")
-    split = F.split("text", "\n", -1)
-    # each line with the length of the next one
-    pairs = F.zip_with(split, F.slice(split, 2, F.size(split)), lambda x, y: F.struct(x.alias("line"), F.coalesce(F.length(y) + 1, F.lit(0)).alias("after")))
-
-    def step(a, x):
-        end = a["at"] + F.length(x["line"])
-        line = F.struct(a["at"].alias("start"), x["line"].alias("line"), a["before"].alias("lo"), (end + x["after"]).cast("long").alias("hi"))
-        near = F.exists("spans", lambda s: s["start"].between(line["lo"], line["hi"]))
-        return F.struct((end + 1).alias("at"), a["at"].alias("before"), F.concat(a["out"], F.when(near, F.array(line)).otherwise(none)).alias("out"))
-
-    zero = F.lit(0).cast("long")
-    cut = F.aggregate(pairs, F.struct(zero.alias("at"), zero.alias("before"), none.alias("out")), step, lambda a: a["out"])
-    return rows.select("row", "doc_id", "spans", F.when(F.size("spans") > 0, cut).otherwise(none).alias("lines"))
+    typed = lambda x: F.concat(*[_typed(x, k) for k in PATTERNS])
+    own = F.transform(F.split("text", "\n", -1), lambda x: F.struct(x.alias("line"), F.length(x).cast("long").alias("n"), typed(x).alias("spans")))
+    none = F.array().cast(_SPAN)
+    may = F.contains(F.col("text"), F.lit("@")) | F.rlike(F.col("text"), F.lit("[0-9]"))
+    rows = rows.select("row", "doc_id", F.when(may, own).alias("own"))
+    rows = rows.select("row", "doc_id", "own", running(F.transform("own", lambda x: x["n"] + 1)).alias("starts"))
+    shifted = lambda x, at: F.transform(x["spans"], lambda s: s.withField("start", s["start"] + at).withField("end", s["end"] + at))
+    spans = F.array_sort(F.flatten(F.zip_with("own", "starts", shifted)))
+    at = lambda i: F.coalesce(F.when(i >= 0, F.get("own", i))["spans"], none)
+    line = lambda x, i: F.struct(F.get("starts", i).alias("start"), x["line"].alias("line"), F.concat(at(i - 1), x["spans"], at(i + 1)).alias("near"))
+    lines = F.filter(F.transform("own", line), lambda x: F.size(x["near"]) > 0)
+    return rows.select("row", "doc_id", F.coalesce(spans, none).alias("spans"), F.coalesce(lines, F.array().cast(f"array<struct<start: bigint, line: string, near: {_SPAN}>>")).alias("lines"))
 
 
 def _near(found: DataFrame) -> DataFrame:
     """`row, line_key, line, start, entities, context`: each context with the distinct entities of it and its neighbours,
     and a key of line and entities."""
-    near = F.filter("spans", lambda s: s["start"].between(F.col("l.lo"), F.col("l.hi")))
     value = lambda s: F.concat(s["rank"].cast("string"), F.when(s["rank"].isin(KINDS.index("card"), KINDS.index("phone")), _digits(s["word"])).otherwise(F.lower(s["word"])))
-    lines = found.select("row", "spans", F.explode("lines").alias("l"))
-    lines = lines.select("row", F.xxhash64("l.line").alias("line_key"), "l.line", "l.start", F.array_sort(F.array_distinct(F.transform(near, value))).alias("entities"))
+    lines = found.select("row", F.explode("lines").alias("l"))
+    lines = lines.select("row", F.xxhash64("l.line").alias("line_key"), "l.line", "l.start", F.array_sort(F.array_distinct(F.transform("l.near", value))).alias("entities"))
     return lines.withColumn("context", F.xxhash64("line", "entities"))
 
 
@@ -124,9 +140,12 @@ def _terms(line: Column) -> Column:
 def disclosures(docs: DataFrame, found: DataFrame, scratch: C.Scratch, support: int = SUPPORT, disclosing: float = DISCLOSING) -> DataFrame:
     """`context, terms`: for each context the terms that give one of its entities away, with how much."""
     every_context = _near(found).dropDuplicates(["context"])
-    contexts = every_context.select("context", "line_key", "line", F.explode("entities").alias("entity")).dropDuplicates(["entity", "line_key"])
+    # a line may hold many entities: its text joins those that count, it isn't copied for each
+    line_of = every_context.select("line_key", "line").dropDuplicates(["line_key"])
+    each = every_context.select("context", "line_key", F.explode("entities").alias("entity"))
+    contexts = each.select("entity", "line_key").distinct()
     common = contexts.groupBy("entity").agg(F.count("*").alias("n_c")).where(F.col("n_c") >= support)
-    terms = contexts.join(common.select("entity"), "entity").select("entity", F.explode(_terms(F.col("line"))).alias("term"))
+    terms = contexts.join(common.select("entity"), "entity").join(line_of, "line_key").select("entity", F.explode(_terms(F.col("line"))).alias("term"))
     joint = scratch.table(terms.groupBy("entity", "term").agg(F.count("*").alias("n_ct")).where(F.col("n_ct") >= support), "joint")
     # the empty term stands for the line itself, so that one pass counts lines and terms
     wanted = joint.select("term").union(docs.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
@@ -139,7 +158,7 @@ def disclosures(docs: DataFrame, found: DataFrame, scratch: C.Scratch, support:
     degree = F.when(ic > 0, pmi / ic).otherwise(0.0)
     told = joint.join(common, "entity").join(often, "term").withColumn("degree", degree).where(F.col("degree") >= disclosing)
     told = scratch.table(told.select("entity", "term", "degree"), "degrees")
-    here = every_context.select("context", "line", F.explode("entities").alias("entity")).join(told.select("entity").distinct(), "entity", "left_semi")
+    here = each.join(told.select("entity").distinct(), "entity", "left_semi").join(line_of, "line_key")
     here = here.select("context", "entity", F.explode(_terms(F.col("line"))).alias("term")).join(told, ["entity", "term"])
     by_context = here.groupBy("context", "term").agg(F.max("degree").alias("degree"))
     return by_context.groupBy("context").agg(F.map_from_entries(F.collect_list(F.struct("term", "degree"))).alias("terms"))

@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing names, for each operator."""
 
+import hashlib
 import re
 import zlib
 
@@ -286,6 +287,14 @@ def test_terms_of_copied_lines_and_rare_entities(spark):
     assert all(by[i].startswith("term:0:7") for i in range(2005)) and "term:12:20" in by[2005] and by[2005].endswith("term:46:54")
 
 
+@pytest.mark.parametrize("between", ["\n", " "])
+def test_many_addresses_in_one_text(spark, between):
+    text = between.join(f"to user{i}@host.example" for i in range(6000))
+    (got,) = disclosure.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    want = [f"email:{m.start()}:{m.end()}" for m in re.finditer(r"[a-z0-9]+@host\.example", text)]
+    assert got.n_email == len(want) == 6000 and got.spans.startswith(",".join(want[:50])) and got.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+
+
 def test_identical_lines_and_loose_templates(spark):
     # a line of 60 words in two documents, one of 25 words in three and in four, one of 3 words in 12, and clean short
     # lines of 4 words that share the first three, in 12 of 2,000 documents
