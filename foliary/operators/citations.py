@@ -77,16 +77,27 @@ def whole_citations(claims: DataFrame, lines: DataFrame, pages: DataFrame) -> Da
 FIELD_REPLY = "values array<struct<fieldKey: string, value: string, pageIndex: int, `from`: int, `to`: int>>"
 
 
+def judged_field_replies(replies: DataFrame) -> DataFrame:
+    """V4: field replies with `parsed`, and the `reason` for which a reply is refused as a whole."""
+    parsed = parse_replies(replies, FIELD_REPLY)
+    below = lambda n: F.coalesce(n < 0, F.lit(False))
+    # one negative number fails the whole reply
+    bad = F.exists("parsed.values", lambda v: below(v["pageIndex"]) | below(v["from"]) | below(v["to"]))
+    reason = F.coalesce("error", F.when(F.col("parsed.values").isNull(), "no-values").when(bad, "negative-number"))
+    return parsed.withColumn("reason", reason)
+
+
+def refused_field_replies(replies: DataFrame) -> DataFrame:
+    """V4: the replies that give no claims, each with its reason and as it came."""
+    return judged_field_replies(replies).where("reason is not null").drop("parsed", "error")
+
+
 def field_claims(replies: DataFrame, keys: DataFrame) -> DataFrame:
     """V4: wanted, non-blank values of field replies with their claims, in reply order.
 
     ``replies``: run_id, pool_id, reply.  ``keys``: run_id, field_key.
     """
-    parsed = parse_replies(replies, FIELD_REPLY).where("error is null")
-    below = lambda n: F.coalesce(n < 0, F.lit(False))
-    # one negative number fails the whole reply
-    bad = F.exists("parsed.values", lambda v: below(v["pageIndex"]) | below(v["from"]) | below(v["to"]))
-    parsed = parsed.where(~bad)
+    parsed = judged_field_replies(replies).where("reason is null")
     v = parsed.select("run_id", "pool_id", F.posexplode("parsed.values").alias("seq", "v"))
     rows = v.select(
         "run_id",

@@ -16,15 +16,29 @@ MAX_TITLE_LINES = 4
 DOC = ["run_id", "source_id"]
 
 
+def reply_faults(entries: DataFrame, most: int = MAX_SECTIONS) -> DataFrame:
+    """V8: run_id, source_id, fault of the replies that fail as a whole: one bad title or number, or too many sections."""
+    size = F.coalesce(F.length("title"), F.lit(0))
+    numbers = [F.coalesce(F.col(c), F.lit(-1)) < 0 for c in ("from_page", "to_page", "title_from", "title_to")]
+    g = entries.groupBy(*DOC).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.bool_or((size < 1) | (size > MAX_TITLE)).alias("_title"),
+        F.bool_or(numbers[0] | numbers[1] | numbers[2] | numbers[3]).alias("_number"),
+    )
+    fault = F.when(F.col("_title"), "title-length").when(F.col("_number"), "not-a-number").when(F.col("_n") > most, "too-many-sections")
+    return g.select(*DOC, fault.alias("fault")).where("fault is not null")
+
+
 def judge_sections(entries: DataFrame, pages: DataFrame, lines: DataFrame) -> DataFrame:
     """V8: every entry with the first rule it breaks.
 
     ``entries``: run_id, source_id, pos, title, from_page, to_page, title_from, title_to (pages by
-    place in the source).  Spans are exploded only once they are known to lie inside the source.
+    place in the source).  A reply with a fault is refused with all its entries.  Spans are exploded only once they are
+    known to lie inside the source.
     """
     counts = pages.groupBy(*DOC).agg(F.count(F.lit(1)).cast("int").alias("n_pages"))
-    e = entries.join(counts, DOC)
-    place = F.when(F.col("from_page") > F.col("to_page"), "span-reversed").when(
+    e = entries.join(counts, DOC).join(reply_faults(entries), DOC, "left")
+    place = F.when(F.col("fault").isNotNull(), F.concat(F.lit("reply-refused-"), "fault")).when(F.col("from_page") > F.col("to_page"), "span-reversed").when(
         F.col("to_page") >= F.col("n_pages"), "past-last-page"
     )
     e = e.withColumn("_place", place)

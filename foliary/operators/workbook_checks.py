@@ -9,7 +9,7 @@ from foliary.core import first_by, is_blank, key_bucket, number_rows, strip_spac
 from foliary.functions.cells import is_cell_ref, parse_ref
 from foliary.functions.differ import fold_key, fold_label
 from foliary.operators.citations import whole_citations
-from foliary.sources.replies import reply_entries
+from foliary.sources.replies import parse_replies, reply_entries
 
 # Reply limits, how far a value cell may lie past the sheet, verdicts.
 MAX_LABEL = 200
@@ -24,6 +24,29 @@ SHEET = ["book_id", "sheet"]
 FIELD = ["run_id", "field_id"]
 
 
+def _bits(size):
+    """Bits of the smallest power of two that is no less than a size."""
+    return F.length(F.bin(F.greatest(size - 1, F.lit(0)).cast("long")))
+
+
+def covered_cells(cells: DataFrame, merges: DataFrame) -> DataFrame:
+    """The cells (book_id, sheet, row, col, ...) inside a merge, other than its first cell, once for each such merge.
+
+    A merge is filed under the tiles of a grid about as coarse as itself, four at most, and a cell asks the grids that its
+    sheet's merges use: some three hundred shapes at most.  Merges of a sheet don't overlap, so a tile holds a few.
+    """
+    shape = [_bits(F.col("r2") - F.col("r1") + 1).alias("_kr"), _bits(F.col("c2") - F.col("c1") + 1).alias("_kc")]
+    m = merges.select(*SHEET, "r1", "c1", "r2", "c2", *shape)
+    tile = lambda c, k: F.call_function("shiftright", F.col(c).cast("long"), F.col(k))
+    filed = m.select("*", F.explode(F.sequence(tile("r1", "_kr"), tile("r2", "_kr"))).alias("_tr"))
+    filed = filed.select("*", F.explode(F.sequence(tile("c1", "_kc"), tile("c2", "_kc"))).alias("_tc"))
+    shapes = m.groupBy(*SHEET).agg(F.collect_set(F.struct("_kr", "_kc")).alias("_shapes"))
+    asked = cells.join(shapes, SHEET).select(*cells.columns, F.explode("_shapes").alias("_s")).select(*cells.columns, "_s.*")
+    asked = asked.withColumns({"_tr": tile("row", "_kr"), "_tc": tile("col", "_kc")})
+    met = asked.join(filed, [*SHEET, "_kr", "_kc", "_tr", "_tc"])
+    return met.where("row between r1 and r2 and col between c1 and c2 and not (row = r1 and col = c1)").select(*cells.columns)
+
+
 def validate_interpretation(
     entries: DataFrame, cells: DataFrame, extents: DataFrame, merges: DataFrame
 ) -> DataFrame:
@@ -43,15 +66,8 @@ def validate_interpretation(
         .withColumn("_l", parse_ref("label_ref"))
         .withColumn("_v", parse_ref("value_ref"))
     )
-    covered = (
-        e.where("_v is not null")
-        .select(*SHEET, "pos", "_v")
-        .join(merges, SHEET)
-        .where("_v.row between r1 and r2 and _v.col between c1 and c2 and not (_v.row = r1 and _v.col = c1)")
-        .select(*SHEET, "pos")
-        .distinct()
-        .withColumn("_covered", F.lit(True))
-    )
+    cells_at = e.where("_v is not null").select(*SHEET, "pos", "_v.row", "_v.col")
+    covered = covered_cells(cells_at, merges).select(*SHEET, "pos").distinct().withColumn("_covered", F.lit(True))
     e = e.join(covered, [*SHEET, "pos"], "left")
 
     def outside(p: str, text: str):
@@ -160,6 +176,22 @@ def compare_answers(replies: DataFrame) -> DataFrame:
     return first_by(rows, FIELD, ["chunk", "pos"])
 
 
+def refused_answers(replies: DataFrame) -> DataFrame:
+    """run_id, chunk, pos, field_id, reason of everything in comparison replies that answers nothing.
+
+    A reply that cannot be read is a row without a place; an entry is one if it has no id or its id was answered before.
+    """
+    whole = parse_replies(replies, "fields array<string>")
+    reason = F.coalesce("error", F.when(F.col("parsed.fields").isNull(), "no-fields"))
+    lost = whole.select("run_id", "chunk", F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("field_id"), reason.alias("reason"))
+    e = reply_entries(replies, "fields").withColumn("field_id", F.from_json("entry", ANSWER)["id"])
+    first = e.where("field_id is not null").groupBy(*FIELD).agg(F.min(F.struct("chunk", "pos")).alias("_first"))
+    e = e.join(first, FIELD, "left")
+    again = F.struct("chunk", "pos") != F.col("_first")
+    late = e.select("run_id", "chunk", "pos", "field_id", F.when(F.col("field_id").isNull(), "no-id").when(again, "answered-before").alias("reason"))
+    return lost.unionByName(late).where("reason is not null")
+
+
 def fold_comparison(
     fields: DataFrame, answers: DataFrame, pool: DataFrame, lines: DataFrame, pages: DataFrame
 ) -> DataFrame:

@@ -120,6 +120,29 @@ add_duck(
 )
 
 
+@query(
+    "v4_refused_replies",
+    duck("""select run_id, 'KB' as pool_id, claim_id, case when claim_id % 3 <> 0 and claim_id % 41 = 1 then 'no-json-object' else 'negative-number' end as reason from clm
+       where (claim_id % 3 <> 0 and claim_id % 41 = 1) or coalesce(from_line < 0 or to_line < 0, false)""", "clm"),
+)
+def v4_refused(ev: Evidence) -> DataFrame:
+    return cit.refused_field_replies(field_replies(ev)).select("run_id", "pool_id", "claim_id", "reason")
+
+
+@query(
+    "v4_reply_balance",
+    duck(
+        """select run_id, count(*) as replies, count_if(not ((claim_id % 3 <> 0 and claim_id % 41 = 1) or coalesce(from_line < 0 or to_line < 0, false))) as good,
+                  count_if((claim_id % 3 <> 0 and claim_id % 41 = 1) or coalesce(from_line < 0 or to_line < 0, false)) as refused from clm group by run_id""",
+        "clm",
+    ),
+)
+def v4_balance(ev: Evidence) -> DataFrame:
+    judged_ = cit.judged_field_replies(field_replies(ev))
+    good = F.col("reason").isNull()
+    return judged_.groupBy("run_id").agg(F.count(F.lit(1)).alias("replies"), F.count_if(good).alias("good"), F.count_if(~good).alias("refused"))
+
+
 @query("v4_extract_fields", duck("select * exclude (claim_id) from v4t", "v4t"))
 def v4(ev: Evidence) -> DataFrame:
     return cit.field_claims(field_replies(ev), wanted_keys(ev))
@@ -418,7 +441,8 @@ def section_entries(ev: Evidence) -> DataFrame:
     opening = ev.lines.where("i = 0").select(*PAGE, "text")
     g = g.join(opening, PAGE)
     m = (F.col("pos") * 7 + F.col("k")) % 9
-    title = F.when(m == 5, "A heading nobody printed").otherwise(F.lower(F.trim(F.substring("text", 1, 30))))
+    endless = (F.col("pos") % 10 == 9) & (m == 8)
+    title = F.when(m == 5, "A heading nobody printed").when(endless, F.repeat(F.lit("x"), 81)).otherwise(F.lower(F.trim(F.substring("text", 1, 30))))
     return g.select(
         "run_id",
         "source_id",
@@ -435,7 +459,7 @@ add_duck("dln", "select * from lns", ["lns"])
 add_duck(
     "ent",
     """
-    select run_id, source_id, k as pos, case when m = 5 then 'A heading nobody printed' else lower(trim(substr(text,1,30))) end as title, (case when m = 0 then b + 1 else a end)::int as from_page,
+    select run_id, source_id, k as pos, case when m = 5 then 'A heading nobody printed' when pos % 10 = 9 and m = 8 then repeat('x', 81) else lower(trim(substr(text,1,30))) end as title, (case when m = 0 then b + 1 else a end)::int as from_page,
            (case when m = 1 then b + 1000 when m = 6 then b + 1 else b end)::int as to_page, (case when m = 2 then 1 when m = 4 then 500 else 0 end)::int as title_from,
            (case when m = 3 then 6 when m = 4 then 500 when m = 7 then 1 else 0 end)::int as title_to
     from (select g.*, l.text, (pos*7 + k) % 9 as m from (select run_id, source_id, pos, (page_in_doc // ceil(page_count/10)::int)::int as k, min(page_in_doc) as a, max(page_in_doc) as b,
@@ -446,10 +470,12 @@ add_duck(
 add_duck(
     "jdg",
     f"""
-    select e.*, p.page_index, case when from_page > to_page then 'span-reversed' when to_page >= n then 'past-last-page' when bare = from_page then 'first-page-has-no-lines'
+    select e.*, p.page_index, case when fault is not null then 'reply-refused-' || fault when from_page > to_page then 'span-reversed' when to_page >= n then 'past-last-page' when bare = from_page then 'first-page-has-no-lines'
              when bare is not null then 'page-in-span-has-no-lines' when title_from > title_to then 'title-lines-reversed' when title_to - title_from + 1 > 4 then 'title-lines-too-wide'
              when coalesce(tc,0) <> title_to - title_from + 1 then 'title-line-missing' when not contains({q_fold('tt')}, {q_fold('title')}) then 'title-not-in-lines' end as reason
     from ent e join (select run_id, source_id, count(*) as n from pgs group by all) using (run_id, source_id)
+    left join (select run_id, source_id, case when bool_or(length(title) not between 1 and 80) then 'title-length' when count(*) > 20 then 'too-many-sections' end as fault from ent group by all) rf
+         on rf.run_id = e.run_id and rf.source_id = e.source_id
     left join pgs p on p.run_id = e.run_id and p.source_id = e.source_id and p.page_in_doc = e.from_page
     left join (select e2.run_id, e2.source_id, e2.pos, min(p2.page_in_doc) as bare from ent e2 join pgs p2 on p2.run_id = e2.run_id and p2.source_id = e2.source_id and p2.page_in_doc between e2.from_page and e2.to_page
                where not exists (select 1 from dln d where d.run_id = p2.run_id and d.page_index = p2.page_index) group by all) b on b.run_id = e.run_id and b.source_id = e.source_id and b.pos = e.pos

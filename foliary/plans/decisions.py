@@ -12,6 +12,8 @@ from foliary.operators import workbook_checks as wc
 from foliary.plans.evidence import Evidence, add_duck, duck
 from foliary.plans.registry import query
 from foliary.plans.text import value_pairs
+from foliary.session import work_folder
+from foliary.sources import sinks
 
 
 def _num():
@@ -178,6 +180,23 @@ add_duck(
 )
 
 
+@query(
+    "v11_refused_answers",
+    duck(
+        """select 'run-' || (id % 4) as run_id, 'f' || id as field_id, 'answered-before' as reason from vals where id % 11 <> 0 and id % 10 <> 3
+           union all select 'run-' || (id % 4), null, 'no-id' from vals where id % 11 <> 0 and id % 10 = 3
+           union all select run_id, null, 'no-json-object' from (select distinct run_id from (select 'run-' || (id % 4) as run_id from vals where id % 11 <> 0))""",
+        "vals",
+    ),
+)
+def v11_refused(ev: Evidence) -> DataFrame:
+    """Every field's second entry is refused, as its id is taken or cut off; one reply a run is no reply."""
+    replies = comparison_replies(ev)
+    again = F.regexp_replace("reply", r'"id":"f([0-9]*3)","verdict":"cocok",("documentValue":"[^"]*",)?"page":0,"from":0,"to":0', '"page":0')
+    lost = replies.select("run_id").distinct().select("run_id", F.lit(-1).alias("chunk"), F.lit("I cannot").alias("reply"))
+    return wc.refused_answers(replies.select("run_id", "chunk", again.alias("reply")).unionByName(lost)).select("run_id", "field_id", "reason")
+
+
 @query("v11_fold_comparison", duck("select * from cmp", "cmp"))
 def v11(ev: Evidence) -> DataFrame:
     answers = wc.compare_answers(comparison_replies(ev))
@@ -448,6 +467,20 @@ def a17(ev: Evidence) -> DataFrame:
     return dec.download_blocked(r, entries(ev).where("run_id <> 'run-3'"))
 
 
+EDITS_SQL = f"""select run_id, sheet, ref, value from (select *, count(*) over (partition by run_id, sheet, ref) as n from
+    (select run_id, sheet, id, case when id % 11 = 0 then 'c' || id when id % 13 = 0 then 'XFE' || id when id % 19 = 0 then 'A1' else ref end as ref,
+            case when id % 17 = 0 then 'x' || chr(7) else {EFF} end as value from ets where {EFF} <> excel_value))
+  where regexp_full_match(ref, '[A-Z]+[0-9]+') and not ref like 'XFE%' and not contains(value, chr(7)) and n = 1"""
+
+
+@query("w3_written_edits", duck(EDITS_SQL, "ets"))
+def w3_written(ev: Evidence) -> DataFrame:
+    """The sound edits, written by run and read again."""
+    folder, edits = work_folder(ev.spark), pending_edits(ev)
+    sinks.write_edits(edits, dec.edit_violations(edits), folder)
+    return ev.spark.read.schema(edits.schema).parquet(folder).select("run_id", "sheet", "ref", "value")
+
+
 @query(
     "w3_edit_violations",
     duck(
@@ -459,7 +492,11 @@ def a17(ev: Evidence) -> DataFrame:
     ),
 )
 def w3(ev: Evidence) -> DataFrame:
+    return dec.edit_violations(pending_edits(ev))
+
+
+def pending_edits(ev: Evidence) -> DataFrame:
     e = entries(ev).select("run_id", "sheet", "ref", "id", "excel_value", dec.effective_value().alias("value")).where("value <> excel_value")
     ref = F.when(_num() % 11 == 0, F.concat(F.lit("c"), _s(_num()))).when(_num() % 13 == 0, F.concat(F.lit("XFE"), _s(_num()))).when(_num() % 19 == 0, "A1").otherwise(F.col("ref"))
     value = F.when(_num() % 17 == 0, F.concat(F.lit("x"), F.chr(F.lit(7)))).otherwise(F.col("value"))
-    return dec.edit_violations(e.select("run_id", "sheet", ref.alias("ref"), value.alias("value")))
+    return e.select("run_id", "sheet", ref.alias("ref"), value.alias("value"))

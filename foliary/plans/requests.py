@@ -22,6 +22,7 @@ from foliary.plans.pools import open_pool, p4
 from foliary.plans.reconcile import few_captures, reconciled, run_keys
 from foliary.plans.registry import query
 from foliary.plans.sources import CELLS_SQL, s10
+from foliary.session import work_folder
 from foliary.sources import sinks
 from foliary.sources.transcripts import digests
 from foliary.sources.workbook import sheet_extents
@@ -271,11 +272,19 @@ def w1(ev: Evidence) -> DataFrame:
 
 @query(
     "w2_proposals_file",
-    duck("select run_id, source_id, title, from_page, to_page, page_index as cite_page from fin where reason is null", "fin"),
+    duck(
+        """select run_id, source_id, 'u:' || sha256(run_id || '|' || source_id || '|' || pos) as id, title, from_page, to_page, page_index as cite_page, title_from as cite_from, title_to as cite_to
+           from fin where reason is null""",
+        "fin",
+    ),
 )
 def w2(ev: Evidence) -> DataFrame:
-    f = sinks.proposals_file(sec.refuse_overlaps(judged(ev)))
-    return f.select("run_id", "source_id", "title", "from_page", "to_page", F.col("cite.page_index").alias("cite_page"))
+    """Written as review files and read again."""
+    folder = work_folder(ev.spark)
+    sinks.write_json(sinks.proposals_file(sec.refuse_overlaps(judged(ev))), folder)
+    f = sinks.read_json(ev.spark, folder, sinks.PROPOSALS)
+    cite = [F.col(f"cite.{c}").alias(f"cite_{a}") for c, a in (("page_index", "page"), ("from", "from"), ("to", "to"))]
+    return f.select("run_id", "source_id", "id", "title", "from_page", "to_page", *cite)
 
 
 # ------------------------------------------------------------------ X1 - X3

@@ -10,6 +10,7 @@ from foliary.functions.cells import format_ref
 from foliary.plans.evidence import Evidence, add_duck, duck
 from foliary.plans.registry import query
 from foliary.plans.text import q_plain, q_serial
+from foliary.session import work_folder
 from foliary.sources import annotations as ann
 from foliary.sources import blocks as blk
 from foliary.sources import replies as rep
@@ -423,6 +424,7 @@ def transcript_lines(ev: Evidence) -> DataFrame:
     d = F.col("doc_id")
     body = ev.documents.select(
         F.col("source_id").alias("run"),
+        d.alias("k"),
         F.format_string(
             "  doc p%d   %d  %d   0.%03d   0.%03d   %d.%d%%   %d   %d   1.%02d   %d",
             d, d % 60, d * 7 % 3000, d % 1000, d * 3 % 1000, d % 9, d % 10, d % 90, d % 4, d % 100, d % 13,
@@ -430,7 +432,7 @@ def transcript_lines(ev: Evidence) -> DataFrame:
     )
     head = ev.sources.select(
         F.col("source_id").alias("run"),
-        F.explode(
+        F.posexplode(
             F.array(
                 F.lit("noise p1 2 3"),
                 F.concat(F.lit("Model: reader-"), F.col("pos").cast("string")),
@@ -439,24 +441,68 @@ def transcript_lines(ev: Evidence) -> DataFrame:
                 F.concat(F.lit("TOTAL: "), F.col("pos").cast("string"), F.lit(" / 12")),
                 F.lit("Completeness assertion: 3 short read(s)"),
             )
-        ).alias("value"),
+        ).alias("k", "value"),
     )
-    return body.unionByName(head)
+    return body.unionByName(head.withColumn("k", F.col("k").cast("bigint") - 10))
 
 
-@query(
-    "s13_transcript_page_rows",
-    duck(
+def written_transcripts(ev: Evidence) -> str:
+    """The logs as text files, one a source, and one without any page row."""
+    folder = work_folder(ev.spark)
+    broken = ev.sources.select("source_id").where("source_id like '%3'").select(
+        F.concat(F.lit("broken-"), "source_id").alias("run"), F.lit(0).cast("bigint").alias("k"), F.lit("Model: lost").alias("value")
+    )
+    tra.write_transcripts(transcript_lines(ev).unionByName(broken), folder, "k")
+    return folder
+
+
+def _run(c: str):
+    return F.regexp_extract(c, "run=([^/]+)/", 1)
+
+
+S13_SQL = duck(
         """select source_id as run, 'doc p' || doc_id as page, (doc_id % 60)::int as lines, (doc_id*7 % 3000)::int as chars, (doc_id % 1000)/1000.0::double as cover,
                   (doc_id*3 % 1000)/1000.0::double as ink, ((doc_id % 9) || '.' || (doc_id % 10))::double as uncovered, (doc_id % 90)::int as med_h, (doc_id % 4)::int as collapsed,
                   ('1.' || lpad((doc_id % 100)::varchar,2,'0'))::double as density, (doc_id % 13)::int as interpolated from docs""",
         "docs",
-    ),
 )
+
+
+@query("s13_transcript_page_rows", S13_SQL)
 def s13(ev: Evidence) -> DataFrame:
     return tra.parse_page_rows(transcript_lines(ev))
 
 
+@query("s13_read_transcripts", S13_SQL)
+def s13_files(ev: Evidence) -> DataFrame:
+    log = tra.read_transcripts(ev.spark, written_transcripts(ev))
+    return tra.parse_page_rows(log).withColumn("run", _run("run"))
+
+
+@query("s13_refused_transcripts", duck("select 'broken-' || source_id as run, 1 as lines, 'no-page-rows' as reason from srcs where source_id like '%3'", "srcs"))
+def s13_refused(ev: Evidence) -> DataFrame:
+    log = tra.read_transcripts(ev.spark, written_transcripts(ev))
+    return tra.transcript_refusals(log).withColumn("run", _run("run"))
+
+
+@query(
+    "s15_file_digests",
+    duck(
+        """select run, sum(length(value) + 1)::bigint as length, sha256(string_agg(value || chr(10), '' order by k)) as digest from (
+             select source_id as run, doc_id as k, printf('  doc p%d   %d  %d   0.%03d   0.%03d   %d.%d%%   %d   %d   1.%02d   %d', doc_id, doc_id % 60, doc_id * 7 % 3000, doc_id % 1000, doc_id * 3 % 1000,
+                    doc_id % 9, doc_id % 10, doc_id % 90, doc_id % 4, doc_id % 100, doc_id % 13) as value from docs
+             union all select 'broken-' || source_id, 0, 'Model: lost' from srcs where source_id like '%3'
+             union all select source_id, k - 10, ['noise p1 2 3', 'Model: reader-' || pos, case when pos % 2 = 0 then 'OCR model: eye-' || pos else 'x' end, '  (OCR engine: plain )',
+                    'TOTAL: ' || pos || ' / 12', 'Completeness assertion: 3 short read(s)'][k + 1] from srcs, unnest(range(6)) t(k)) group by run""",
+        "docs",
+        "srcs",
+    ),
+)
+def s15_files(ev: Evidence) -> DataFrame:
+    files = tra.read_documents(ev.spark, written_transcripts(ev))
+    return files.select(_run("path").alias("run"), "length", "digest")
+
+
 @query(
     "s13_transcript_identity",
     duck(

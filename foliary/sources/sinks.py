@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -41,6 +41,14 @@ def proposals_file(sections: DataFrame) -> DataFrame:
     )
 
 
+PROPOSALS = "run_id string, source_id string, id string, title string, from_page int, to_page int, cite struct<page_index: int, `from`: int, `to`: int>"
+
+
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What ``write_json`` wrote."""
+    return spark.read.schema(schema).json(path)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """Partitioned by run, so that one run's report is one folder."""
     df.write.mode("overwrite").partitionBy("run_id").json(path)

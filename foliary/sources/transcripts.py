@@ -30,6 +30,34 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.input_file_name().alias("run"), "value")
 
 
+def transcript_refusals(log: DataFrame) -> DataFrame:
+    """Run, lines, reason of the files without any page row."""
+    rows = F.count_if(F.regexp_like("value", F.lit(ROW)))
+    return log.groupBy("run").agg(F.count(F.lit(1)).alias("lines"), rows.alias("_rows")).where("_rows = 0").select("run", "lines", F.lit("no-page-rows").alias("reason"))
+
+
+def write_transcripts(log: DataFrame, path: str, order: str) -> None:
+    """Log lines (run, value) as a text file for each run, in the order of a column."""
+    rows = log.repartition("run").sortWithinPartitions("run", order)
+    rows.select("run", "value").write.mode("overwrite").partitionBy("run").text(path)
+
+
+def read_documents(spark: SparkSession, path: str, most_bytes: int | None = None) -> DataFrame:
+    """Path, length, digest of every file below a folder; a refused file has a reason and no digest.
+
+    The content is hashed where it is read; files over ``most_bytes`` aren't read.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    too_large = F.lit(False) if most_bytes is None else F.col("length") > most_bytes
+    reason = F.when(F.col("length") == 0, "empty-file").when(too_large, "too-large")
+    if most_bytes is None:
+        return files.select("path", "length", reason.alias("reason"), F.when(reason.isNull(), F.sha2("content", 256)).alias("digest"))
+    # the source skips the content of files that this filter leaves out
+    small = files.where(F.col("length") <= most_bytes).select("path", "length", reason.alias("reason"), F.when(reason.isNull(), F.sha2("content", 256)).alias("digest"))
+    large = files.where(F.col("length") > most_bytes).select("path", "length", reason.alias("reason"), F.lit(None).cast("string").alias("digest"))
+    return small.unionByName(large)
+
+
 def parse_page_rows(log: DataFrame) -> DataFrame:
     """Metric rows of (run, value) log lines."""
     got = [F.regexp_extract("value", ROW, k + 2).try_cast(t).alias(n) for k, (n, t) in enumerate(COLUMNS)]
