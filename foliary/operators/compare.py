@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliary.core import PAGE, first_by, js_round, pack_lines
@@ -51,6 +52,31 @@ def find_in_other_runs(candidates: DataFrame, held: DataFrame, runs: DataFrame)
     return candidates.join(other, "digest").where("other_run <> run_id")
 
 
+def linked_holders(held: DataFrame, runs: DataFrame) -> DataFrame:
+    """Each run that holds a digest, once, with the next older run that does: a row for each holder.
+
+    Whoever holds a digest is found from its newest holder on along the links, newest first, so a digest that every run
+    holds costs as many rows as runs, not their square.  run_id, digest, held_as, created_at, older_run, is_newest.
+    """
+    once = first_by(
+        held.where("digest is not null").select("run_id", "digest", "name", "pos"), ["run_id", "digest"], ["pos"]
+    )
+    h = once.join(runs, "run_id").select("run_id", "digest", F.col("name").alias("held_as"), "created_at")
+    # a digest is held once a run, so a window holds no more rows than there are runs
+    newest = W.partitionBy("digest").orderBy(F.desc("created_at"), "run_id")
+    return h.withColumn("older_run", F.lead("run_id").over(newest)).withColumn("is_newest", F.row_number().over(newest) == 1)
+
+
+def newest_other_holder(candidates: DataFrame, links: DataFrame) -> DataFrame:
+    """For each candidate the newest other run with its digest, where its list begins; null when there is none.
+
+    ``links`` from ``linked_holders``: the newest holder, or the one after it if that is the candidate's own run.
+    """
+    top = links.where("is_newest").select("digest", F.col("run_id").alias("_top"), F.col("older_run").alias("_next"))
+    other = F.when(F.col("_top") != F.col("run_id"), F.col("_top")).otherwise(F.col("_next"))
+    return candidates.join(top, "digest", "left").withColumn("other_run", other).drop("_top", "_next")
+
+
 # ------------------------------------------------------------------ U5
 
 # What counts as moved and as a concern.

@@ -68,6 +68,38 @@ def u2(ev: Evidence) -> DataFrame:
     return cmp.find_in_other_runs(candidates, held, runs)
 
 
+add_duck(
+    "lnk",
+    """select run_id, digest, name as held_as, created_at, lead(run_id) over w as older_run, row_number() over w = 1 as is_newest
+       from (select run_id, digest, arg_min(name, pos) as name, cast(regexp_extract(run_id,'([0-9]+)$',1) as int) * 1000 as created_at from hld group by run_id, digest)
+       window w as (partition by digest order by created_at desc, run_id)""",
+    ["hld"],
+)
+
+
+def holder_links(ev: Evidence) -> DataFrame:
+    runs = ev.runs.select("run_id", (F.regexp_extract("run_id", "([0-9]+)$", 1).cast("int") * 1000).alias("created_at"))
+    return cmp.linked_holders(drops(ev)[1], runs)
+
+
+@query("u2_linked_holders", duck("select * from lnk", "lnk"))
+def u2_links(ev: Evidence) -> DataFrame:
+    return holder_links(ev)
+
+
+@query(
+    "u2_newest_other_holder",
+    duck(
+        """select c.run_id, c.name, c.digest, c.pos, arg_max(l.run_id, created_at) as other_run from dig c left join lnk l on l.digest = c.digest and l.run_id <> c.run_id
+           where c.pos % 2 = 1 group by c.run_id, c.name, c.digest, c.pos""",
+        "dig",
+        "lnk",
+    ),
+)
+def u2_newest(ev: Evidence) -> DataFrame:
+    return cmp.newest_other_holder(drops(ev)[0], holder_links(ev)).select("run_id", "name", "digest", "pos", "other_run")
+
+
 # ------------------------------------------------------------------ U5
 
 
