@@ -19,16 +19,19 @@ def extract_json(reply: ColumnLike) -> Column:
 
 
 def parse_replies(replies: DataFrame, schema: str, reply: str = "reply") -> DataFrame:
-    """Whole-reply strict parsing: ``parsed`` or an ``error`` naming what failed."""
+    """Whole-reply strict parsing: ``parsed`` or an ``error`` naming what failed.
+
+    A reply that is no JSON, or has a value of another type than asked for, is kept as a corrupt record by the parser.
+    """
     body = extract_json(reply)
-    parsed = F.from_json(body, schema)
+    parsed = F.from_json(body, f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
     return (
         replies.withColumn("_body", body)
         .withColumn("parsed", parsed)
         .withColumn(
             "error",
             F.when(F.col("_body").isNull(), "no-json-object").when(
-                F.col("parsed").isNull(), "unreadable-json"
+                F.col("parsed").isNull() | F.col("parsed._corrupt").isNotNull(), "unreadable-json"
             ),
         )
         .drop("_body")

@@ -45,16 +45,15 @@ def write_transcripts(log: DataFrame, path: str, order: str) -> None:
 def read_documents(spark: SparkSession, path: str, most_bytes: int | None = None) -> DataFrame:
     """Path, length, digest of every file below a folder; a refused file has a reason and no digest.
 
-    The content is hashed where it is read; files over ``most_bytes`` aren't read.
+    The content is hashed where it is read; files over ``most_bytes`` aren't read. Spark's source passes over empty files.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    too_large = F.lit(False) if most_bytes is None else F.col("length") > most_bytes
-    reason = F.when(F.col("length") == 0, "empty-file").when(too_large, "too-large")
+    none, digest = F.lit(None).cast("string"), F.sha2("content", 256)
     if most_bytes is None:
-        return files.select("path", "length", reason.alias("reason"), F.when(reason.isNull(), F.sha2("content", 256)).alias("digest"))
-    # the source skips the content of files that this filter leaves out
-    small = files.where(F.col("length") <= most_bytes).select("path", "length", reason.alias("reason"), F.when(reason.isNull(), F.sha2("content", 256)).alias("digest"))
-    large = files.where(F.col("length") > most_bytes).select("path", "length", reason.alias("reason"), F.lit(None).cast("string").alias("digest"))
+        return files.select("path", "length", none.alias("reason"), digest.alias("digest"))
+    # the source skips the content of files that a filter on length leaves out, and where content isn't asked for
+    small = files.where(F.col("length") <= most_bytes).select("path", "length", none.alias("reason"), digest.alias("digest"))
+    large = files.where(F.col("length") > most_bytes).select("path", "length", F.lit("too-large").alias("reason"), none.alias("digest"))
     return small.unionByName(large)
 
 

@@ -142,7 +142,7 @@ def test_spans_and_pool(spark):
     assert pools.span_issues(spans, pages).count() == 0
     typed = pools.pages_by_type(spans, pages)
     wanted = spark.createDataFrame([("r", "q", "SP")], "run_id string, pool_id string, doc_type string")
-    got = {r["page_index"]: r["position"] for r in pools.ranked_pool(pages, typed, wanted).collect()}
+    got = {r["page_index"]: r["position"] for r in pools.RankedPools(pages, typed, wanted).rows().collect()}
     assert got == {2: 0, 3: 1, 0: 2, 1: 3}
     bad = spark.createDataFrame([("r", "s", "KB", 0, 10**9), ("r", "s", "SP", 3, 2)], spans.schema)
     assert {r["issue"] for r in pools.span_issues(bad, pages).collect()} == {"past-last-page", "reversed"}
