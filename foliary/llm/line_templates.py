@@ -15,6 +15,8 @@ two, whatever D is.
 Leaves are never gathered: supports are counts by (leaf, position, word), templates order-free hashes of their
 constants, both summed before they are shuffled. Only hashes travel; lines of leaves that too few documents share, which
 are nearly all, are left out before their words are looked at. Identical lines are counted by one hash of all words.
+Keys that can recur are found first, by sums a task makes of its own rows, and go into a bitmap of fixed size; only rows
+that it lets through are shuffled and counted exactly.
 
 Defined cases: null and empty texts have no lines and stay as they are; lines of fewer than three words are never
 dropped; a document whose id is null is never the first unless all are; rows with the same id and text are one document
@@ -118,6 +120,36 @@ def _recurring(lines: DataFrame, key: list[str], needed: Column) -> DataFrame:
     return lines.join(found, key).where(F.col("row") != F.col("keeper")).select("row", "line")
 
 
+def _let_through(lines: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """The lines whose `column` may be in the one long column set of `keys`."""
+    table = C.membership(keys)
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(C.possible(table, b.column(column).to_numpy(zero_copy_only=False).view(np.uint64))))
+
+    return lines.mapInArrow(run, lines.schema)
+
+
+def _some(lines: DataFrame, often: DataFrame) -> DataFrame:
+    """`row, leaf, line, pos, word` of the words of lines that may be in `often` (leaf, pos, word)."""
+    table = C.membership(often.select(F.xxhash64("leaf", "pos", "word")))
+    keys = F.transform("words", lambda w, i: F.xxhash64("leaf", i, w))
+    kept = lines.select("row", "leaf", "line", "words", keys.alias("keys"))
+
+    def run(batches):
+        for b in batches:
+            words, sizes = b.column("words"), np.diff(b.column("words").offsets.to_numpy())
+            flat = words.flatten().to_numpy(zero_copy_only=False)
+            may = np.flatnonzero(C.possible(table, b.column("keys").flatten().to_numpy(zero_copy_only=False).view(np.uint64)))
+            at = np.repeat(np.arange(len(sizes)), sizes)[may]
+            pos = (np.arange(len(flat)) - np.repeat(np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes))[may] if len(sizes) else may
+            cols = [b.column(c).take(pa.array(at)) for c in ("row", "leaf", "line")]
+            yield pa.record_batch([*cols, pa.array(pos.astype(np.int32)), pa.array(flat[may])], ["row", "leaf", "line", "pos", "word"])
+
+    return kept.mapInArrow(run, "row long, leaf long, line long, pos int, word long")
+
+
 def boilerplate(docs: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
     """`row, lines`: for each document that has some, the numbers of its lines to drop."""
     scratch = C.Scratch(docs.sparkSession)
@@ -125,20 +157,21 @@ def boilerplate(docs: DataFrame, min_docs: int = MIN_DOCS, constant: float = CON
     every = scratch.table(_lines(rows), "every-line")
     total = rows.select("row").distinct().count()
     least = max(min_docs, math.ceil(total**0.25))
-    same = scratch.table(_recurring(every, ["whole", "n"], exact_support(F.col("n"), total, min_docs)), "identical")
-    shared = every.select("leaf", "row").distinct().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    twice = every.groupBy("whole").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low < high").select("whole")
+    same = _let_through(every.select("row", "doc_id", "line", "whole", "n"), twice, "whole")
+    same = scratch.table(_recurring(same, ["whole", "n"], exact_support(F.col("n"), total, min_docs)), "identical")
+    many = every.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("leaf")
+    shared = _let_through(every.select("row", "leaf"), many, "leaf").distinct()
+    shared = shared.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     shared = scratch.table(shared.select("leaf"), "leaves")
     lines = _lines(rows, C.membership(shared)).join(shared, "leaf").dropDuplicates(["row", "line"])
     lines = scratch.table(lines.withColumn("n", F.size("words")), "lines")
     placed = lines.select("row", "doc_id", "line", "leaf", "n", F.posexplode("words").alias("pos", "word"))
     often = placed.groupBy("leaf", "pos", "word").agg(F.count("*").alias("seen"))
-    often = often.where((F.col("seen") >= least) & (F.col("word") != F.lit(int(_VARIABLE)))).drop("seen")
-    marked = placed.join(often.withColumn("fixed", F.lit(1)), ["leaf", "pos", "word"], "left")
-    ids = marked.groupBy("row", "line", "leaf", "n").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.bit_xor(F.xxhash64("pos", F.when(F.col("fixed") == 1, F.col("word")))).alias("template"),
-        F.count("fixed").alias("fixed"),
-    )
+    often = scratch.table(often.where((F.col("seen") >= least) & (F.col("word") != F.lit(int(_VARIABLE)))).drop("seen"), "often")
+    marked = _some(lines, often).join(often, ["leaf", "pos", "word"])
+    fixed = marked.groupBy("row", "line").agg(F.bit_xor(F.xxhash64("pos", "word")).alias("template"), F.count("*").alias("fixed"))
+    ids = lines.select("row", "line", "doc_id", "leaf", "n").join(fixed, ["row", "line"])
     ids = scratch.table(ids.where(F.col("fixed") >= constant * F.col("n")), "templates")
     alike = _recurring(ids, ["leaf", "template", "n", "fixed"], support(F.col("fixed"), F.col("n") - F.col("fixed"), total, min_docs))
     return scratch.table(same.union(alike).groupBy("row").agg(F.array_sort(F.collect_set("line")).alias("lines")), "drop")
