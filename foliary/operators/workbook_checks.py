@@ -256,7 +256,7 @@ def fold_screens(
     A failed citation keeps its reason and the verdict stands.  With
     ``max_extra``, the extras of a run that has more are one row of reason ``too-many-extras``; its fields stay.
     """
-    seen = captures.select("run_id").distinct().withColumn("_seen", F.lit(True))
+    seen = captures.where("page_index is not null").select("run_id").distinct().withColumn("_seen", F.lit(True))
     asked = fields.select("run_id").distinct()
     too_many = None
     if max_extra is not None:

@@ -259,19 +259,20 @@ def u8_fields(ev: Evidence) -> DataFrame:
     "u8_screen_violations",
     duck(
         """select run_id, pos, rule from (select *, case when n > 40 then 'too-many-captures' when pos > first then 'id-used-twice' when tl > 20000 then 'too-many-lines' when page_in_doc % 13 = 4 then 'lines-not-dense' end as rule from
-             (select source_id as run_id, page_in_doc as pos, page_in_doc, count(*) over (partition by source_id) as n, min(page_in_doc) over (partition by source_id, case when page_in_doc % 17 = 3 then 0 else page_in_doc end) as first, sum(n_lines) over (partition by source_id) as tl
-              from pgs where page_in_doc < 40 or source_id like '%3')) where rule is not null""",
+             (select run_id, page_in_doc as pos, page_in_doc, count(*) over (partition by run_id) as n, min(page_in_doc) over (partition by run_id, case when page_in_doc % 17 = 3 then 0 else page_in_doc end) as first, sum(n_lines) over (partition by run_id) as tl
+              from (select * replace (case when source_id like '%3' then source_id else source_id || '-' || (page_in_doc // 40) end as run_id) from pgs))) where rule is not null""",
         "pgs",
     ),
 )
 def u8_screens(ev: Evidence) -> DataFrame:
+    """Every source in sets of forty screens; some sources in one set, however long."""
     p = F.col("page_in_doc")
-    pages = ev.pages.where("page_in_doc < 40 or source_id like '%3'")
     cid = F.when(p % 17 == 3, 0).otherwise(p)
-    c = pages.select(F.col("source_id").alias("run_id"), p.alias("pos"), _s(cid).alias("id"))
-    l = ev.lines.where("page_in_doc < 40 or source_id like '%3'").where("page_in_doc % 17 <> 3 or page_in_doc = 0")
+    sets = F.when(F.col("source_id").like("%3"), F.col("source_id")).otherwise(F.concat("source_id", F.lit("-"), _s(F.floor(p / 40)))).alias("run_id")
+    c = ev.pages.select(sets, p.alias("pos"), _s(cid).alias("id"))
+    l = ev.lines.where("page_in_doc % 17 <> 3 or page_in_doc = 0")
     shift = F.when((p % 13 == 4) & (F.col("i") == 0), 7777777).otherwise(F.col("i"))
-    return cmp.screen_violations(c, l.select(F.col("source_id").alias("run_id"), _s(p).alias("id"), shift.alias("i")))
+    return cmp.screen_violations(c, l.select(sets, _s(p).alias("id"), shift.alias("i")))
 
 
 @query(

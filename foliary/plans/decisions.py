@@ -156,7 +156,9 @@ def comparison_replies(ev: Evidence) -> DataFrame:
 
 
 def open_positions(ev: Evidence) -> DataFrame:
-    open_ = pool.open_pages(ev.pages, ev.sources).where("run_id <> 'run-3'").select("run_id", "page_index")
+    """Positions of the open pages; every source of one run is fenced off."""
+    fenced = ev.sources.withColumn("ai", (F.col("run_id") != "run-3") & F.col("ai"))
+    open_ = pool.open_pages(ev.pages, fenced).select("run_id", "page_index")
     return number_rows(open_, ["run_id"], ["page_index"], key_bucket("page_index"), "position")
 
 
@@ -231,7 +233,8 @@ def screen_inputs(ev: Evidence) -> tuple[DataFrame, DataFrame, DataFrame, DataFr
         "run_id", p.alias("pos"), F.when(p % 6 == 0, F.concat(F.lit(" Label f"), _s(p % 4 + 4), F.lit(" : "))).otherwise(F.concat(F.lit("Extra "), _s(F.floor(p / 2)))).alias("label"),
         F.when(p % 5 != 0, F.concat(F.lit("v"), _s(p))).alias("value"), F.lit(0).alias("page_index"), F.lit(0).alias("from_line"), (p % 3 - 1).cast("int").alias("to_line"),
     )
-    return fields, answers, extras, ev.pages.where("run_id <> 'run-3'")
+    # the captures of one run have no page
+    return fields, answers, extras, ev.pages.withColumn("page_index", F.when(F.col("run_id") != "run-3", F.col("page_index")))
 
 
 add_duck(

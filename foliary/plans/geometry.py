@@ -215,13 +215,12 @@ PADDED = """greatest(0, b_x-12) as x, greatest(0, b_y-12) as y, greatest(0, leas
         "clm",
         "pgs",
         "lns",
-        zz="select * from clm where page_index is not null and to_line is not null",
+        zz="select * from clm",
         r=RANGE_SQL,
     ),
 )
 def g5(ev: Evidence) -> DataFrame:
-    whole = ev.claims.where("page_index is not null and to_line is not null")
-    return geo.boxes_for_ranges(whole, ev.lines, ev.pages)
+    return geo.boxes_for_ranges(ev.claims, ev.lines, ev.pages)
 
 
 # Trim and clamp of a range, as joins and windows.
