@@ -259,20 +259,20 @@ def never_extracted(ev: Evidence) -> DataFrame:
     return form_rows(ev).where("field_key = 'field-7'").select("field_key").distinct()
 
 
-@query(
-    "p4_key_groups",
-    duck(
-        """
+add_duck(
+    "p4g",
+    """
         select form_id, signature, min(pos) as pos, string_agg(field_key, ', ' order by pos, field_key) as keys
         from (select form_id, field_key, min(pos) as pos, case when field_key like 'field-%1' then 'Email' else d.def end as signature
               from frw join (select form_id, string_agg(doc_type, '|' order by pos) as def from
                     (select form_id, doc_type, min(pos) as pos from fsl where layout = 'images' and fillable and doc_type is not null group by all) group by form_id) d using (form_id)
               where field_key is not null and field_key <> '' and field_key <> 'field-7' group by form_id, field_key, d.def)
         group by form_id, signature""",
-        "frw",
-        "fsl",
-    ),
+    ["frw", "fsl"],
 )
+
+
+@query("p4_key_groups", duck("select * from p4g", "p4g"))
 def p4(ev: Evidence) -> DataFrame:
     keys = pool.extractable_keys(form_rows(ev), never_extracted(ev))
     return pool.key_groups(keys, special_types(ev), pool.default_types(ev.form_slots))
