@@ -97,8 +97,8 @@ def r3(ev: Evidence) -> DataFrame:
     "r4_field_questions",
     duck(
         """select form_id, signature, case when defs is not null then 'FIELD DEFINITIONS' || chr(10) || defs || chr(10) || chr(10) else '' end || 'Fields: ' || keys as question
-           from p4g left join (select form_id, signature, string_agg('  ' || k || ': what ' || k || ' means', chr(10) order by at) as defs
-                               from (select form_id, signature, unnest(string_split(keys, ', ')) as k, unnest(range(len(string_split(keys, ', ')))) as at from p4g) where k like '%3' group by all) using (form_id, signature)""",
+           from p4g left join (select form_id, signature, string_agg('  ' || k || ': what ' || k || ' means', chr(10) order by place) as defs
+                               from (select form_id, signature, unnest(string_split(keys, ', ')) as k, unnest(range(len(string_split(keys, ', ')))) as place from p4g) where k like '%3' group by all) using (form_id, signature)""",
         "p4g",
     ),
 )
