@@ -134,7 +134,7 @@ def bands_from_replies(replies: DataFrame, reply: str = "reply") -> DataFrame:
     b = e.select(*PAGE, "pos", "n", F.posexplode(zipped).alias("k", "z"))
     return b.select(
         *PAGE,
-        (F.col("pos").cast("bigint") * 100000 + F.col("k")).alias("seq"),
+        (F.shiftleft(F.col("pos").cast("bigint"), 32) + F.col("k")).alias("seq"),
         strip_space("z.text").alias("text"),
         F.col("z.band.x").alias("x"),
         F.col("z.band.y").alias("y"),
