@@ -279,18 +279,19 @@ def field_violations(fields: DataFrame) -> DataFrame:
 def screen_violations(captures: DataFrame, lines: DataFrame) -> DataFrame:
     """U8: screen captures: ceilings, unique ids, dense line numbers.
 
-    ``captures``: run_id, pos, id.  ``lines``: run_id, id, i (one row per line).
+    ``captures``: run_id, pos, id.  ``lines``: run_id, pos, i (one row per line): a line is of a capture,
+    whatever id the capture gives itself, so that those of two captures with one id don't mix.
     """
     n = captures.groupBy("run_id").agg(F.count(F.lit(1)).alias("_n"))
     first = captures.groupBy("run_id", "id").agg(F.min("pos").alias("_first"))
-    dense = lines.groupBy("run_id", "id").agg(
+    dense = lines.groupBy("run_id", "pos").agg(
         F.count(F.lit(1)).alias("_c"), F.count_distinct("i").alias("_d"), F.min("i").alias("_lo"), F.max("i").alias("_hi")
     )
     total = lines.groupBy("run_id").agg(F.count(F.lit(1)).alias("_lines"))
     c = (
         captures.join(n, "run_id")
         .join(first, ["run_id", "id"])
-        .join(dense, ["run_id", "id"], "left")
+        .join(dense, ["run_id", "pos"], "left")
         .join(total, "run_id", "left")
     )
     rule = (

@@ -270,9 +270,8 @@ def u8_screens(ev: Evidence) -> DataFrame:
     cid = F.when(p % 17 == 3, 0).otherwise(p)
     sets = F.when(F.col("source_id").like("%3"), F.col("source_id")).otherwise(F.concat("source_id", F.lit("-"), _s(F.floor(p / 40)))).alias("run_id")
     c = ev.pages.select(sets, p.alias("pos"), _s(cid).alias("id"))
-    l = ev.lines.where("page_in_doc % 17 <> 3 or page_in_doc = 0")
     shift = F.when((p % 13 == 4) & (F.col("i") == 0), 7777777).otherwise(F.col("i"))
-    return cmp.screen_violations(c, l.select(sets, _s(p).alias("id"), shift.alias("i")))
+    return cmp.screen_violations(c, ev.lines.select(sets, p.alias("pos"), shift.alias("i")))
 
 
 @query(

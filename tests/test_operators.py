@@ -230,3 +230,13 @@ def test_many_extras_lose_nothing_and_a_limit_gives_a_refused_row(spark):
     assert wc.fold_screens(fields, answers, extras, captures, lines).count() == 42
     capped = wc.fold_screens(fields, answers, extras, captures, lines, max_extra=40).collect()
     assert sorted(str(r.reason) for r in capped if r.field_id is None) == ["too-many-extras"] and len(capped) == 2
+
+
+def test_screens_of_one_id_keep_their_own_lines(spark):
+    """A line belongs to a capture, not to the id that two captures may share."""
+    from foliary.operators.compare import screen_violations
+
+    captures_ = spark.createDataFrame([("r", 3, "0"), ("r", 20, "0"), ("r", 5, "5")], "run_id string, pos int, id string")
+    lines = [("r", p, i) for p, n in ((3, (7, 1)), (20, (0, 1)), (5, (0, 1))) for i in n]
+    got = screen_violations(captures_, spark.createDataFrame(lines, "run_id string, pos int, i int"))
+    assert sorted(map(tuple, got.collect())) == [("r", 3, "lines-not-dense"), ("r", 20, "id-used-twice")]
