@@ -25,6 +25,9 @@ SPACE_CLASS = (
     r"[\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 )
 
+# What any text but a blank one has a character of.
+NO_SPACE_CLASS = "[^" + SPACE_CLASS[1:]
+
 ColumnLike = Column | str
 
 
@@ -42,7 +45,7 @@ def strip_space(c: ColumnLike) -> Column:
 
 
 def is_blank(c: ColumnLike) -> Column:
-    return strip_space(F.coalesce(col(c), F.lit(""))) == ""
+    return ~F.regexp_like(F.coalesce(col(c), F.lit("")), F.lit(NO_SPACE_CLASS))
 
 
 def first_by(df: DataFrame, keys: Sequence[str], pos: Sequence[str]) -> DataFrame:

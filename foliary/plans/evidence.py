@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliary.core import key_bucket, number_rows, strip_space
+from foliary.core import is_blank, key_bucket, number_rows
 from foliary.operators.numbering import page_in_source
 from foliary.session import kept
 
@@ -22,6 +22,12 @@ FOOTER_GAP = 700
 DOC_TYPES = {"en": "KB", "fr": "SP", "de": "BAPermintaan", "es": "Email"}
 
 
+def line_top(i: Column, n_lines: Column, doc_id: Column) -> Column:
+    """Where line ``i`` of a page stands."""
+    gap = F.when((i >= n_lines - 2) & (doc_id % 4 == 0), FOOTER_GAP)
+    return F.lit(40.0) + i * 40 + F.coalesce(gap, F.lit(0))
+
+
 class Evidence:
     """Lazy evidence tables over one folder of parquet tables."""
 
@@ -94,7 +100,11 @@ class Evidence:
         )
 
     @cached_property
-    def lines(self) -> DataFrame:
+    def texts(self) -> DataFrame:
+        """The pages' lines as arrays, dealt by page before they are cut: lines and words of a page never move again.
+
+        The number of partitions is stated, as one sized by the texts would be far too large for the words made of them.
+        """
         footer = F.array(
             F.concat(
                 F.lit("Page "),
@@ -105,17 +115,29 @@ class Evidence:
             F.concat(F.lit("Ref "), F.col("source_id")),
         )
         texts = self.documents.select("run_id", "source_id", "doc_id", "text")
-        # whole texts are dealt by page before they are cut: lines and words of a page never move again
-        rows = self._numbered.join(texts, ["run_id", "source_id", "doc_id"]).repartition("run_id", "page_index").select(
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = self._numbered.join(texts, ["run_id", "source_id", "doc_id"]).repartition(parts, "run_id", "page_index")
+        return dealt.select(
+            "run_id",
+            "page_index",
+            "source_id",
+            "page_in_doc",
+            "doc_id",
+            "n_lines",
+            F.concat(F.split("text", "\n"), footer).alias("texts"),
+        )
+
+    @cached_property
+    def lines(self) -> DataFrame:
+        rows = self.texts.select(
             "run_id",
             "page_index",
             "source_id",
             "page_in_doc",
             "doc_id",
             "n_lines",
-            F.posexplode(F.concat(F.split("text", "\n"), footer)).alias("i", "text"),
+            F.posexplode("texts").alias("i", "text"),
         )
-        gap = F.when((F.col("i") >= F.col("n_lines") - 2) & (F.col("doc_id") % 4 == 0), FOOTER_GAP)
         return rows.select(
             "run_id",
             "page_index",
@@ -125,7 +147,7 @@ class Evidence:
             "i",
             "text",
             F.lit(40.0).alias("x"),
-            (F.lit(40.0) + F.col("i") * 40 + F.coalesce(gap, F.lit(0))).alias("y"),
+            line_top(F.col("i"), F.col("n_lines"), F.col("doc_id")).alias("y"),
             F.greatest(F.lit(8.0), F.least(F.lit(2400.0), F.length("text") * 8.0)).alias("w"),
             F.lit(24.0).alias("h"),
             F.when((F.col("doc_id") + F.col("i")) % 3 == 0, "interpolated")
@@ -138,7 +160,7 @@ class Evidence:
         """Tokens of every line; y wobbles by up to two pixels."""
         toks = self.lines.select(
             "run_id", "page_index", "i", "y", F.posexplode(F.split("text", " ")).alias("k", "text")
-        ).where(strip_space("text") != "")
+        ).where(~is_blank("text"))
         return toks.select(
             "run_id",
             "page_index",
