@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliary.core import PAGE
+from foliary.core import PAGE, bind, is_blank
 from foliary.functions.cells import format_ref
-from foliary.plans.evidence import Evidence, add_duck, duck
+from foliary.plans.evidence import Evidence, add_duck, duck, line_top
 from foliary.plans.registry import query
 from foliary.plans.text import q_plain, q_serial
 from foliary.session import work_folder
@@ -22,41 +22,48 @@ from foliary.sources import workbook as wb
 
 def annotation_pages(ev: Evidence) -> DataFrame:
     """One nested annotation per page: a block per two lines, a paragraph per line, and words of
-    two symbols with breaks, missing corners and empty boxes."""
-    k = F.col("seq") % 100000
+    two symbols with breaks, missing corners and empty boxes.
+
+    An annotation is built inside the page's row: no word is a row of its own before it is read."""
     brk = lambda t: F.struct(F.struct(t.alias("type")).alias("detectedBreak"))
-    kind = F.when(k % 4 == 3, F.lit(None).cast("string")).when(k % 11 == 5, "UNKNOWN").otherwise("SPACE")
-    first = F.struct(
-        F.substring("text", 1, 1).alias("text"), brk(F.lit(None).cast("string")).alias("property")
-    )
-    rest = F.struct(
-        F.substring("text", 2, 1000000).alias("text"),
-        brk(F.when(k % 2 == 0, kind)).alias("property"),
-    )
-    corner = lambda dx, dy: F.struct(
-        F.when(k % 13 != 0, F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")
-    )
-    w, h = F.col("w"), F.col("h")
-    far = F.struct((F.col("x") + w).alias("x"), (F.col("y") + h).alias("y"))
-    corners = F.when(k % 17 == 0, F.array(corner(F.lit(0.0), F.lit(0.0)))).otherwise(
-        F.array(corner(F.lit(0.0), F.lit(0.0)), far)
-    )
-    word = F.struct(
-        F.array(first, rest).alias("symbols"),
-        brk(F.when(k % 2 == 1, kind)).alias("property"),
-        F.struct(corners.alias("vertices")).alias("boundingBox"),
-    )
-    line = F.floor(F.col("seq") / 100000).cast("int")
-    w0 = ev.words.select(*PAGE, line.alias("i"), "seq", word.alias("word"))
-    bag = lambda order, item: F.transform(
-        F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), item.alias("v"))), lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0)),
-        lambda z: z["v"],
-    )
-    paras = w0.groupBy(*PAGE, "i").agg(F.struct(bag("seq", F.col("word")).alias("words")).alias("para"))
-    blocks = paras.groupBy(*PAGE, F.floor(F.col("i") / 2).alias("b")).agg(
-        F.struct(bag("i", F.col("para")).alias("paragraphs")).alias("block")
-    )
-    docs = blocks.groupBy(*PAGE).agg(bag("b", F.col("block")).alias("blocks"))
+
+    def word(v, top):
+        text, k = v["text"], v["k"]
+        x, y = F.lit(40.0) + k * 90, top + k % 3
+        kind = F.when(k % 4 == 3, F.lit(None).cast("string")).when(k % 11 == 5, "UNKNOWN").otherwise("SPACE")
+        first = F.struct(F.substring(text, 1, 1).alias("text"), brk(F.lit(None).cast("string")).alias("property"))
+        rest = F.struct(F.substring(text, 2, 1000000).alias("text"), brk(F.when(k % 2 == 0, kind)).alias("property"))
+        corner = lambda dx, dy: F.struct(F.when(k % 13 != 0, x + dx).alias("x"), (y + dy).alias("y"))
+        w, h = F.length(text) * 8.0, F.lit(24.0)
+        far = F.struct((x + w).alias("x"), (y + h).alias("y"))
+        near = corner(F.lit(0.0), F.lit(0.0))
+        corners = F.when(k % 17 == 0, F.array(near)).otherwise(F.array(near, far))
+        return F.struct(
+            F.array(first, rest).alias("symbols"),
+            brk(F.when(k % 2 == 1, kind)).alias("property"),
+            F.struct(corners.alias("vertices")).alias("boundingBox"),
+        )
+
+    def paragraph(i):
+        def tokens(lines):
+            cut = F.transform(F.split(F.get(lines, i), " "), lambda t, k: F.struct(k.alias("k"), t.alias("text")))
+            return F.coalesce(F.filter(cut, lambda v: ~is_blank(v["text"])), F.array().cast("array<struct<k:int,text:string>>"))
+
+        found = F.flatten(F.transform("pages", tokens))
+        ordered = F.when(F.size("pages") == 1, found).otherwise(F.array_sort(found))
+        words = bind(line_top(i, F.col("n_lines"), F.col("doc_id")), lambda top: F.transform(ordered, lambda v: word(v, top)))
+        return F.struct(words.alias("words"))
+
+    def block(b):
+        two = F.array(paragraph(b * 2), paragraph(b * 2 + 1))
+        return F.struct(F.filter(two, lambda p: F.size(p["words"]) > 0).alias("paragraphs"))
+
+    # a page has one text, unless its document's id repeats
+    rows = ev.texts.groupBy(*PAGE, "n_lines", "doc_id").agg(F.collect_list("texts").alias("pages")).where("size(pages) > 0")
+    longest = F.array_max(F.transform("pages", lambda t: F.size(t)))
+    numbers = F.sequence(F.lit(0), F.floor((longest - 1) / 2).cast("int"))
+    blocks = F.filter(F.transform(numbers, block), lambda b: F.size(b["paragraphs"]) > 0)
+    docs = rows.select(*PAGE, blocks.alias("blocks"))
     page = F.struct(F.struct(F.array(F.struct("blocks")).alias("pages")).alias("fullTextAnnotation"))
     return docs.select(*PAGE, F.to_json(page).alias("annotation"))
 

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliary.core import PAGE, is_blank
+from foliary.core import PAGE, bind, is_blank
 from foliary.operators.geometry import fold_groups, group_words_into_lines, grown, member_box
 from foliary.operators.quality import page_geometry
+from foliary.session import kept
 
 BREAK = "property struct<detectedBreak: struct<type: string>>"
 ANNOTATION = f"""fullTextAnnotation struct<pages: array<struct<blocks: array<struct<paragraphs: array<struct<words:
@@ -28,33 +29,36 @@ def box_from_vertices(vertices: Column) -> Column:
     """S3: covering box of the corners, a missing coordinate being 0; null without area."""
     xs = F.transform(vertices, lambda v: F.coalesce(v["x"], F.lit(0.0)))
     ys = F.transform(vertices, lambda v: F.coalesce(v["y"], F.lit(0.0)))
-    w = F.array_max(xs) - F.array_min(xs)
-    h = F.array_max(ys) - F.array_min(ys)
-    return F.when(
-        (w > 0) & (h > 0),
-        F.struct(
-            F.array_min(xs).alias("x"), F.array_min(ys).alias("y"), w.alias("w"), h.alias("h")
-        ),
-    )
+    extent = lambda v: bind(v, lambda c: F.struct(F.array_min(c).alias("least"), (F.array_max(c) - F.array_min(c)).alias("span")))
+
+    def box(e: Column) -> Column:
+        x, y = e["x"], e["y"]
+        whole = F.struct(x["least"].alias("x"), y["least"].alias("y"), x["span"].alias("w"), y["span"].alias("h"))
+        return F.when((x["span"] > 0) & (y["span"] > 0), whole)
+
+    return bind(F.struct(extent(xs).alias("x"), extent(ys).alias("y")), box)
+
+
+def word_text(word: Column) -> Column:
+    text = F.array_join(F.transform(word["symbols"], lambda s: F.coalesce(s["text"], F.lit(""))), "")
+    return F.coalesce(text, F.lit(""))
+
+
+def _blocks(column: str) -> Column:
+    doc = F.from_json(F.col(column), ANNOTATION)["fullTextAnnotation"]["pages"]
+    return F.flatten(F.transform(doc, lambda p: F.coalesce(p["blocks"], F.array())))
 
 
 def annotation_words(annotations: DataFrame, column: str = "annotation") -> DataFrame:
     """Every annotated word with block number, text, box (null when unusable) and break flag."""
-    doc = F.from_json(F.col(column), ANNOTATION)["fullTextAnnotation"]["pages"]
-    blocks = F.flatten(F.transform(doc, lambda p: F.coalesce(p["blocks"], F.array())))
-    b = annotations.select(*PAGE, F.posexplode(blocks).alias("block_index", "block"))
+    b = annotations.select(*PAGE, F.posexplode(_blocks(column)).alias("block_index", "block"))
     p = b.select(*PAGE, "block_index", F.posexplode("block.paragraphs").alias("p", "para"))
-    w = p.select(*PAGE, "block_index", "p", F.posexplode("para.words").alias("k", "word"))
-    text = F.array_join(F.transform("word.symbols", lambda s: F.coalesce(s["text"], F.lit(""))), "")
-    return w.select(
-        *PAGE,
-        "block_index",
-        "p",
-        "k",
-        F.coalesce(text, F.lit("")).alias("text"),
-        box_from_vertices(F.col("word.boundingBox.vertices")).alias("box"),
-        ends_token(F.col("word")).alias("ends"),
+    # read before they are rows, so that a filter on what is read doesn't read it again
+    read = F.transform(
+        "para.words", lambda w: F.struct(word_text(w).alias("text"), box_from_vertices(w["boundingBox"]["vertices"]).alias("box"), ends_token(w).alias("ends"))
     )
+    w = p.select(*PAGE, "block_index", "p", F.posexplode(read).alias("k", "word"))
+    return w.select(*PAGE, "block_index", "p", "k", "word.text", "word.box", "word.ends")
 
 
 def _glued(tokens: Column, v: Column) -> Column:
@@ -88,17 +92,13 @@ def words_from_annotations(annotations: DataFrame, column: str = "annotation") -
 
 
 def annotation_report(annotations: DataFrame, column: str = "annotation") -> DataFrame:
-    """Blocks and dropped words per page."""
-    doc = F.from_json(F.col(column), ANNOTATION)["fullTextAnnotation"]["pages"]
-    n_blocks = F.aggregate(
-        doc, F.lit(0), lambda a, p: a + F.coalesce(F.size(p["blocks"]), F.lit(0))
-    )
-    blocks = annotations.select(*PAGE, F.coalesce(n_blocks, F.lit(0)).alias("blocks"))
-    bad = annotation_words(annotations, column).where(is_blank("text") | F.col("box").isNull())
-    dropped = bad.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("_d"))
-    return blocks.join(dropped, PAGE, "left").select(
-        *PAGE, "blocks", F.coalesce("_d", F.lit(0)).alias("dropped")
-    )
+    """Blocks and dropped words per page, counted inside the annotation's row."""
+    blocks = _blocks(column)
+    paragraphs = F.flatten(F.transform(blocks, lambda b: F.coalesce(b["paragraphs"], F.array())))
+    words = F.flatten(F.transform(paragraphs, lambda p: F.coalesce(p["words"], F.array())))
+    bad = F.filter(words, lambda w: is_blank(word_text(w)) | box_from_vertices(w["boundingBox"]["vertices"]).isNull())
+    counted = annotations.select(*PAGE, *[F.greatest(F.size(x), F.lit(0)).alias(n) for x, n in ((blocks, "blocks"), (bad, "_d"))])
+    return counted.select(*PAGE, "blocks", F.sum("_d").over(W.partitionBy(*PAGE)).alias("dropped"))
 
 
 def lines_from_annotations(annotations: DataFrame, column: str = "annotation") -> DataFrame:
@@ -110,7 +110,7 @@ def lines_from_annotations(annotations: DataFrame, column: str = "annotation") -
 
 def annotated_page_report(annotations: DataFrame, pages: DataFrame, column: str = "annotation") -> DataFrame:
     """S4's report: Q1 over the lines, with segment, block and dropped counts."""
-    lines = lines_from_annotations(annotations, column)
+    lines = kept(lines_from_annotations(annotations, column))
     segments = lines.groupBy(*PAGE).agg(F.sum("n_words").alias("segments"))
     return (
         page_geometry(lines, pages)

@@ -197,3 +197,39 @@ def test_plans_shuffle_little(spark, name, most):
     spark.conf.set("spark.sql.adaptive.enabled", before)
     shuffles = sum(plan.count(f"Exchange {kind}") for kind in ("hashpartitioning", "rangepartitioning", "SinglePartition"))
     assert shuffles <= most and "ArrowEvalPython" not in plan
+
+
+def _evidence(spark, rows):
+    from foliary.plans.evidence import Evidence
+
+    folder = tempfile.mkdtemp()
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    return Evidence(spark, folder)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_annotations_are_built_in_the_row(spark):
+    """No word is a row before an annotation is read, and a page's texts go to a stated number of tasks."""
+    from foliary.plans import sources
+    from foliary.sources import annotations
+
+    ev = _evidence(spark, [(1, "a b  c\n \nd e", "en", "src1", 10), (1, "a b  c\n \nd e", "en", "src1", 10), (2, None, "en", "src1", 0)])
+    pages = sources.annotation_pages(ev)
+    assert "Generate" not in _plan(pages) and "REPARTITION_BY_NUM" in _plan(ev.words)
+    words = annotations.annotation_words(pages).where("page_index = 0").orderBy("block_index", "p", "k").collect()
+    assert [(w.block_index, w.p, w.k, w.text) for w in words if w.block_index == 0] == [(0, 0, k, t) for k, t in enumerate("aabbcc")]
+    report = {r.page_index: (r.blocks, r.dropped) for r in annotations.annotation_report(pages).collect()}
+    assert report[0] == (3, sum(w.box is None for w in words)) and 0 < report[0][1]
+
+
+def test_pairs_are_dealt_before_their_edit_tables(spark):
+    from foliary.plans import text
+
+    folder = tempfile.mkdtemp()
+    parts = spark.createDataFrame([(k, f"part {k}", k % 9, "Brand#1") for k in range(40)], "p_partkey long, p_name string, p_size int, p_brand string")
+    parts.coalesce(1).write.parquet(f"{folder}/part.parquet")
+    for name in ("t11_agrees_within", "t11_bounded_distance", "t12_best_substring_match"):
+        assert "REPARTITION_BY_NUM" in _plan(all_queries()[0][name](spark, folder)), name
