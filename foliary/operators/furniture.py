@@ -5,13 +5,15 @@ set overlaps it by 60% or more.  Comparing every tail line with every other is q
 pages of a document, and one document may hold a third of a corpus.  The same answer comes from:
 
 1. tail lines collapsed to distinct token sets per document (numbered footers become one set);
-2. a necessary condition on token page-counts that almost no body line meets: a set similar to
-   lines on half the pages must be made of tokens that are themselves on many pages;
-3. a prefix-filtered join of the surviving sets with all sets of the document (two sets that
-   overlap enough share one of their rarest tokens);
+2. a necessary condition on token page-counts that hardly a body line meets: a set similar to
+   lines on half the pages must be made of tokens that are themselves on many pages, in lines of
+   a similar length;
+3. a prefix-filtered join of the surviving sets with all sets of the document (a set that
+   overlaps enough has one of a surviving set's rarest tokens);
 4. page counting only for sets the set sizes cannot already decide.
 
-What several steps read (tails, token sets, alike pairs) is written once to shared storage.
+What several steps read (tails, token sets, alike pairs) is written once to shared storage, and so are
+the small tables that tokens of all sets are looked up in, whose size then tells how to join them.
 """
 
 from __future__ import annotations
@@ -41,25 +43,20 @@ HEAVY_TOKEN = 20_000
 
 
 def page_tails(lines: DataFrame) -> DataFrame:
-    """The last lines of every page, one more than the tail, ranked from the bottom, with the page's number of lines.
+    """The last lines of every page, one more than the tail, with the page's number of lines; those of the tail that have
+    a letter with their token set, its key, and whether they are the set's first on the page.
 
-    The lines are read once; only a few a page are kept.
+    The lines are read once and a page's windows share its one shuffle; only a few lines a page are kept.
     """
     page = W.partitionBy(*DOC, "page_index")
     rows = lines.select(*DOC, "page_index", "i", "text").withColumn("n_lines", F.count(F.lit(1)).over(page).cast("int"))
     up = page.orderBy(F.col("i").desc())
-    return kept(rows.withColumn("rank", F.row_number().over(up)).where(F.col("rank") <= TAIL_LINES + 1))
-
-
-def _tail_sets(tails: DataFrame) -> DataFrame:
-    """Tail lines with their token set, its key, and whether they are the set's first on the page."""
-    t = tails.where((F.col("rank") <= TAIL_LINES) & has_a_letter("text")).select(
-        *DOC, "page_index", "i", F.sort_array(furniture_tokens("text")).alias("tokens")
-    )
-    t = t.withColumn("sk", F.sha2(F.array_join("tokens", " "), 256))
-    again = W.partitionBy(*DOC, "page_index").orderBy("sk", "i")
-    first = F.lag("sk").over(again).eqNullSafe(F.col("sk"))
-    return kept(t.withColumn("counts", F.when(first, 0).otherwise(1)))
+    tails = rows.withColumn("rank", F.row_number().over(up)).where(F.col("rank") <= TAIL_LINES + 1)
+    cut = (F.col("rank") <= TAIL_LINES) & has_a_letter("text")
+    tails = tails.withColumn("tokens", F.when(cut, F.sort_array(furniture_tokens("text"))))
+    tails = tails.withColumn("sk", F.sha2(F.array_join("tokens", " "), 256))
+    first = F.lag("sk").over(page.orderBy("sk", "i")).eqNullSafe(F.col("sk"))
+    return kept(tails.withColumn("counts", F.when(first, 0).otherwise(1)).drop("text", "rank"))
 
 
 def _prefix(tokens_by_rarity: Column) -> Column:
@@ -77,81 +74,90 @@ def running_furniture(lines: DataFrame, pages: DataFrame) -> DataFrame:
     return _furniture_of(page_tails(lines), pages)
 
 
-def _furniture_of(tails: DataFrame, pages: DataFrame) -> DataFrame:
-    documents = (
-        pages.groupBy(*DOC)
-        .agg(F.count(F.lit(1)).alias("n_pages"))
-        .where(F.col("n_pages") >= MIN_PAGES)
-        .withColumn("needed", F.col("n_pages") * PAGE_SHARE)
-    )
-    tail = _tail_sets(tails)
-    sets = tail.groupBy(*DOC, "sk").agg(
-        F.first("tokens").alias("tokens"), F.sum("counts").alias("set_pages")
+def _near_size() -> Column:
+    return (F.col("size_b") >= F.col("size_a") * (TOKEN_OVERLAP - EPS)) & (
+        F.col("size_a") >= F.col("size_b") * (TOKEN_OVERLAP - EPS)
     )
 
-    # lines per token bound pages per token; kept only where a token is common enough to matter
-    common = (
-        sets.select(*DOC, F.explode("tokens").alias("token"), "set_pages")
-        .groupBy(*DOC, "token")
+
+def _likely_sets(sets: DataFrame, words: DataFrame, documents: DataFrame) -> DataFrame:
+    """Sets that may be furniture, with their tokens from rare to common.
+
+    Of the pages a furniture set reaches, take as many as it needs: each holds most of the set's tokens, and a token counts
+    at most once on each.  So tokens' lines, none more than the pages needed, add up to that share of the set on that many
+    pages.  Lines of all sets are added up first, then for the few sets left those of sets of a size that can overlap enough.
+    """
+    common = kept(
+        words.groupBy(*DOC, "token")
         .agg(F.sum("set_pages").alias("token_lines"))
         .join(documents, DOC)
         .where(F.col("token_lines") >= F.col("needed") * RARE)
-        .select(
-            *DOC,
-            "token",
-            F.least("token_lines", "n_pages").alias("token_pages"),
-            (1 + F.floor(F.col("token_lines") / HEAVY_TOKEN)).cast("int").alias("parts"),
-        )
+        .select(*DOC, "token", "needed", F.least("token_lines", F.ceil("needed")).alias("token_pages"))
     )
-
-    # tokens of each set from rare to common, and the bound on how many pages it can reach
-    ranked = (
-        sets.select(*DOC, "sk", F.explode("tokens").alias("token"))
-        .join(common, [*DOC, "token"], "left")
-        .groupBy(*DOC, "sk")
+    share = F.ceil(F.col("size_a") * TOKEN_OVERLAP - EPS) * F.ceil("needed")
+    likely = (
+        words.join(common, [*DOC, "token"])
+        .groupBy(*DOC, F.col("sk").alias("sk_a"))
         .agg(
-            F.transform(
-                F.array_sort(
-                    F.collect_list(
-                        F.struct(F.coalesce("token_pages", F.lit(0)).alias("p"), "token", F.coalesce("parts", F.lit(1)).alias("parts"))
-                    )
-                ),
-                lambda z: F.struct(z["token"].alias("token"), z["parts"].alias("parts")),
-            ).alias("by_rarity"),
-            F.sum("token_pages").alias("common_mass"),
-            F.count_if(F.col("token_pages").isNull()).alias("rare_tokens"),
+            F.max("size").alias("size_a"),
+            F.max("needed").alias("needed"),
+            F.sum("token_pages").alias("mass"),
+            F.count(F.lit(1)).alias("n_common"),
         )
-        .join(documents, DOC)
+        .where(F.col("mass") + (F.col("size_a") - F.col("n_common")) * F.col("needed") * RARE >= share - EPS)
+        .select(*DOC, "sk_a", "size_a", "needed")
+    )
+    tokens = sets.select(*DOC, F.col("sk").alias("sk_a"), F.explode("tokens").alias("token"))
+    asked = kept(kept(likely).join(tokens, [*DOC, "sk_a"]))
+    probes = kept(asked.select(*DOC, "token", "size_a").distinct())
+    near = (
+        words.withColumnRenamed("size", "size_b")
+        .join(probes, [*DOC, "token"])
+        .where(_near_size())
+        .groupBy(*DOC, "token", "size_a")
+        .agg(F.sum("set_pages").alias("token_lines"))
     )
-    mass = F.coalesce("common_mass", F.lit(0)) + F.col("rare_tokens") * F.col("needed") * RARE
-    likely = mass >= F.size("by_rarity") * F.col("needed") * (TOKEN_OVERLAP - EPS)
-    ranked = kept(ranked.withColumn("likely", likely))
-    left = ranked.where("likely").select(
-        *DOC,
-        F.col("sk").alias("sk_a"),
-        "needed",
-        F.size("by_rarity").alias("size_a"),
-        F.explode(_prefix(F.col("by_rarity"))).alias("t"),
+    by_rarity = F.array_sort(F.collect_list(F.struct(F.col("token_lines").alias("n"), "token")))
+    ranked = (
+        asked.join(near, [*DOC, "token", "size_a"])
+        .groupBy(*DOC, "sk_a", "size_a", "needed")
+        .agg(by_rarity.alias("by_rarity"), F.sum(F.least("token_lines", F.ceil("needed"))).alias("mass"))
     )
-    left = left.select("*", F.col("t.token").alias("token"), F.explode(F.sequence(F.lit(0), F.col("t.parts") - 1)).alias("part"))
-    right = ranked.select(
+    return kept(ranked.where(F.col("mass") >= share).drop("mass"))
+
+
+def _furniture_of(tails: DataFrame, pages: DataFrame) -> DataFrame:
+    documents = (
+        pages.groupBy(*DOC)
+        .agg(F.count(F.lit(1)).alias("n_pages"))
+        .where(F.col("n_pages") >= MIN_PAGES)
+        .select(*DOC, (F.col("n_pages") * PAGE_SHARE).alias("needed"))
+    )
+    tail = tails.where("tokens IS NOT NULL").select(*DOC, "page_index", "i", "tokens", "sk", "counts")
+    sets = tail.groupBy(*DOC, "sk").agg(F.first("tokens").alias("tokens"), F.sum("counts").alias("set_pages"))
+    sets = kept(sets.withColumn("size", F.size("tokens")))
+    words = sets.select(*DOC, "sk", "size", "set_pages", F.explode("tokens").alias("token"))
+
+    # a set that overlaps enough has one of the rarest tokens of a likely one
+    likely = _likely_sets(sets, words, documents)
+    rarest = likely.select(*DOC, "sk_a", "size_a", "needed", F.explode(_prefix(F.col("by_rarity"))).alias("t"))
+    rarest = rarest.select(*DOC, "sk_a", "size_a", "needed", "t.token", "t.n")
+    parts = kept(rarest.groupBy(*DOC, "token").agg((1 + F.floor(F.max("n") / HEAVY_TOKEN)).cast("int").alias("parts")))
+    left = rarest.join(parts, [*DOC, "token"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    right = words.join(parts, [*DOC, "token"]).select(
         *DOC,
+        "token",
         F.col("sk").alias("sk_b"),
-        F.size("by_rarity").alias("size_b"),
-        F.explode(_prefix(F.col("by_rarity"))).alias("t"),
+        F.col("size").alias("size_b"),
+        F.pmod(F.xxhash64("sk"), F.col("parts")).cast("int").alias("part"),
     )
-    part = F.pmod(F.xxhash64("sk_b"), F.col("t.parts")).cast("int")
-    right = right.select("*", F.col("t.token").alias("token"), part.alias("part"))
-    near_size = (F.col("size_b") >= F.col("size_a") * (TOKEN_OVERLAP - EPS)) & (
-        F.col("size_a") >= F.col("size_b") * (TOKEN_OVERLAP - EPS)
-    )
-    pairs = (
+    pairs = kept(
         left.join(right, [*DOC, "token", "part"])
-        .where(near_size)
+        .where(_near_size())
         .select(*DOC, "sk_a", "sk_b", "needed")
         .distinct()
     )
-    a = sets.select(*DOC, F.col("sk").alias("sk_a"), F.col("tokens").alias("tokens_a"))
+    a = likely.select(*DOC, "sk_a", F.transform("by_rarity", lambda z: z["token"]).alias("tokens_a"))
     b = sets.select(*DOC, F.col("sk").alias("sk_b"), F.col("tokens").alias("tokens_b"), "set_pages")
     alike = kept(
         pairs.join(b, [*DOC, "sk_b"])
@@ -179,10 +185,8 @@ def _furniture_of(tails: DataFrame, pages: DataFrame) -> DataFrame:
         .where(F.col("n") >= F.col("needed"))
         .select(*DOC, F.col("sk_a").alias("sk"))
     )
-    return (
-        tail.join(sure.unionByName(counted), [*DOC, "sk"], "left_semi")
-        .select(*DOC, "page_index", "i")
-    )
+    found = kept(sure.unionByName(counted))
+    return tail.select(*DOC, "page_index", "i", "sk").join(found, [*DOC, "sk"], "left_semi").drop("sk")
 
 
 def page_bottoms(lines: DataFrame, pages: DataFrame) -> DataFrame:

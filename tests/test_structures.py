@@ -233,3 +233,20 @@ def test_pairs_are_dealt_before_their_edit_tables(spark):
     parts.coalesce(1).write.parquet(f"{folder}/part.parquet")
     for name in ("t11_agrees_within", "t11_bounded_distance", "t12_best_substring_match"):
         assert "REPARTITION_BY_NUM" in _plan(all_queries()[0][name](spark, folder)), name
+
+
+def test_body_lines_of_common_words_are_no_furniture_candidates(spark, monkeypatch):
+    rng = random.Random(4)
+    rows, pages = [], []
+    for p in range(60):
+        own = "".join(chr(97 + int(c)) for c in str(p))
+        text = [" ".join(rng.sample("abcdefghijkl", 4) + [w + own + "x" * i for w in ("qa", "qb", "qc", "qd")]) for i in range(5)]
+        rows += [("r", "s", p, i, t) for i, t in enumerate([*text, f"Page {p} of 60"])]
+        pages.append(("r", "s", p))
+    lines = spark.createDataFrame(rows, "run_id string, source_id string, page_index int, i int, text string")
+    written, write = [], furniture.kept
+    monkeypatch.setattr(furniture, "kept", lambda df: written.append(write(df)) or written[-1])
+    found = furniture.running_furniture(lines, spark.createDataFrame(pages, "run_id string, source_id string, page_index int"))
+    assert sorted(map(tuple, found.collect())) == [("r", "s", p, 5) for p in range(60)]
+    looked_up = [d.count() for d in written if "by_rarity" in d.columns]
+    assert looked_up == [1]
