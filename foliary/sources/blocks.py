@@ -113,9 +113,9 @@ def page_blocks(replies: DataFrame, reply: str = "reply") -> DataFrame:
 
 def block_entries(replies: DataFrame, reply: str = "reply") -> DataFrame:
     """One row per entry of a page's reply: segments, box or null, position."""
-    return page_blocks(replies, reply).select(
-        *PAGE, F.posexplode("blocks").alias("pos", "e")
-    ).select(*PAGE, "pos", "e.*")
+    # the plain form would also filter pages on their blocks, which parses and places them again for each test
+    entries = page_blocks(replies, reply).select(*PAGE, F.posexplode_outer("blocks").alias("pos", "e"))
+    return entries.where("pos IS NOT NULL").select(*PAGE, "pos", "e.*")
 
 
 def block_report(replies: DataFrame, reply: str = "reply") -> DataFrame:

@@ -10,7 +10,7 @@ from foliary.functions import readings
 from foliary.operators import citations, compare, furniture, pools, sections, workbook_checks
 from foliary.operators.numbering import range_numbers
 from foliary.plans import all_queries
-from foliary.sources import sinks, transcripts
+from foliary.sources import blocks, sinks, transcripts
 
 
 def table(needle, hay):
@@ -250,3 +250,12 @@ def test_body_lines_of_common_words_are_no_furniture_candidates(spark, monkeypat
     assert sorted(map(tuple, found.collect())) == [("r", "s", p, 5) for p in range(60)]
     looked_up = [d.count() for d in written if "by_rarity" in d.columns]
     assert looked_up == [1]
+
+
+def test_block_reply_is_parsed_once(spark):
+    reply = '{"lines":[{"box_2d":[100,100,200,900],"text":"a\\nb"},{"box_2d":[5,5,1,1],"text":"c"}]}'
+    kind = "run_id string, page_index int, width int, height int, reply string"
+    replies = spark.createDataFrame([("r", 0, 1000, 1000, reply), ("r", 1, 1000, 1000, '{"lines":[]}'), ("r", 2, 1000, 1000, "none")], kind)
+    entries = blocks.block_entries(replies)
+    assert [(r["page_index"], r["pos"], r["n"], r["box"] and tuple(r["box"])) for r in entries.collect()] == [(0, 0, 2, (100.0, 100.0, 800.0, 100.0)), (0, 1, 1, None)]
+    assert entries._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
