@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Iterator
+from math import isqrt
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,14 +40,15 @@ def fold_confusables(c: ColumnLike) -> Column:
 
 
 def comparable_tokens(c: ColumnLike) -> Column:
-    """Folded tokens in reading order; empty ones dropped."""
-    return F.filter(
-        F.transform(
-            F.split(col(c), f"{SPACE_CLASS}+"),
-            lambda t: F.regexp_replace(fold_confusables(F.lower(t)), "[^a-z0-9]", ""),
-        ),
-        lambda t: t != "",
-    )
+    """Folded tokens in reading order; empty ones dropped.
+
+    Texts are folded whole; the costly patterns run only where a text isn't ASCII or a token holds more than it may.
+    """
+    folded = fold_confusables(F.lower(col(c)))
+    ascii_only = F.octet_length(col(c)) == F.char_length(col(c))
+    tokens = F.when(ascii_only, F.split(folded, r"\s+")).otherwise(F.split(folded, f"{SPACE_CLASS}+"))
+    clean = lambda t: F.when(F.regexp_like(t, F.lit("[^a-z0-9]")), F.regexp_replace(t, "[^a-z0-9]", "")).otherwise(t)
+    return F.filter(F.transform(tokens, clean), lambda t: t != "")
 
 
 def normalize_reading(c: ColumnLike) -> Column:
@@ -60,35 +63,6 @@ def line_signature(c: ColumnLike) -> Column:
     return F.array_join(signature_tokens(c), " ")
 
 
-def _edit_rows(needle: str, haystack: str) -> tuple[np.ndarray, np.ndarray]:
-    """Last row of the semi-global edit table, and where each best window starts.
-
-    One vectorised pass per needle character; the insertion chain along a row is a running
-    minimum of ``cost - column``.
-    """
-    m = len(haystack)
-    hay = np.frombuffer(haystack.encode("utf-32-le"), dtype=np.uint32)
-    at = np.arange(m + 1, dtype=np.int32)
-    cost, start = np.zeros(m + 1, dtype=np.int32), at.copy()
-    for i, ch in enumerate(needle, start=1):
-        sub = cost[:-1] + (hay != ord(ch))
-        dele = cost[1:] + 1
-        take_sub = sub <= dele
-        base = np.empty(m + 1, dtype=np.int32)
-        base[0] = i
-        base[1:] = np.where(take_sub, sub, dele)
-        base_start = np.empty(m + 1, dtype=np.int32)
-        base_start[0] = start[0]
-        base_start[1:] = np.where(take_sub, start[:-1], start[1:])
-        shifted = base - at
-        run = np.minimum.accumulate(shifted)
-        # column where the running minimum was last set: ties keep the non-insertion step
-        fresh = np.concatenate(([True], shifted[1:] <= run[:-1]))
-        origin = np.maximum.accumulate(np.where(fresh, at, 0))
-        cost, start = run + at, base_start[origin]
-    return cost, start
-
-
 def nearest_end(needle: str, haystack: str) -> tuple[int, int]:
     """(distance, end) of the nearest window, least end on ties.
 
@@ -121,19 +95,71 @@ def nearest_end(needle: str, haystack: str) -> tuple[int, int]:
     return best, end
 
 
-def best_window(needle: str, haystack: str) -> tuple[int, int, int]:
-    """(distance, start, end) of the haystack window nearest to the needle, least end on ties."""
+# Cells of an edit table, two bits each, that are held at once on the way back.
+HELD_BITS = 1 << 25
+
+
+def window_start(needle: str, window: str) -> int:
+    """Where the nearest window that ends with ``window`` starts: the way back through its edit table.
+
+    A step goes back in both texts if that is as cheap as any, else in the needle, else in the window.  A column is two bit
+    vectors, of the rows to step back in both and in the needle from.  Of a large table the state is held every so many
+    columns and the columns between are made again, so a long page's table is never held whole.
+    """
+    at: dict[str, int] = {}
+    for i, ch in enumerate(needle):
+        at[ch] = at.get(ch, 0) | 1 << i
+    every = (1 << len(needle)) - 1
+    width = max(1, len(window)) if len(needle) * len(window) <= HELD_BITS else isqrt(len(window)) + 1
+
+    def columns(rises: int, falls: int, part: str) -> Iterator[tuple[int, int, int]]:
+        for ch in part:
+            same = at.get(ch, 0)
+            steady = same | falls
+            diagonal = (((same & rises) + rises) ^ rises) | same
+            both = same | ~(diagonal | falls)
+            up = (falls | (~(diagonal | rises) & every)) << 1
+            rises = ((rises & diagonal) << 1 | ~(steady | up)) & every
+            falls = up & steady & every
+            yield both, rises, falls
+
+    i, j = len(needle), len(window)
+    states = [(every, 0)]
+    for k, (_, rises, falls) in enumerate(columns(every, 0, window[: (j - 1) // width * width]), start=1):
+        if k % width == 0:
+            states.append((rises, falls))
+    while i and j:
+        block = (j - 1) // width
+        low = block * width
+        held = [(both, rises) for both, rises, _ in columns(*states[block], window[low:j])]
+        while i and j > low:
+            both, rises = held[j - low - 1]
+            if both >> i - 1 & 1:
+                i, j = i - 1, j - 1
+            elif rises >> i - 1 & 1:
+                i -= 1
+            else:
+                j -= 1
+    return j
+
+
+def best_window(needle: str, haystack: str, limit: int | None = None) -> tuple[int, int, int] | None:
+    """(distance, start, end) of the haystack window nearest to the needle, least end on ties; None if beyond a given limit."""
     if not needle:
         return 0, 0, 0
     if not haystack:
-        return len(needle), 0, 0
+        return (len(needle), 0, 0) if limit is None or len(needle) <= limit else None
     hit = haystack.find(needle)
     if hit >= 0:
         return 0, hit, hit + len(needle)
+    if limit is not None and not shares_grams(needle, haystack, limit):
+        return None
     distance, end = nearest_end(needle, haystack)
+    if limit is not None and distance > limit:
+        return None
     # a window is no longer than needle and distance together, so its start needs this part of the table only
     lead = max(0, end - len(needle) - distance)
-    return distance, lead + int(_edit_rows(needle, haystack[lead:end])[1][-1]), end
+    return distance, lead + window_start(needle, haystack[lead:end]), end
 
 
 WINDOW_TYPE = T.StructType(
@@ -176,6 +202,17 @@ def best_substring_match(needle: ColumnLike, haystack: ColumnLike) -> Column:
 GRAMS = (2, 3)
 
 
+def shares_grams(needle: str, haystack: str, tolerance: int) -> bool:
+    """``may_match`` of two texts."""
+    for q in GRAMS:
+        least = len(needle) - (q - 1) - tolerance * q
+        if least > 0:
+            held = {haystack[i : i + q] for i in range(len(haystack) - q + 1)}
+            if sum(needle[i : i + q] in held for i in range(len(needle) - q + 1)) < least:
+                return False
+    return True
+
+
 def may_match(needle: ColumnLike, haystack: ColumnLike, tolerance: Column) -> Column:
     """False only if no window of the haystack is within the tolerance.
 
@@ -191,16 +228,30 @@ def may_match(needle: ColumnLike, haystack: ColumnLike, tolerance: Column) -> Co
     return enough(GRAMS[0]) & enough(GRAMS[1])
 
 
+# Characters from which a needle's q-grams are looked up in a set of the haystack's, not searched for one by one.
+LONG_NEEDLE = 64
+
+
+@F.pandas_udf(WINDOW_TYPE)
+def window_within_udf(pair: pd.DataFrame) -> pd.DataFrame:
+    """Nearest windows of ``needle, haystack, tolerance`` within the tolerance; of the others, and of nulls, nulls."""
+    rows = zip(pair["needle"], pair["haystack"], pair["tolerance"])
+    found = [None if n is None else best_window(n, h, int(t)) for n, h, t in rows]
+    return pd.DataFrame([w or (None,) * 3 for w in found], columns=["distance", "start", "end"], dtype="Int32")
+
+
 def window_within(needle: ColumnLike, haystack: ColumnLike, tolerance: Column) -> Column:
     """Nearest window struct if it is within the tolerance, else null.
 
-    Pairs that share too few q-grams are told apart in the JVM and never reach the edit table.
+    Pairs that share too few q-grams never reach the edit table; those of short needles are told apart in the JVM.
     """
     n, h = col(needle), col(haystack)
     hit, exact = _exact_hit(n, h)
-    open_ = ~hit & may_match(n, h, tolerance)
-    found = best_window_udf(F.when(open_, n), F.when(open_, h))
-    return F.when(hit, exact).when(open_ & (found["distance"] <= tolerance), found)
+    open_ = ~hit & ((F.length(n) > LONG_NEEDLE) | may_match(n, h, tolerance))
+    # one struct, so that the test is made once a pair
+    pair = F.struct(n.alias("needle"), h.alias("haystack"), tolerance.cast("int").alias("tolerance"))
+    found = window_within_udf(F.when(open_ & tolerance.isNotNull(), pair))
+    return F.when(hit, exact).when(found["distance"].isNotNull(), found)
 
 
 def folded_agree_within(value: ColumnLike, reading: ColumnLike, tolerance: Column) -> Column:

@@ -1,9 +1,11 @@
 """Scalar functions on invented values."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
+from foliary.core import SPACE_CLASS
 from foliary.functions import cells, differ, keys, names, readings
 
 
@@ -108,6 +110,50 @@ def brute_window(needle, hay):
     return best
 
 
+def test_window_of_a_long_line_needs_no_wide_table():
+    """The way back costs bits, not numbers, and a table too large to hold is made again in parts."""
+    rng = random.Random(8)
+    page = "".join(rng.choices("abcdefgh ", k=30_000))
+    crop = "".join(c if rng.random() > 0.2 else "z" for c in page[5_000:20_000])
+    began = time.process_time()
+    distance, start, end = readings.best_window(crop, page)
+    assert time.process_time() - began < 3
+    assert abs(start - 5_000) < 5 and abs(end - 20_000) < 5
+    held, readings.HELD_BITS = readings.HELD_BITS, 0
+    try:
+        for _ in range(300):
+            n, h = ("".join(rng.choices("abc", k=rng.randint(1, k))) for k in (9, 40))
+            readings.HELD_BITS = 0
+            parts = readings.best_window(n, h)
+            readings.HELD_BITS = held
+            assert parts == readings.best_window(n, h)
+    finally:
+        readings.HELD_BITS = held
+    assert readings.best_window(crop, page, distance - 1) is None
+    assert readings.best_window(crop, page, distance) == (distance, start, end)
+
+
+def test_folded_tokens_of_any_script(spark):
+    texts = ["OIl-10  x\u00a0y", "a\u0085b \u2003 c\u00e9", "K\u212aL \u03a3\u03a3 \u0130z", "\ta\x0bb\x1cc\n", "--", "", None, "No. 7"]
+    old = lambda c: F.filter(F.transform(F.split(c, f"{SPACE_CLASS}+"), lambda t: F.regexp_replace(readings.fold_confusables(F.lower(t)), "[^a-z0-9]", "")), lambda t: t != "")
+    rows = [(t,) for t in texts]
+    assert column(spark, rows, "t string", readings.comparable_tokens("t")) == column(spark, rows, "t string", old(F.col("t")))
+
+
+def test_window_within_of_long_needles(spark):
+    rng = random.Random(9)
+    rows = []
+    for _ in range(200):
+        h = "".join(rng.choices("abcde ", k=rng.randint(0, 300)))
+        n = "".join(c if rng.random() > 0.15 else "q" for c in h[rng.randint(0, 50) : rng.randint(60, 250)])
+        rows.append((n, h, rng.choice([0, 5, 20, 60])))
+    rows += [(None, "a", 1), ("a", None, 1), ("a", "b", None)]
+    got = column(spark, rows, "n string, h string, t int", readings.window_within("n", "h", F.col("t")))
+    for (n, h, t), w in zip(rows, got, strict=True):
+        best = None if None in (n, h, t) else readings.best_window(n, h)
+        assert (w and tuple(w)) == (best if best and best[0] <= t else None)
+
+
 def test_best_window_against_brute_force():
     rng = random.Random(3)
     for _ in range(200):
