@@ -2,14 +2,15 @@
 
 A word's probability after another is that of its class after the other's class, times its own within its class. Classes
 are found by exchange: the most frequent words move one by one to the class that raises the likelihood of the class
-bigrams most, until none moves; each other word then makes the same step once, to the class that fits the classes it
-follows best. Counts are of all training texts. Class transitions are smoothed towards the classes' shares; words are
+bigrams most, until none moves; each other word then makes the same step once, to the class that fits best what it
+follows: the classes, and the words outside the frequent ones, which are one context more, so that each place of each
+word counts. Counts are of all training texts. Class transitions are smoothed towards the classes' shares; words are
 discounted within their class and what that frees is the class's probability of an unknown word, so that the
 probabilities of all known words, the end and one unknown word add up to one after any class.
 
 Texts are read once: chunks of whole documents are written as distinct word hashes and positions in them, so that only a
 chunk's distinct words meet the vocabulary, which is never broadcast. The counts between frequent words (at most
-(CORE + 1)^2) and between classes are all that comes to the driver.
+(CORE + 2)^2) and between classes are all that comes to the driver.
 
 Defined cases: a null or empty text is the end token alone. Texts are whole. Rows whose id is null are learned from
 (their remainder is not 1). Rows that repeat count each time. With no training text all words are unknown and both scores
@@ -170,20 +171,20 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndarra
 
 
 def _assigned(enc: DataFrame, core: np.ndarray, cls: np.ndarray, table: np.ndarray) -> DataFrame:
-    """`w, cls` of the other words that follow a frequent word or a text's start somewhere."""
-    k = len(table)
-    gain = np.log((table + 1) / (table.sum(axis=0) + k))[:, : k - 1]
+    """`w, cls` of all other words of training texts; the last row of the table is for what follows one of them."""
+    k = len(table) - 1
+    gain = np.log((table + 1) / (table.sum(axis=0) + k + 1))[:, : k - 1]
 
     def contexts(batches):
         for batch in batches:
             for _, words, seq, train in _open(batch):
                 at = _local(core, words)
-                known = np.where(at >= 0, cls[at], np.where(words == END, k - 1, -1))
+                known = np.where(at >= 0, cls[at], np.where(words == END, k - 1, k))
                 state = known[seq]
                 before = np.concatenate([[k - 1], state[:-1]])
-                use = train & (before >= 0) & (state < 0)
-                key, n = np.unique(seq[use].astype(np.int64) * k + before[use], return_counts=True)
-                yield _columns(["w", "ctx", "n"], words[key // k].view(np.int64), (key % k).astype(np.int16), n.astype(np.int32))
+                use = train & (state == k)
+                key, n = np.unique(seq[use].astype(np.int64) * (k + 1) + before[use], return_counts=True)
+                yield _columns(["w", "ctx", "n"], words[key // (k + 1)].view(np.int64), (key % (k + 1)).astype(np.int16), n.astype(np.int32))
 
     def choose(batches):
         parts = [[b.column(x).to_numpy() for x in ("w", "ctx", "n")] for b in batches if b.num_rows]
@@ -254,18 +255,18 @@ def score(docs: DataFrame, classes: int = CLASSES, core_words: int = CORE, sweep
     def core_states(batch):
         for _, words, seq, train in _open(batch):
             at = _local(core, words)
-            yield np.where(words == END, len(core), at)[seq], train, len(core)
+            yield np.where(words == END, len(core), np.where(at >= 0, at, len(core) + 1))[seq], train, len(core)
 
     slim = enc.select("chunk", "words", "seq", "held", "n")
-    pairs = _matrix(slim, len(core) + 1, core_states)
+    counted = _matrix(slim, len(core) + 2, core_states)
+    pairs, after_other = counted[:-1, :-1], counted[-1, :-1]
     cls = exchange(pairs, classes, sweeps)
     one = np.eye(classes + 1)[cls]
-    table = one.T @ pairs @ one
-    rest = int(table.sum(axis=0)[:classes].argmax())
+    table = np.vstack([one.T @ pairs, after_other]) @ one
     known = spark.createDataFrame([(int(w), int(c)) for w, c in zip(core.view(np.int64), cls, strict=False)] + [(0, classes)], "w long, own short")
     found = _assigned(enc, core, cls, table)
     vocabulary = counts.join(found, "w", "left").join(F.broadcast(known), "w", "left")
-    vocabulary = scratch.table(vocabulary.select("w", "n", F.coalesce("own", "cls", F.lit(rest).cast("short")).alias("cls")), "vocabulary")
+    vocabulary = scratch.table(vocabulary.select("w", "n", F.coalesce("own", "cls").alias("cls")), "vocabulary")
     totals = vocabulary.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
     share, kinds = np.zeros(classes + 2), np.zeros(classes + 2)
     for r in totals:

@@ -328,3 +328,20 @@ def test_dense_label_matches_brute_force(spark):
     got = vector_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), window=8).collect()
     assert links.sum() >= 300 and {r.vec_id: r.n_links for r in got} == {**dict(enumerate(links.tolist())), **{5000 + i: 0 for i in range(40)}}
     assert vector_dedup.passes_for(3000, 0.9, window=8) > vector_dedup.passes_for(3000, 0.0, window=8) >= vector_dedup.PASSES
+
+
+def test_each_training_word_is_placed_by_what_it_follows(spark, monkeypatch):
+    """Words that only follow words outside the frequent ones get a class from that, not one for the rest."""
+    placed = []
+
+    def kept(*args, f=class_ngrams._assigned):
+        placed.append(f(*args))
+        return placed[-1]
+
+    monkeypatch.setattr(class_ngrams, "_assigned", kept)
+    rows = [(i, f"the a{i} b{i} c{i} the d{i}", i == 9) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    got = class_ngrams.score(docs, classes=3, core_words=1).collect()
+    assert len(got) == 10 and all(r["score"] < 0 for r in got)
+    words = [r["w"] for r in placed[0].select("w").collect()]
+    assert len(words) == len(set(words)) == 4 * 9
