@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -300,3 +301,12 @@ def possible(table: np.ndarray, h: np.ndarray) -> np.ndarray:
     """True where a hash may be among those marked."""
     word, bit = _slot(h, len(table).bit_length() - 1 + 6)
     return (table[word] >> bit) & np.uint64(1) == 1
+
+
+def flagged(table: np.ndarray, column: str) -> Column:
+    """`possible` of a long column as an expression, so that a row's other columns never leave the JVM."""
+
+    def look(h: pd.Series) -> pd.Series:
+        return pd.Series(possible(table, h.to_numpy(np.int64).view(np.uint64)))
+
+    return F.pandas_udf(look, "boolean")(F.col(column))

@@ -131,23 +131,23 @@ def _let_through(lines: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     return lines.mapInArrow(run, lines.schema)
 
 
+def _word_keys() -> Column:
+    """One hash of leaf, position and word for each of a line's words."""
+    return F.transform("words", lambda w, i: F.xxhash64("leaf", i, w))
+
+
 def _some(lines: DataFrame, often: DataFrame) -> DataFrame:
-    """`row, leaf, line, pos, word` of the words of lines that may be in `often` (leaf, pos, word)."""
-    table = C.membership(often.select(F.xxhash64("leaf", "pos", "word")))
-    keys = F.transform("words", lambda w, i: F.xxhash64("leaf", i, w))
-    kept = lines.select("row", "leaf", "line", "words", keys.alias("keys"))
+    """`row, line, key` of the words of lines that may be in `often` (`key`)."""
+    table = C.membership(often)
 
     def run(batches):
         for b in batches:
-            words, sizes = b.column("words"), np.diff(b.column("words").offsets.to_numpy())
-            flat = words.flatten().to_numpy(zero_copy_only=False)
-            may = np.flatnonzero(C.possible(table, b.column("keys").flatten().to_numpy(zero_copy_only=False).view(np.uint64)))
-            at = np.repeat(np.arange(len(sizes)), sizes)[may]
-            pos = (np.arange(len(flat)) - np.repeat(np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes))[may] if len(sizes) else may
-            cols = [b.column(c).take(pa.array(at)) for c in ("row", "leaf", "line")]
-            yield pa.record_batch([*cols, pa.array(pos.astype(np.int32)), pa.array(flat[may])], ["row", "leaf", "line", "pos", "word"])
+            sizes, keys = np.diff(b.column("keys").offsets.to_numpy()), b.column("keys").flatten()
+            may = np.flatnonzero(C.possible(table, keys.to_numpy(zero_copy_only=False).view(np.uint64)))
+            at = pa.array(np.repeat(np.arange(len(sizes)), sizes)[may])
+            yield pa.record_batch([b.column("row").take(at), b.column("line").take(at), keys.take(pa.array(may))], ["row", "line", "key"])
 
-    return kept.mapInArrow(run, "row long, leaf long, line long, pos int, word long")
+    return lines.select("row", "line", _word_keys().alias("keys")).mapInArrow(run, "row long, line long, key long")
 
 
 def boilerplate(docs: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
@@ -166,11 +166,13 @@ def boilerplate(docs: DataFrame, min_docs: int = MIN_DOCS, constant: float = CON
     shared = scratch.table(shared.select("leaf"), "leaves")
     lines = _lines(rows, C.membership(shared)).join(shared, "leaf").dropDuplicates(["row", "line"])
     lines = scratch.table(lines.withColumn("n", F.size("words")), "lines")
-    placed = lines.select("row", "doc_id", "line", "leaf", "n", F.posexplode("words").alias("pos", "word"))
-    often = placed.groupBy("leaf", "pos", "word").agg(F.count("*").alias("seen"))
-    often = scratch.table(often.where((F.col("seen") >= least) & (F.col("word") != F.lit(int(_VARIABLE)))).drop("seen"), "often")
-    marked = _some(lines, often).join(often, ["leaf", "pos", "word"])
-    fixed = marked.groupBy("row", "line").agg(F.bit_xor(F.xxhash64("pos", "word")).alias("template"), F.count("*").alias("fixed"))
+    fields = F.arrays_zip(_word_keys().alias("key"), F.col("words").alias("word"))
+    placed = lines.select(F.explode(fields).alias("at")).where(F.col("at.word") != F.lit(int(_VARIABLE)))
+    often = placed.groupBy(F.col("at.key").alias("key")).agg(F.count("*").alias("seen"))
+    often = scratch.table(often.where(F.col("seen") >= least).select("key"), "often")
+    # one plan at all sizes: past the broadcast threshold these are shuffled anyway
+    marked = _some(lines, often).join(often.hint("merge"), "key")
+    fixed = marked.groupBy("row", "line").agg(F.bit_xor("key").alias("template"), F.count("*").alias("fixed"))
     ids = lines.select("row", "line", "doc_id", "leaf", "n").join(fixed, ["row", "line"])
     ids = scratch.table(ids.where(F.col("fixed") >= constant * F.col("n")), "templates")
     alike = _recurring(ids, ["leaf", "template", "n", "fixed"], support(F.col("fixed"), F.col("n") - F.col("fixed"), total, min_docs))
@@ -178,10 +180,17 @@ def boilerplate(docs: DataFrame, min_docs: int = MIN_DOCS, constant: float = CON
 
 
 def dropped(docs: DataFrame, **how) -> DataFrame:
-    """`all, text, lines`: the row of `docs`, its new text and the numbers of the lines dropped (null: none)."""
-    out = C.held(docs, F.col("text")).join(boilerplate(docs, **how), "row", "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("lines", i.cast("long")))
-    return out.select("all", F.when(F.col("lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"), "lines")
+    """`all, text, lines`: the row of `docs`, its new text and the numbers of the lines dropped (null: none).
+
+    Only documents that may lose a line, by a bitmap of fixed size, are shuffled to the list of lines, each text once.
+    """
+    drop = boilerplate(docs, **how)
+    rows = C.held(docs).withColumn("some", C.flagged(C.membership(drop.select("row")), "row"))
+    cut = rows.where("some").join(drop.hint("merge"), "row", "left")
+    kept = F.filter(F.split("all.text", "\n", -1), lambda x, i: ~F.array_contains("lines", i.cast("long")))
+    cut = cut.select("all", F.when(F.col("lines").isNull(), F.col("all.text")).otherwise(F.array_join(kept, "\n")).alias("text"), "lines")
+    whole = rows.where("NOT some").select("all", F.col("all.text").alias("text"), F.lit(None).cast("array<long>").alias("lines"))
+    return whole.union(cut)
 
 
 def without_boilerplate(docs: DataFrame, **how) -> DataFrame:

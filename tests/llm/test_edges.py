@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing names, for each operator."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -345,3 +346,13 @@ def test_each_training_word_is_placed_by_what_it_follows(spark, monkeypatch):
     assert len(got) == 10 and all(r["score"] < 0 for r in got)
     words = [r["w"] for r in placed[0].select("w").collect()]
     assert len(words) == len(set(words)) == 4 * 9
+
+
+def test_only_documents_that_may_lose_lines_are_shuffled(spark):
+    footer = "all rights to these pages are kept by the house and its heirs"
+    rows = [(i, f"body {i * 7919} alone {i}" + f"\n{footer}" * (i % 20 == 0)) for i in range(400)]
+    out = line_templates.dropped(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["all"].doc_id for r in out.collect() if r.lines) == list(range(20, 400, 20))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # the other texts go past the join, which is the same however short the list is
+    assert "Union" in plan and "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
