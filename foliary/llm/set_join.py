@@ -13,6 +13,11 @@ out of its own, which is an exact bound. A node of sets so alike that branching
 that is still large at the last level, is compared in tiles, all against all, so no pair is left out for the size of a
 group. Every link is confirmed on the full sets.
 
+Full sets are made only for documents that may have a link: of the minwise shingles under all functions, 30, a pair at
+similarity 0.75 has fewer than 9 in common with probability 4e-8. So in a small node a set without a partner of fitting size
+and 9 common ones goes, and of large nodes one with fewer than 9 that any other set of theirs has; nodes that are small
+then are compared at once.
+
 Defined cases: a null or empty text, or one of white space only, has an empty set and is linked with nothing. A text of
 fewer words than a shingle is one shingle. Null ids never name a component unless all ids of it are null. Rows that
 repeat an id share its component and are all `kept`. An empty table gives an empty result. Other columns are ignored,
@@ -40,6 +45,8 @@ LEAF = 24
 TILE = 512
 TILE_ITEMS = 100_000
 STRIP = 4096
+#: Equal minwise shingles, of all functions, below which two sets are not compared.
+LIKELY = 9
 #: Share of equal minwise shingles from which a member of a large node is compared with its pivot early.
 EARLY = 0.6
 
@@ -59,7 +66,7 @@ def _described(items: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """`row, doc_id, n, c, sig` for each row: size of the set, its name and its minwise shingles (null if empty)."""
+    """`row, doc_id, n, c, sig, low` for each row: size of the set, its name, its minwise shingles and 16 bits of each (null if empty)."""
 
     def run(batches):
         for batch in batches:
@@ -71,13 +78,15 @@ def signatures(docs: DataFrame) -> DataFrame:
                 names = [lanes[i].tobytes() if m else None for i, m in zip(at, n, strict=True)]
                 edges = np.concatenate([[0], np.cumsum(n > 0)]) * _FUNCTIONS
                 sigs = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(mins.ravel()))
+                short = mins.astype(np.uint16)
+                low = [short[i].tobytes() if m else None for i, m in zip(at, n, strict=True)]
                 yield pa.record_batch(
-                    [b.column("row"), b.column("doc_id"), pa.array(n), pa.array(names, pa.binary()), sigs],
-                    ["row", "doc_id", "n", "c", "sig"],
+                    [b.column("row"), b.column("doc_id"), pa.array(n), pa.array(names, pa.binary()), sigs, pa.array(low, pa.binary())],
+                    ["row", "doc_id", "n", "c", "sig", "low"],
                 )
 
     rows = docs.select(C.row_key("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "row long, doc_id long, n long, c binary, sig array<long>")
+    return rows.mapInArrow(run, "row long, doc_id long, n long, c binary, sig array<long>, low binary")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -96,7 +105,40 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.record_batch([b.column("c"), pa.array(sets, pa.binary())], ["c", "items"])
 
     rows = docs.select(C.row_key("doc_id", "text").alias("row"), "text").mapInArrow(sieve, "row long, text string")
-    return rows.join(wanted, "row").select("c", "text").mapInArrow(run, "c binary, items binary").dropDuplicates(["c"])
+    # repeated rows go where the join has dealt them; a class is of one row
+    return rows.join(wanted, "row").dropDuplicates(["row"]).select("c", "text").mapInArrow(run, "c binary, items binary")
+
+
+def _likely(groups: DataFrame, classes: DataFrame) -> DataFrame:
+    """`gid, c` of the members of small groups that have a partner there of fitting size and with enough minwise shingles in common."""
+
+    def run(batches):
+        for b in batches:
+            off, all_ = b.column("all").offsets.to_numpy(), b.column("all").flatten()
+            n = all_.field("n").to_numpy()
+            low = np.frombuffer(b"".join(all_.field("low").to_pylist()), np.uint16).reshape(-1, _FUNCTIONS)
+            off = off - off[0]
+            keep = np.zeros(len(n), bool)
+            for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+                m, part = n[x:y], low[x:y]
+                fits = 100 * np.minimum(m[:, None], m) >= PERCENT * np.maximum(m[:, None], m)
+                fits &= (part[:, None] == part).sum(axis=2) >= LIKELY
+                np.fill_diagonal(fits, False)
+                keep[x:y] = fits.any(axis=1)
+            at = np.flatnonzero(keep)
+            gid = b.column("gid").take(pa.array(np.repeat(np.arange(len(off) - 1), np.diff(off))[at]))
+            yield pa.record_batch([gid, all_.field("c").take(pa.array(at))], ["gid", "c"])
+
+    with_low = groups.join(classes.select("c", "n", "low"), "c")
+    return with_low.groupBy("gid").agg(F.collect_list(F.struct("c", "n", "low")).alias("all")).mapInArrow(run, "gid long, c binary")
+
+
+def _plausible(large: DataFrame, classes: DataFrame) -> DataFrame:
+    """`c` of the members of large nodes that have enough minwise shingles in common with other members, of whatever node."""
+    who = classes.select("c", "sig").join(large.select("c").distinct(), "c")
+    each = who.select(F.col("c"), F.xxhash64("c").alias("h"), F.posexplode("sig").alias("f", "token")).select("c", "h", F.xxhash64("f", "token").alias("key"))
+    across = each.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key")
+    return each.join(across, "key").groupBy("c").agg(F.count("*").alias("shared")).where(F.col("shared") >= LIKELY).select("c")
 
 
 def _alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -210,7 +252,8 @@ def join_sets(docs: DataFrame, leaf: int = LEAF, levels: int = LEVELS) -> DataFr
     scratch = C.Scratch(docs.sparkSession)
     sig = scratch.table(signatures(docs), "signatures")
     full = sig.where("c IS NOT NULL")
-    classes = full.groupBy("c").agg(F.min("row").alias("row"), F.first("sig").alias("sig"), F.min("doc_id").alias("least"))
+    same = [F.first(x).alias(x) for x in ("sig", "low", "n")]
+    classes = full.groupBy("c").agg(F.min("row").alias("row"), *same, F.min("doc_id").alias("least"))
     classes = scratch.table(classes, "classes")
 
     def branch(rows: DataFrame, level: int) -> DataFrame:
@@ -228,20 +271,30 @@ def join_sets(docs: DataFrame, leaf: int = LEAF, levels: int = LEVELS) -> DataFr
         return groups.join(sets, "c").groupBy("gid").applyInArrow(lambda t: _compare(t.select(["c", "items"])), "a binary, b binary")
 
     members = scratch.table(branch(classes.withColumn("comp", F.col("c")), 0), "nodes")
-    shape = lambda m: m.groupBy("node").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("node", "size")
+    who = F.xxhash64("comp")
+    shape = lambda m: m.groupBy("node").agg(F.count("*").alias("size"), F.min(who).alias("lo"), F.max(who).alias("hi")).where("lo <> hi").select("node", "size")
     sizes = scratch.table(shape(members), "sizes")
-    wanted = members.join(sizes, "node").select("c").distinct().join(classes.select("c", "row"), "c").select("row", "c")
-    sets = scratch.table(_sets(docs, scratch.table(wanted, "wanted")), "sets")
+    sets = None
     links = None
     comps = None
     rest = None
     for level in range(levels):
         sized = members.join(sizes, "node")
-        groups = sized.where(F.col("size") <= leaf).groupBy("node").agg(F.array_sort(F.collect_list("c")).alias("all"))
-        groups = groups.groupBy("all").agg(F.min("node").alias("gid")).select("gid", F.explode("all").alias("c"))
-        large = sized.where(F.col("size") > leaf).join(classes.select("c", "sig"), "c")
-        large = scratch.table(large, f"large{level}")
+        small = sized.where(F.col("size") <= leaf).select("node", "c")
+        large = sized.where(F.col("size") > leaf).drop("size")
+        if level == 0:
+            large = scratch.table(large, "met")
+            large = large.join(_plausible(large, classes), "c", "left_semi")
+        large = scratch.table(large.join(shape(large), "node"), f"sized{level}")
+        small = small.union(large.where(F.col("size") <= leaf).select("node", "c"))
+        large = scratch.table(large.where(F.col("size") > leaf).join(classes.select("c", "sig"), "c"), f"large{level}")
         grew = not large.isEmpty()
+        groups = small.groupBy("node").agg(F.array_sort(F.collect_list("c")).alias("all"))
+        groups = groups.groupBy("all").agg(F.min("node").alias("gid")).select("gid", F.explode("all").alias("c"))
+        groups = scratch.table(_likely(groups, classes), f"groups{level}")
+        if sets is None:
+            wanted = groups.select("c").union(large.select("c")).distinct().join(classes.select("c", "row"), "c").select("row", "c")
+            sets = scratch.table(_sets(docs, scratch.table(wanted, "wanted")), "sets")
         if grew:
             pivots = large.groupBy("node").agg(F.min_by(F.struct("c", "sig"), F.xxhash64("c")).alias("p"))
             equal = F.size(F.filter(F.zip_with("sig", "p.sig", lambda x, y: x == y), lambda x: x))
@@ -296,10 +349,14 @@ def join_sets(docs: DataFrame, leaf: int = LEAF, levels: int = LEVELS) -> DataFr
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` without near duplicates: one of each group, and every document without words."""
-    kept = join_sets(docs).where("kept")
-    keep = kept.groupBy("row").agg(F.count("*").alias("times"), F.max(F.col("n_shingles") > 0).alias("worded"))
-    out = C.held(docs).join(keep, "row")
+    """The rows of `docs` without near duplicates: one of each group, and every document without words.
+
+    Only rows that may go, or stand there more than once, by a bitmap of fixed size, are shuffled.
+    """
+    found = join_sets(docs).groupBy("row").agg(F.count_if("kept").alias("times"), F.max(F.col("n_shingles") > 0).alias("worded"))
+    odd = C.Scratch(docs.sparkSession).table(found.where("times = 0 OR (times > 1 AND worded)").select("row", "times"), "odd")
+    rows = C.held(docs).withColumn("some", C.flagged(C.membership(odd.select("row")), "row"))
+    some = rows.where("some").join(odd, "row", "left")
     # a row that stands there more than once is one document of its group
-    once = out.where("times = 1 OR NOT worded").select("all")
-    return once.union(out.where("times > 1 AND worded").groupBy("row").agg(F.first("all").alias("all")).select("all")).select("all.*")
+    once = rows.where("NOT some").select("all").union(some.where("times IS NULL").select("all"))
+    return once.union(some.where("times > 1").groupBy("row").agg(F.first("all").alias("all")).select("all")).select("all.*")

@@ -356,3 +356,16 @@ def test_only_documents_that_may_lose_lines_are_shuffled(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     # the other texts go past the join, which is the same however short the list is
     assert "Union" in plan and "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_full_sets_are_made_for_likely_documents_only(spark, monkeypatch):
+    rnd = random.Random(5)
+    texts = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(400)) for _ in range(300)]
+    texts = [f"{t} {PROSE}" for t in texts] + [texts[0] + " " + PROSE + " today"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked, sets = [], set_join._sets
+    monkeypatch.setattr(set_join, "_sets", lambda d, wanted: asked.append(wanted.count()) or sets(d, wanted))
+    got = {r.doc_id: r.component_id for r in set_join.join_sets(docs).collect()}
+    assert got == {i: i % 300 for i in range(301)}
+    # all share the shingles of one line, far too few for a link
+    assert asked == [2]
