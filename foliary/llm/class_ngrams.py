@@ -43,11 +43,11 @@ END = np.uint64(0)
 
 
 def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
-    """Whole documents (`doc_id, text, held_out`) as `chunk, words, seq, doc_ids, held, n`: sorted distinct hashes, places in them."""
+    """Whole documents (`doc_id, text, held_out`) as `chunk, words, seq, doc_ids, held, n`: sorted distinct hashes, places in them (compressed)."""
 
     def out(words, ids, held, n):
         distinct, seq = np.unique(np.concatenate(words), return_inverse=True)
-        row = [pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([distinct.tobytes()]), pa.array([seq.astype(np.int32).tobytes()])]
+        row = [pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([distinct.tobytes()]), pa.array([pa.compress(seq.astype(np.int32), codec="zstd", asbytes=True)])]
         lists = [pa.array([x], pa.list_(t)) for x, t in ((ids, pa.int64()), (held, pa.bool_()), (n, pa.int64()))]
         return pa.record_batch(row + lists, ["chunk", "words", "seq", "doc_ids", "held", "n"])
 
@@ -72,11 +72,14 @@ def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
 
 
 def _open(batch: pa.RecordBatch):
-    """For each chunk: its id, distinct words, places, and which tokens are of training documents."""
+    """For each chunk: its id, distinct words (None if left out), places, and which tokens are of training documents."""
+    named = "words" in batch.schema.names
     for i in range(batch.num_rows):
         n = np.array(batch.column("n")[i].as_py(), np.int64)
         held = np.repeat(np.array(batch.column("held")[i].as_py(), bool), n)
-        yield batch.column("chunk")[i].as_py(), np.frombuffer(batch.column("words")[i].as_buffer(), np.uint64), np.frombuffer(batch.column("seq")[i].as_buffer(), np.int32), ~held
+        seq = pa.decompress(batch.column("seq")[i].as_buffer(), decompressed_size=4 * len(held), codec="zstd")
+        words = np.frombuffer(batch.column("words")[i].as_buffer(), np.uint64) if named else None
+        yield batch.column("chunk")[i].as_py(), words, np.frombuffer(seq, np.int32), ~held
 
 
 def _columns(names, *arrays):
@@ -219,8 +222,9 @@ def _coded(enc: DataFrame, vocabulary: DataFrame, tokens: int, types: int, share
 
     def code(batches):
         for batch in batches:
-            for i, (chunk, words, seq, _) in enumerate(_open(batch)):
-                c, cls = np.zeros(len(words), np.int64), np.full(len(words), unknown, np.uint8)
+            for i, (chunk, _, seq, _) in enumerate(_open(batch)):
+                size = int(seq.max()) + 1  # every distinct word has a place
+                c, cls = np.zeros(size, np.int64), np.full(size, unknown, np.uint8)
                 if batch.column("place")[i].is_valid:
                     blob = lambda x, t, i=i, batch=batch: np.frombuffer(batch.column(x)[i].as_buffer(), t)
                     place = blob("place", np.int32)
@@ -238,7 +242,7 @@ def _coded(enc: DataFrame, vocabulary: DataFrame, tokens: int, types: int, share
     met = enc.select("chunk", "words").mapInArrow(emit, "w long, chunk long, place int").join(vocabulary, "w")
     packed = met.select("chunk", "place", "n", "cls").groupBy("chunk").applyInArrow(gather, "chunk long, place binary, count binary, cls binary")
     kind = "chunk long, classes binary, known array<long>, base array<double>, own array<double>, doc_ids array<long>, held array<boolean>, n array<long>"
-    return enc.join(packed, "chunk", "left").mapInArrow(code, kind)
+    return enc.drop("words").join(packed, "chunk", "left").mapInArrow(code, kind)
 
 
 def score(docs: DataFrame, classes: int = CLASSES, core_words: int = CORE, sweeps: int = SWEEPS) -> DataFrame:

@@ -369,3 +369,11 @@ def test_full_sets_are_made_for_likely_documents_only(spark, monkeypatch):
     assert got == {i: i % 300 for i in range(301)}
     # all share the shingles of one line, far too few for a link
     assert asked == [2]
+
+
+def test_places_in_a_chunk_are_kept_compressed(spark):
+    docs = spark.createDataFrame([(i, PROSE * 40, False) for i in range(50)], "doc_id long, text string, held_out boolean")
+    for r in class_ngrams.chunks(docs).collect():
+        assert 4 * sum(r.n) > 10 * len(r.seq)
+    got = class_ngrams.score(docs).collect()
+    assert len(got) == 50 and {r.n_known for r in got} == {len((PROSE * 40).split()) + 1}
