@@ -19,6 +19,9 @@ from foliary.session import kept
 # Footers start after a wide gap on every fourth page, so that running footers can be trimmed.
 FOOTER_GAP = 700
 
+# Characters of page texts that one task takes: their words, with all that is worked out of them, fit its memory several times.
+TASK_CHARS = 4_000_000
+
 DOC_TYPES = {"en": "KB", "fr": "SP", "de": "BAPermintaan", "es": "Email"}
 
 
@@ -76,7 +79,7 @@ class Evidence:
     def _numbered(self) -> DataFrame:
         """Documents as pages: keys and counts, written once, as most plans read them in several branches."""
         n_lines = (F.size(F.split("text", "\n")) + 2).cast("int").alias("n_lines")
-        base = self.documents.select("run_id", "source_id", "doc_id", "doc_type", n_lines)
+        base = self.documents.select("run_id", "source_id", "doc_id", "doc_type", n_lines, F.length("text").alias("chars"))
         ends = self._counted.select("run_id", "source_id", "page_count", "first_page")
         return kept(
             page_in_source(base, "doc_id")
@@ -103,7 +106,8 @@ class Evidence:
     def texts(self) -> DataFrame:
         """The pages' lines as arrays, dealt by page before they are cut: lines and words of a page never move again.
 
-        The number of partitions is stated, as one sized by the texts would be far too large for the words made of them.
+        The number of partitions is stated, as one sized by the texts would be far too large for the words made of them: it grows
+        with the texts, as a window over a page finds no memory beside a sort that holds all of its task's.
         """
         footer = F.array(
             F.concat(
@@ -115,8 +119,9 @@ class Evidence:
             F.concat(F.lit("Ref "), F.col("source_id")),
         )
         texts = self.documents.select("run_id", "source_id", "doc_id", "text")
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        dealt = self._numbered.join(texts, ["run_id", "source_id", "doc_id"]).repartition(parts, "run_id", "page_index")
+        chars = self._numbered.agg(F.sum("chars")).first()[0] or 0
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // TASK_CHARS))
+        dealt = self._numbered.drop("chars").join(texts, ["run_id", "source_id", "doc_id"]).repartition(parts, "run_id", "page_index")
         return dealt.select(
             "run_id",
             "page_index",

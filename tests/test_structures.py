@@ -259,3 +259,15 @@ def test_block_reply_is_parsed_once(spark):
     entries = blocks.block_entries(replies)
     assert [(r["page_index"], r["pos"], r["n"], r["box"] and tuple(r["box"])) for r in entries.collect()] == [(0, 0, 2, (100.0, 100.0, 800.0, 100.0)), (0, 1, 1, None)]
     assert entries._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
+def test_tasks_grow_in_number_with_the_texts(spark, monkeypatch):
+    """A task's words fit its memory several times, however few partitions are asked for."""
+    from foliary.plans import evidence
+
+    rows = [(k, "word " * 50, "en", "src1", 250) for k in range(20)]
+    monkeypatch.setattr(evidence, "TASK_CHARS", 500, raising=False)
+    ev = _evidence(spark, rows)
+    assert ev.texts.rdd.getNumPartitions() == 10
+    assert ev.words.count() == 20 * (50 + 4 + 2)
+    assert _evidence(spark, [(1, None, "en", "src1", 0)]).texts.count() == 1
