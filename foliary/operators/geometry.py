@@ -6,6 +6,11 @@ lines pack them once per page and work in the row.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,6 +31,7 @@ from foliary.core import (
     union_of,
 )
 from foliary.functions.keys import to_fixed
+from foliary.sources.annotation_text import BOX_TYPE, joined, less, lists_of, offsets_of, pieces, places, row_type, sizes_of
 
 # Padding, footer trimming, snapping, drag and resolution constants.
 CROP_PADDING = 12.0
@@ -146,6 +152,71 @@ def group_words_into_lines(words: DataFrame, tolerance: float = ROW_TOLERANCE) -
     return out
 
 
+LINE_TYPE = pa.struct([("text", pa.string()), *BOX_TYPE, ("n_words", pa.int32())])
+# Fixed value: how many words are grouped at a time.
+PIECE_WORDS = 200_000
+
+
+def _first_fits(top: list[float], bottom: list[float], height: list[float]) -> list[int]:
+    """The row of each word of a run; NaN is above all numbers, as it is in Spark."""
+    below = lambda a, b: a < b or (b != b and a == a)
+    least, most = (lambda a, b: b if below(b, a) else a), (lambda a, b: b if below(a, b) else a)
+    rows, found = [], []
+    for t, b, h in zip(top, bottom, height):
+        for at, r in enumerate(rows):
+            if not below(least(b, r[1]) - most(t, r[0]), h * ROW_TOLERANCE):
+                r[:] = least(r[0], t), most(r[1], b)
+                break
+        else:
+            at = len(rows)
+            rows.append([t, b])
+        found.append(at)
+    return found
+
+
+def _packed_lines(pages: pa.Array) -> pa.Array:
+    page, seq = places(sizes_of(pages))
+    words = pages.flatten()
+    if not len(words):
+        return lists_of(pa.array([], LINE_TYPE), np.zeros(len(pages), dtype=np.int64))
+    x, y, w, h = (pc.struct_field(words, c).to_numpy(zero_copy_only=False) for c in BOX)
+    order = np.lexsort((seq, y, page))
+    x, y, w, h = (v[order] for v in (x, y, w, h))
+    bottom, deepest = y + h, np.full(len(y), -np.inf)
+    at = np.flatnonzero(np.diff(page, prepend=-1, append=-1))
+    for begin, end in zip(at[:-1], at[1:]):
+        deepest[begin + 1 : end] = np.maximum.accumulate(bottom[begin : end - 1])
+    starts = less(deepest, y)
+    starts[at[:-1]] = True
+    follows = starts | ~less(np.fmin(bottom, deepest) - y, h * ROW_TOLERANCE)
+    runs = np.flatnonzero(starts)
+    rows, number = np.ones(len(runs), dtype=np.int64), np.zeros(len(y), dtype=np.int64)
+    ends = np.append(runs[1:], len(y))
+    for run in np.flatnonzero(~np.logical_and.reduceat(follows, runs)):
+        inside = slice(runs[run], ends[run])
+        number[inside] = _first_fits(y[inside].tolist(), bottom[inside].tolist(), h[inside].tolist())
+        rows[run] = number[inside].max() + 1
+    line = offsets_of(rows)[np.cumsum(starts) - 1] + number
+    by_x = np.lexsort((np.arange(len(x)), x, line))
+    x, y, right, bottom = x[by_x], y[by_x], (x + w)[by_x], bottom[by_x]
+    sizes = np.bincount(line)
+    begin = offsets_of(sizes)[:-1]
+    left, top = np.fmin.reduceat(x, begin), np.fmin.reduceat(y, begin)
+    box = [left, top, np.maximum.reduceat(right, begin) - left, np.maximum.reduceat(bottom, begin) - top]
+    text = joined(pc.struct_field(words, "text").take(pa.array(order[by_x])), sizes, " ")
+    columns = [text, *map(pa.array, box), pa.array(sizes, pa.int32())]
+    per_page = np.bincount(page[runs], weights=rows, minlength=len(pages)).astype(np.int64)
+    return lists_of(pa.StructArray.from_arrays(columns, fields=list(LINE_TYPE)), per_page)
+
+
+@F.arrow_udf(row_type(pa.list_(LINE_TYPE)))
+def group_packed_words(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """G3 in a page's row: its words, an array in the order of ``seq``, to an array of lines; no value is null."""
+    for pages in batches:
+        for part in pieces(sizes_of(pages), PIECE_WORDS):
+            yield _packed_lines(pages[part])
+
+
 # ------------------------------------------------------------------ checks on lines
 
 

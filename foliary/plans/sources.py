@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from foliary.core import PAGE, bind, is_blank
+from foliary.core import NO_SPACE_CLASS, PAGE
 from foliary.functions.cells import format_ref
-from foliary.plans.evidence import Evidence, add_duck, duck, line_top
+from foliary.plans.evidence import FOOTER_GAP, Evidence, add_duck, duck
 from foliary.plans.registry import query
 from foliary.plans.text import q_plain, q_serial
 from foliary.session import work_folder
@@ -16,56 +22,89 @@ from foliary.sources import blocks as blk
 from foliary.sources import replies as rep
 from foliary.sources import transcripts as tra
 from foliary.sources import workbook as wb
+from foliary.sources.annotation_text import joined, pieces, places, sizes_of
 
 # ------------------------------------------------------------------ annotations
 
 
+# What JSON must not hold as it is, and what it holds instead.
+ESCAPED = {i: f"\\u{i:04X}" for i in range(32)} | {ord(c): "\\" + to for c, to in zip('"\\\b\f\n\r\t', '"\\bfnrt')}
+# Fixed value: how much text is written out at a time; an annotation is some forty times as long as its text.
+TEXT_BYTES = 1 << 18
+
+
+def _numbers(values: np.ndarray) -> pa.Array:
+    """Whole doubles as the JVM writes them."""
+    texts = pc.binary_join_element_wise(pc.cast(pa.array(values.astype(np.int64)), pa.string()), "0", ".")
+    if len(values) and values.max() >= 1e7:  # 1.234E7
+        digits = [str(int(v)) for v in values]
+        texts = pa.array([t if len(d) < 8 else f"{d[0]}.{d[1:].rstrip('0') or '0'}E{len(d) - 1}" for d, t in zip(digits, texts.to_pylist())], pa.string())
+    return texts
+
+
+def _annotations(pages: pa.Array, n_lines: pa.Array, doc_id: pa.Array) -> pa.Array:
+    each, _ = places(sizes_of(pages))
+    lists = pages.flatten()
+    row, i = places(sizes_of(lists))
+    row, cut = each[row], pc.split_pattern(lists.flatten(), " ")
+    line, k = places(sizes_of(cut))
+    text = cut.flatten()
+    filled = pc.match_substring_regex(text, NO_SPACE_CLASS)
+    text, filled = text.filter(filled), filled.to_numpy(zero_copy_only=False)
+    row, i, k = row[line][filled], i[line][filled], k[filled]
+    if len(lists) > len(pages):  # several texts of one page: its words by place, then text
+        order = np.lexsort((pc.rank(text).to_numpy(), k, i, row))
+        row, i, k, text = row[order], i[order], k[order], text.take(pa.array(order))
+
+    n = pc.fill_null(pc.cast(n_lines, pa.int64()), 1 << 40).to_numpy(zero_copy_only=False)
+    gapped = pc.fill_null(pc.equal(pc.bit_wise_and(doc_id, 3), 0), False).to_numpy(zero_copy_only=False)
+    top = 40.0 + i * 40 + np.where((i >= n[row] - 2) & gapped[row], FOOTER_GAP, 0)
+    x, y = 40.0 + k * 90, top + k % 3
+    first, rest = pc.utf8_slice_codeunits(text, 0, 1), pc.utf8_slice_codeunits(text, 1, 1_000_001)
+    odd = pc.match_substring_regex(text, r'["\\\x00-\x1F]')
+    if pc.any(odd).as_py():
+        escape = lambda t: pc.replace_with_mask(t, odd, pa.array([v.translate(ESCAPED) for v in t.filter(odd).to_pylist()], pa.string()))
+        first, rest = escape(first), escape(rest)
+    kind = np.where(k % 4 == 3, 0, np.where(k % 11 == 5, 1, 2))
+    kinds = pa.array(["", '"type":"UNKNOWN"', '"type":"SPACE"'])
+    of = lambda some: kinds.take(pa.array(np.where(some, kind, 0)))
+    xs, ys = _numbers(x), _numbers(y)
+    near = pc.if_else(pa.array(k % 13 != 0), pc.binary_join_element_wise('"x":', xs, ',"y":', ys, ""), pc.binary_join_element_wise('"y":', ys, ""))
+    right = _numbers(x + pc.utf8_length(text).to_numpy() * 8.0)
+    far = pc.if_else(pa.array(k % 17 == 0), "", pc.binary_join_element_wise('},{"x":', right, ',"y":', _numbers(y + 24.0), ""))
+    words = pc.binary_join_element_wise(
+        '{"symbols":[{"text":"', first, '","property":{"detectedBreak":{}}},{"text":"', rest, '","property":{"detectedBreak":{', of(k % 2 == 0),
+        '}}}],"property":{"detectedBreak":{', of(k % 2 == 1), '}},"boundingBox":{"vertices":[{', near, far, "}]}}", "",
+    )
+
+    def within(before: str, items: pa.Array, keys: list[np.ndarray], after: str) -> tuple[pa.Array, np.ndarray]:
+        """The items of each run of equal keys, between brackets; and where the runs start."""
+        starts = np.flatnonzero(np.any([np.diff(key, prepend=-1) != 0 for key in keys], axis=0))
+        return pc.binary_join_element_wise(before, joined(items, np.diff(starts, append=len(items)), ","), after, ""), starts
+
+    paragraphs, at = within('{"words":[', words, [row, i], "]}")
+    row, i = row[at], i[at]
+    blocks, at = within('{"paragraphs":[', paragraphs, [row, i // 2], "]}")
+    whole = joined(blocks, np.bincount(row[at], minlength=len(pages)), ",")
+    return pc.binary_join_element_wise('{"fullTextAnnotation":{"pages":[{"blocks":[', whole, "]}]}}", "")
+
+
+@F.arrow_udf(T.StringType())
+def annotation_text(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for pages, n_lines, doc_id, size in batches:
+        for part in pieces(size.to_numpy(zero_copy_only=False), TEXT_BYTES):
+            yield _annotations(pages[part], n_lines[part], doc_id[part])
+
+
 def annotation_pages(ev: Evidence) -> DataFrame:
     """One nested annotation per page: a block per two lines, a paragraph per line, and words of
     two symbols with breaks, missing corners and empty boxes.
 
-    An annotation is built inside the page's row: no word is a row of its own before it is read."""
-    brk = lambda t: F.struct(F.struct(t.alias("type")).alias("detectedBreak"))
-
-    def word(v, top):
-        text, k = v["text"], v["k"]
-        x, y = F.lit(40.0) + k * 90, top + k % 3
-        kind = F.when(k % 4 == 3, F.lit(None).cast("string")).when(k % 11 == 5, "UNKNOWN").otherwise("SPACE")
-        first = F.struct(F.substring(text, 1, 1).alias("text"), brk(F.lit(None).cast("string")).alias("property"))
-        rest = F.struct(F.substring(text, 2, 1000000).alias("text"), brk(F.when(k % 2 == 0, kind)).alias("property"))
-        corner = lambda dx, dy: F.struct(F.when(k % 13 != 0, x + dx).alias("x"), (y + dy).alias("y"))
-        w, h = F.length(text) * 8.0, F.lit(24.0)
-        far = F.struct((x + w).alias("x"), (y + h).alias("y"))
-        near = corner(F.lit(0.0), F.lit(0.0))
-        corners = F.when(k % 17 == 0, F.array(near)).otherwise(F.array(near, far))
-        return F.struct(
-            F.array(first, rest).alias("symbols"),
-            brk(F.when(k % 2 == 1, kind)).alias("property"),
-            F.struct(corners.alias("vertices")).alias("boundingBox"),
-        )
-
-    def paragraph(i):
-        def tokens(lines):
-            cut = F.transform(F.split(F.get(lines, i), " "), lambda t, k: F.struct(k.alias("k"), t.alias("text")))
-            return F.coalesce(F.filter(cut, lambda v: ~is_blank(v["text"])), F.array().cast("array<struct<k:int,text:string>>"))
-
-        found = F.flatten(F.transform("pages", tokens))
-        ordered = F.when(F.size("pages") == 1, found).otherwise(F.array_sort(found))
-        words = bind(line_top(i, F.col("n_lines"), F.col("doc_id")), lambda top: F.transform(ordered, lambda v: word(v, top)))
-        return F.struct(words.alias("words"))
-
-    def block(b):
-        two = F.array(paragraph(b * 2), paragraph(b * 2 + 1))
-        return F.struct(F.filter(two, lambda p: F.size(p["words"]) > 0).alias("paragraphs"))
-
+    An annotation is built inside the page's row, in batches of pages: no word is a row of its own before it is read."""
     # a page has one text, unless its document's id repeats
     rows = ev.texts.groupBy(*PAGE, "n_lines", "doc_id").agg(F.collect_list("texts").alias("pages")).where("size(pages) > 0")
-    longest = F.array_max(F.transform("pages", lambda t: F.size(t)))
-    numbers = F.sequence(F.lit(0), F.floor((longest - 1) / 2).cast("int"))
-    blocks = F.filter(F.transform(numbers, block), lambda b: F.size(b["paragraphs"]) > 0)
-    docs = rows.select(*PAGE, blocks.alias("blocks"))
-    page = F.struct(F.struct(F.array(F.struct("blocks")).alias("pages")).alias("fullTextAnnotation"))
-    return docs.select(*PAGE, F.to_json(page).alias("annotation"))
+    size = F.aggregate("pages", F.lit(0), lambda n, t: n + F.coalesce(F.length(F.array_join(t, " ")), F.lit(0)))
+    return rows.select(*PAGE, annotation_text("pages", "n_lines", "doc_id", size).alias("annotation"))
 
 
 add_duck(
@@ -109,7 +148,7 @@ def s1(ev: Evidence) -> DataFrame:
     duck("select run_id, page_index, ends, count(*) as n from anw group by all", "anw"),
 )
 def s2(ev: Evidence) -> DataFrame:
-    w = ann.annotation_words(annotation_pages(ev))
+    w = ann.annotation_words(annotation_pages(ev), parts=("ends",))
     return w.groupBy(*PAGE, "ends").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -122,7 +161,7 @@ def s2(ev: Evidence) -> DataFrame:
     ),
 )
 def s3(ev: Evidence) -> DataFrame:
-    return ann.annotation_words(annotation_pages(ev)).select(*PAGE, "k", "block_index", "box.*")
+    return ann.annotation_words(annotation_pages(ev), parts=("box",)).select(*PAGE, "k", "block_index", "box.*")
 
 
 @query(
